@@ -6,12 +6,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, write_facts
+from periodica.sources.registry import read_registry
 from periodica.spec import DEFAULT_SPEC
 
 CODE_SQL = """concat(CASE (p_partkey*7) % 5 WHEN 0 THEN 'H-D/' WHEN 1 THEN 'I/H.DAVIDSON '
@@ -57,24 +59,24 @@ SELECT concat(' ', uf) AS uf_texto,
    ELSE CAST(qtd_veiculos AS STRING) END AS qtd_texto
 FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {fleet})"""
 
-# Every fleet row under a code of the second brand, as one period.
-BRAND_B_SQL = """
+# Every fleet row under a code of the second brand, as one period. The last two codes are
+# completed by the row's number.
+BRAND_B_CODES = (
+    "INDIAN/SCOUT|I/INDIAN SCOUT|I/INDIAN SCOUT BOBBER|INDIAN/CHIEF VINTAGE|I/INDIAN CHIEF VINTAGE|"
+    "INDIAN/CHIEF CLASSIC|INDIAN/CHIEF SPRINGFIELD|I/INDIAN CHIEF SPRINGFLD|INDIAN/CHIEF ROADMASTER|"
+    "I/INDIAN CHIEF ROADMASTR|INDIAN/CHIEF CHIEFTAIN|I/INDIAN CHIEF CHIEFTAIN|I/INDIAN CHIEF CHIEFT DH|"
+    "I/INDIAN CHIEF DARKHORSE|I/INDIAN CHIEF|IMP/INDIAN|I/INDIAN BOARD TRACK RAC|I/INDIAN VINTAGE LE|"
+    " i/índian  scout|INDIAN/FTR 1200|INDIAN-PURSUIT|INDIAN/|I/INDIAN CHIEF "
+)
+BRAND_B_SQL = f"""
 SELECT CAST('2026-04-01' AS DATE) AS competencia, uf, municipio,
- CASE n % 23 WHEN 0 THEN 'INDIAN/SCOUT' WHEN 1 THEN 'I/INDIAN SCOUT' WHEN 2 THEN 'I/INDIAN SCOUT BOBBER'
-   WHEN 3 THEN 'INDIAN/CHIEF VINTAGE' WHEN 4 THEN 'I/INDIAN CHIEF VINTAGE' WHEN 5 THEN 'INDIAN/CHIEF CLASSIC'
-   WHEN 6 THEN 'INDIAN/CHIEF SPRINGFIELD' WHEN 7 THEN 'I/INDIAN CHIEF SPRINGFLD'
-   WHEN 8 THEN 'INDIAN/CHIEF ROADMASTER' WHEN 9 THEN 'I/INDIAN CHIEF ROADMASTR'
-   WHEN 10 THEN 'INDIAN/CHIEF CHIEFTAIN' WHEN 11 THEN 'I/INDIAN CHIEF CHIEFTAIN'
-   WHEN 12 THEN 'I/INDIAN CHIEF CHIEFT DH' WHEN 13 THEN 'I/INDIAN CHIEF DARKHORSE' WHEN 14 THEN 'I/INDIAN CHIEF'
-   WHEN 15 THEN 'IMP/INDIAN' WHEN 16 THEN 'I/INDIAN BOARD TRACK RAC' WHEN 17 THEN 'I/INDIAN VINTAGE LE'
-   WHEN 18 THEN ' i/índian  scout' WHEN 19 THEN 'INDIAN/FTR 1200' WHEN 20 THEN 'INDIAN-PURSUIT'
-   WHEN 21 THEN concat('INDIAN/', CAST(n AS STRING)) ELSE concat('I/INDIAN CHIEF ', CAST(n AS STRING)) END AS marca_modelo,
+ concat(split_part('{BRAND_B_CODES}', '|', n % 23 + 1), CASE WHEN n % 23 > 20 THEN CAST(n AS STRING) ELSE '' END) AS marca_modelo,
  CASE WHEN n % 5 = 0 THEN NULL ELSE ano_fabricacao END AS ano_fabricacao, qtd_veiculos
-FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {fleet})"""
+FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {{fleet}})"""
 
 FLEET_TABLES = ("lineitem", "orders", "part", "supplier", "nation")
 
-_written: dict[tuple[str, str], str] = {}
+_frames: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,23 +88,41 @@ def fleet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLEET_SQL, **{t: table(spark, sf_dir, t) for t in FLEET_TABLES})
 
 
-def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snapshot fact as a period-partitioned table, loaded once per session and data set.
+def _written(
+    spark: SparkSession, sf_dir: str, name: str, plan: Callable[[], DataFrame], write, read
+) -> DataFrame:
+    """``plan()`` written to the shared folder once per session and data set, then scanned.
 
-    Queries read the table the way they would in production: partitions pruned by period, row
-    groups by model, no join repeated. Without a shared folder the lazy plan is used instead.
+    The frame is kept, so that the listing of its files is not repeated. Without a shared folder
+    the lazy plan is used instead.
     """
     folder = shared_folder(spark)
     if folder is None:
-        return fleet_plan(spark, sf_dir)
+        return plan()
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir.rstrip("/"))
-    if key not in _written:
+    key = (app, sf_dir.rstrip("/"), name)
+    if key not in _frames:
         digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
-        path = f"{folder}/periodica-{app}/fleet-{digest}"
-        write_facts(fleet_plan(spark, sf_dir), path)
-        _written[key] = path
-    return read_facts(spark, _written[key]).drop(DEFAULT_SPEC.lineage)
+        path = f"{folder}/periodica-{app}/{name}-{digest}"
+        write(plan(), path)
+        _frames[key] = read(spark, path)
+    return _frames[key]
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot fact as a period-partitioned table.
+
+    Queries read it the way they would in production: partitions pruned by period, row groups
+    by model, no join repeated.
+    """
+    return _written(
+        spark,
+        sf_dir,
+        "fleet",
+        lambda: fleet_plan(spark, sf_dir),
+        write_facts,
+        lambda session, path: read_facts(session, path).drop(DEFAULT_SPEC.lineage),
+    )
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +139,34 @@ RAW_HEADER = {
 }
 
 
-def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(RAW_SQL, fleet=fleet(spark, sf_dir))
     return rows.select([F.col(c).alias(header) for c, header in RAW_HEADER.items()])
 
 
+def _write_text(rows: DataFrame, path: str) -> None:
+    (
+        rows.write.mode("overwrite")
+        .option("sep", ";")
+        .option("header", True)
+        .option("encoding", "ISO-8859-1")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
+def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry text files as the ingest job meets them, without the lineage column."""
+    return _written(
+        spark,
+        sf_dir,
+        "registro",
+        lambda: raw_plan(spark, sf_dir),
+        _write_text,
+        lambda session, path: read_registry(session, path).drop(DEFAULT_SPEC.lineage),
+    )
+
+
 def brand_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BRAND_B_SQL, fleet=fleet(spark, sf_dir))
