@@ -33,43 +33,64 @@ def calendar(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def _two_sided_stock(fact: DataFrame, keys: Sequence[str], pairing: Sequence[str], spec: SnapshotSpec) -> DataFrame:
-    """Stock of each key at a period and at the period before, in one shuffle.
-
-    Every row counts as current stock of its own period and as previous stock of the next one;
-    one hash aggregation on (period, keys) then plays the full outer join of the two. Map tasks
-    combine both halves before the shuffle, so a key that holds much of the data is no hot spot.
-    Absent sides are NULL. Rows with a NULL in ``pairing`` keep their sides apart, because an
-    equality join would never match them.
+def _two_sided_stock(
+    fact: DataFrame,
+    keys: Sequence[str],
+    pairing: Sequence[str],
+    colocate: Sequence[str],
+    spec: SnapshotSpec,
+) -> DataFrame:
+    """Stock of each key at a period and at the period before; absent sides are NULL.
+
+    Equals the full outer join of the stock with itself one period later, in two shuffles of
+    aggregated rows: map-side combined sums per (period, keys), then the series of each key
+    side by side, where LAG finds the earlier stock and LEAD tells whether the key is missing
+    from the next period and owes it a row. A series has one row per period at most, however
+    many raw rows its key has. ``colocate``, a part of ``keys``, is what the second shuffle hashes, so
+    that a later grouping by it needs no third one.
+
+    A key with a NULL in ``pairing`` never matches itself, as in an equality join: its two sides
+    stay apart, told by the side number.
     """
     unmatched = F.lit(False)
     for key in pairing:
         unmatched = unmatched | F.col(key).isNull()
-    units = F.col(spec.measure).cast("bigint")
-    nothing = F.lit(None).cast("bigint")
+    # One row per period: bounded by the calendar, not by the table.
+    periods = F.broadcast(calendar(fact, spec))
+    stock = stock_by(fact, spec.period, *keys, spec=spec, name=STOCK).join(periods, spec.period)
+    series = Window.partitionBy(*keys).orderBy(spec.period)
+    dated = stock.repartition(*(F.col(c) for c in colocate)).select(
+        spec.period,
+        PREVIOUS,
+        _NEXT,
+        *keys,
+        STOCK,
+        F.lag(spec.period).over(series).alias("_visto"),
+        F.lag(STOCK).over(series).alias("_visto_estoque"),
+        F.lead(spec.period).over(series).alias("_volta"),
+    )
+    adjacent = ~unmatched & (F.col("_visto") == F.col(PREVIOUS))
+    kept = ~unmatched & (F.col("_volta") == F.col(_NEXT))
+    missing_next = F.when(~F.coalesce(kept, F.lit(False)), F.col(_NEXT))
 
-    def side(period: str, before: str, now: Column, then: Column, number: int) -> Column:
+    def row(period: Column, before: Column, now: Column, then: Column, side: Column) -> Column:
         return F.struct(
-            F.col(period).alias("p"),
-            F.col(before).alias("b"),
-            now.alias("now"),
-            then.alias("then"),
-            F.when(unmatched, F.lit(number)).otherwise(F.lit(0)).alias("side"),
+            period.alias("p"), before.alias("b"), now.alias("now"), then.alias("then"), side.alias("side")
         )
 
+    nothing, paired = F.lit(None).cast("bigint"), F.lit(0)
+    found = F.when(adjacent, F.col("_visto_estoque"))
     halves = F.array(
-        side(spec.period, PREVIOUS, units, nothing, 0),
-        side(_NEXT, spec.period, nothing, units, 1),
-    )
-    # One row per period: bounded by the calendar, not by the table.
-    dated = fact.select(spec.period, *keys, spec.measure).join(
-        F.broadcast(calendar(fact, spec)), spec.period
+        row(F.col(spec.period), F.col(PREVIOUS), F.col(STOCK), found, paired),
+        row(missing_next, F.col(spec.period), nothing, F.col(STOCK), F.when(unmatched, F.lit(1)).otherwise(paired)),
     )
-    return (
-        dated.select(*keys, F.inline(halves))
-        .filter(F.col("p").isNotNull())
-        .groupBy(F.col("p").alias(spec.period), F.col("b").alias(PREVIOUS), *keys, F.col("side").alias(_SIDE))
-        .agg(F.sum("now").alias(STOCK), F.sum("then").alias(STOCK_BEFORE))
+    return dated.select(*keys, F.inline(halves)).filter(F.col("p").isNotNull()).select(
+        F.col("p").alias(spec.period),
+        F.col("b").alias(PREVIOUS),
+        *keys,
+        F.col("now").alias(STOCK),
+        F.col("then").alias(STOCK_BEFORE),
+        F.col("side").alias(_SIDE),
     )
 
 
@@ -81,7 +102,7 @@ def period_pairs(
     A key absent on one side counts 0 there; a key with a NULL never pairs. The first period has
     no previous one and contributes a row of NULL keys with stock 0, as an outer join would.
     """
-    pairs = _two_sided_stock(fact, keys, keys, spec).select(
+    pairs = _two_sided_stock(fact, keys, keys, keys, spec).select(
         spec.period,
         PREVIOUS,
         *keys,

@@ -32,10 +32,12 @@ def adjusted_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
     flow is scaled by max(P - D, 0) / P.
 
     The fact is aggregated once for all three stocks (per year, unknown year, whole model). The
-    second shuffle spreads models over periods, and a group has one row per model year.
+    series of a model then share a partition, where each period's group has one row per year.
     """
     zero = F.lit(0).cast("bigint")
-    pairs = _two_sided_stock(fact, [spec.model, spec.year], [spec.model], spec)
+    pairs = _two_sided_stock(
+        fact, [spec.model, spec.year], pairing=[spec.model], colocate=[spec.model], spec=spec
+    )
     known = F.col(spec.year).isNotNull()
     now, before = (F.coalesce(F.col(c), zero) for c in (STOCK, STOCK_BEFORE))
     has_past = F.col(PREVIOUS).isNotNull()
