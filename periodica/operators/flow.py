@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -10,117 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from periodica.functions.numbers import percent
+from periodica.operators.pairs import PREVIOUS, STOCK, STOCK_BEFORE, period_pairs, positive_flow
 from periodica.operators.stock import stock_by
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit, desc
 
-PREVIOUS = "competencia_anterior"
-STOCK = "estoque_atual"
-STOCK_BEFORE = "estoque_anterior"
-_NEXT = "_proxima"
-_SIDE = "_lado"
-
-
-def calendar(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    """Observed periods with their neighbours: one row per period, whatever the table's size.
-
-    On a table partitioned by period the scan reads no data column.
-    """
-    order = Window.orderBy(spec.period)
-    return fact.select(spec.period).distinct().select(
-        spec.period,
-        F.lag(spec.period).over(order).alias(PREVIOUS),
-        F.lead(spec.period).over(order).alias(_NEXT),
-    )
-
-
-def _two_sided_stock(
-    fact: DataFrame,
-    keys: Sequence[str],
-    pairing: Sequence[str],
-    colocate: Sequence[str],
-    spec: SnapshotSpec,
-) -> DataFrame:
-    """Stock of each key at a period and at the period before; absent sides are NULL.
-
-    Equals the full outer join of the stock with itself one period later, in two shuffles of
-    aggregated rows: map-side combined sums per (period, keys), then the series of each key
-    side by side, where LAG finds the earlier stock and LEAD tells whether the key is missing
-    from the next period and owes it a row. A series has one row per period at most, however
-    many raw rows its key has. ``colocate``, a part of ``keys``, is what the second shuffle hashes, so
-    that a later grouping by it needs no third one.
-
-    A key with a NULL in ``pairing`` never matches itself, as in an equality join: its two sides
-    stay apart, told by the side number.
-    """
-    unmatched = F.lit(False)
-    for key in pairing:
-        unmatched = unmatched | F.col(key).isNull()
-    # One row per period: bounded by the calendar, not by the table.
-    periods = F.broadcast(calendar(fact, spec))
-    stock = stock_by(fact, spec.period, *keys, spec=spec, name=STOCK).join(periods, spec.period)
-    series = Window.partitionBy(*keys).orderBy(spec.period)
-    dated = stock.repartition(*(F.col(c) for c in colocate)).select(
-        spec.period,
-        PREVIOUS,
-        _NEXT,
-        *keys,
-        STOCK,
-        F.lag(spec.period).over(series).alias("_visto"),
-        F.lag(STOCK).over(series).alias("_visto_estoque"),
-        F.lead(spec.period).over(series).alias("_volta"),
-    )
-    adjacent = ~unmatched & (F.col("_visto") == F.col(PREVIOUS))
-    kept = ~unmatched & (F.col("_volta") == F.col(_NEXT))
-    missing_next = F.when(~F.coalesce(kept, F.lit(False)), F.col(_NEXT))
-
-    def row(period: Column, before: Column, now: Column, then: Column, side: Column) -> Column:
-        return F.struct(
-            period.alias("p"), before.alias("b"), now.alias("now"), then.alias("then"), side.alias("side")
-        )
-
-    nothing, paired = F.lit(None).cast("bigint"), F.lit(0)
-    found = F.when(adjacent, F.col("_visto_estoque"))
-    halves = F.array(
-        row(F.col(spec.period), F.col(PREVIOUS), F.col(STOCK), found, paired),
-        row(missing_next, F.col(spec.period), nothing, F.col(STOCK), F.when(unmatched, F.lit(1)).otherwise(paired)),
-    )
-    return dated.select(*keys, F.inline(halves)).filter(F.col("p").isNotNull()).select(
-        F.col("p").alias(spec.period),
-        F.col("b").alias(PREVIOUS),
-        *keys,
-        F.col("now").alias(STOCK),
-        F.col("then").alias(STOCK_BEFORE),
-        F.col("side").alias(_SIDE),
-    )
-
-
-def period_pairs(
-    fact: DataFrame, keys: Sequence[str], spec: SnapshotSpec = DEFAULT_SPEC
-) -> DataFrame:
-    """Stock per (period, keys) next to the stock at the previous observed period.
-
-    A key absent on one side counts 0 there; a key with a NULL never pairs. The first period has
-    no previous one and contributes a row of NULL keys with stock 0, as an outer join would.
-    """
-    pairs = _two_sided_stock(fact, keys, keys, keys, spec).select(
-        spec.period,
-        PREVIOUS,
-        *keys,
-        *(F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in (STOCK, STOCK_BEFORE)),
-    )
-    types = dict(fact.select(*keys).dtypes)
-    phantom = calendar(fact, spec).filter(F.col(PREVIOUS).isNull()).select(
-        spec.period,
-        PREVIOUS,
-        *(F.lit(None).cast(types[k]).alias(k) for k in keys),
-        *(F.lit(0).cast("bigint").alias(c) for c in (STOCK, STOCK_BEFORE)),
-    )
-    return pairs.unionByName(phantom)
-
-
-def positive_flow(stock: Column, before: Column) -> Column:
-    return F.greatest(stock - before, F.lit(0).cast("bigint"))
-
 
 def _pair_flow() -> Column:
     flow = positive_flow(F.col(STOCK), F.col(STOCK_BEFORE))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from periodica.operators.flow import (
-    _SIDE,
+from periodica.operators.pairs import (
     PREVIOUS,
+    SIDE,
     STOCK,
     STOCK_BEFORE,
-    _two_sided_stock,
     calendar,
     positive_flow,
+    two_sided_stock,
 )
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc
 
@@ -35,13 +35,13 @@ def adjusted_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
     series of a model then share a partition, where each period's group has one row per year.
     """
     zero = F.lit(0).cast("bigint")
-    pairs = _two_sided_stock(
+    pairs = two_sided_stock(
         fact, [spec.model, spec.year], pairing=[spec.model], colocate=[spec.model], spec=spec
     )
     known = F.col(spec.year).isNotNull()
     now, before = (F.coalesce(F.col(c), zero) for c in (STOCK, STOCK_BEFORE))
     has_past = F.col(PREVIOUS).isNotNull()
-    group = Window.partitionBy(spec.period, spec.model, _SIDE)
+    group = Window.partitionBy(spec.period, spec.model, SIDE)
 
     lowest_year = F.min(F.coalesce(F.col(spec.year), F.lit(_NO_YEAR))).over(group)
     raw = F.when(known & has_past, positive_flow(now, before)).otherwise(zero)

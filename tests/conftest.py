@@ -4,6 +4,7 @@ import os
 import sys
 from datetime import date
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,6 +28,10 @@ def spark():
     session.stop()
 
 
+NAMES = DEFAULT_SPEC.columns
+TYPES = [pa.date32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+
+
 @pytest.fixture(scope="session")
 def facts(spark):
     """Build a fact frame from (period month, model, year, units[, state, city]) tuples."""
@@ -37,10 +42,8 @@ def facts(spark):
             state, city = (place + ["SP", "SAO PAULO"][len(place) :]) if len(place) < 2 else place
             period = month if isinstance(month, date) else date(2024 + (month - 1) // 12, (month - 1) % 12 + 1, 1)
             full.append((period, state, city, model, year, units, None))
-        schema = DEFAULT_SPEC.schema()
-        for field in schema:
-            field.nullable = True
-        return spark.createDataFrame(full, schema)
+        columns = zip(*full, strict=True)
+        return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES))
 
     return build
 

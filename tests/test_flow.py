@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 
 from periodica.operators import flow
+from periodica.operators.pairs import period_pairs
 from periodica.operators.registrations import adjusted_flow, registrations
 from tests.conftest import rows
 
@@ -23,19 +24,19 @@ def gap(facts):
 
 
 def test_pairs_compare_with_the_previous_observed_period(gap):
-    pairs = flow.period_pairs(gap, ["marca_modelo"])
+    pairs = period_pairs(gap, ["marca_modelo"])
     a = {r[0]: r[3:] for r in rows(pairs) if r[2] == "A"}
     assert a == {D[0]: (5, 0), D[1]: (0, 5), D[2]: (3, 0), D[3]: (9, 3)}
 
 
 def test_pairs_keep_the_phantom_row_of_the_first_period(gap):
-    nulls = [r for r in rows(flow.period_pairs(gap, ["marca_modelo"])) if r[2] is None]
+    nulls = [r for r in rows(period_pairs(gap, ["marca_modelo"])) if r[2] is None]
     assert nulls == [(D[0], None, None, 0, 0)]
 
 
 def test_pairs_never_match_null_keys(facts):
     fact = facts((1, None, 2020, 5), (2, None, 2020, 6))
-    got = sorted(r[3:] for r in rows(flow.period_pairs(fact, ["marca_modelo"])))
+    got = sorted(r[3:] for r in rows(period_pairs(fact, ["marca_modelo"])))
     assert got == [(0, 0), (0, 5), (5, 0), (6, 0)]
     # The whole stock of the second period counts as flow.
     assert rows(flow.annual_flow(fact)) == [(2024, 2, 6)]

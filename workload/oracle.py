@@ -320,6 +320,8 @@ FROM (SELECT marca_modelo AS texto FROM named UNION SELECT municipio FROM named)
         ),
         "ingest_typed_rows": _sql("FROM typed", **_TYPED_VIEWS),
         "ingest_consolidate": _sql(_CONSOLIDATED, **_TYPED_VIEWS),
+        "ingest_replace_period": _sql(_CONSOLIDATED, **_TYPED_VIEWS),
+        "glossary_load": _sql("FROM glossary", glossary=_GLOSSARY),
         "ingest_reconcile": _sql(
             f"""SELECT (SELECT COUNT(*) FROM named) AS linhas_lidas, (SELECT COUNT(*) FROM typed) AS linhas_marca,
  (SELECT COUNT(*) FROM loaded) AS linhas_consolidadas, z AS total_anterior, a AS total_atual, a - z AS delta

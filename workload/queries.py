@@ -27,7 +27,7 @@ from periodica.plans.monthly_load import load_report
 from periodica.presets import BRAND_A, BRAND_B
 from periodica.sources.registry import canonicalize
 from workload import params as p
-from workload.views import brand_b, fleet, glossary, raw_registry
+from workload.views import brand_b, fleet, glossary, glossary_file, loaded_period, raw_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,7 +178,9 @@ def queries() -> dict[str, Query]:
         "code_canonicalize": _code_canonicalize,
         "ingest_typed_rows": _typed,
         "ingest_consolidate": _consolidated,
+        "ingest_replace_period": lambda s, d: loaded_period(s, d, p.LOAD_PERIOD, lambda: _consolidated(s, d)),
         "ingest_reconcile": _reconcile,
+        "glossary_load": glossary_file,
         # catalogue
         "list_periods": _on_fleet(catalog.list_periods),
         "list_years": _on_fleet(catalog.list_years),

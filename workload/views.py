@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.session import shared_folder
-from periodica.sources.facts import read_facts, write_facts
+from periodica.sources.facts import read_facts, replace_period, write_facts
+from periodica.sources.glossary import read_glossary
 from periodica.sources.registry import read_registry
 from periodica.spec import DEFAULT_SPEC
 
@@ -129,6 +130,29 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(GLOSSARY_SQL, part=table(spark, sf_dir, "part"))
 
 
+def _write_glossary(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def glossary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The glossary as the CSV file it usually is."""
+    return _written(
+        spark, sf_dir, "glossario", lambda: glossary(spark, sf_dir), _write_glossary, read_glossary
+    )
+
+
+def loaded_period(
+    spark: SparkSession, sf_dir: str, period: str, rows: Callable[[], DataFrame]
+) -> DataFrame:
+    """A table into which ``rows`` of one period were loaded twice."""
+
+    def load_twice(frame: DataFrame, path: str) -> None:
+        replace_period(frame, path, period)
+        replace_period(frame, path, period)
+
+    return _written(spark, sf_dir, "carga", rows, load_twice, read_facts)
+
+
 # Header of a raw registry file, by column of RAW_SQL.
 RAW_HEADER = {
     "uf_texto": "UF",
