@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from periodica.functions.frames import sort_bounded
 from periodica.functions.text import is_no_information
 from periodica.operators.enrich import classify_by_text, family_mix, friendly_name
 from periodica.operators.stock import stock_by
@@ -165,7 +166,7 @@ def brand_model_options(
 def brand_by_year(snapshot: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Stock by model year, the unknown one included."""
     stock = stock_by(snapshot, spec.year, spec=spec, name=spec.measure)
-    ordered = stock.orderBy(*desc(spec.measure), *desc(spec.year))
+    ordered = sort_bounded(stock, *desc(spec.measure), *desc(spec.year))
     return ordered.withColumn(spec.year, _year_label(spec))
 
 

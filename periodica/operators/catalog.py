@@ -7,16 +7,17 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from periodica.functions.frames import sort_bounded
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, to_date
 
 
 def list_periods(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    return fact.select(spec.period).distinct().orderBy(*asc(spec.period))
+    return sort_bounded(fact.select(spec.period).distinct(), *asc(spec.period))
 
 
 def list_years(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     known = fact.select(spec.year).filter(F.col(spec.year).isNotNull())
-    return known.distinct().orderBy(*asc(spec.year))
+    return sort_bounded(known.distinct(), *asc(spec.year))
 
 
 def valid_years(fact: DataFrame, period: str | date, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from periodica.functions.frames import gather, sort_bounded
 from periodica.functions.numbers import percent
 from periodica.operators.pairs import PREVIOUS, STOCK, STOCK_BEFORE, period_pairs, positive_flow
 from periodica.operators.stock import stock_by
@@ -22,11 +23,10 @@ def _pair_flow() -> Column:
 def annual_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Observed periods and summed positive model flows per calendar year."""
     per_period = period_pairs(fact, [spec.model], spec).groupBy(spec.period).agg(F.sum(_pair_flow()).alias("fluxo"))
-    return (
-        per_period.groupBy(F.year(spec.period).alias("ano"))
-        .agg(F.count(F.lit(1)).alias("meses_observados"), F.sum("fluxo").alias("vendas_total"))
-        .orderBy(*asc("ano"))
-    )
+    # Gathered before the second grouping: one row per period.
+    per_year = gather(per_period).groupBy(F.year(spec.period).alias("ano"))
+    sums = per_year.agg(F.count(F.lit(1)).alias("meses_observados"), F.sum("fluxo").alias("vendas_total"))
+    return sums.orderBy(*asc("ano"))
 
 
 def base_builder_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
@@ -49,7 +49,7 @@ def base_builder_ranking(
 def model_series(fact: DataFrame, model: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Stock of one model at the periods in which it is present."""
     rows = fact.filter(F.col(spec.model) == model)
-    return stock_by(rows, spec.period, spec=spec, name="estoque").orderBy(*asc(spec.period))
+    return sort_bounded(stock_by(rows, spec.period, spec=spec, name="estoque"), *asc(spec.period))
 
 
 def model_snapshot(
@@ -107,9 +107,9 @@ def entries_proxy(
     series = dense.withColumn("liquido", net).withColumn(
         "emplacamentos_proxy", F.greatest(F.col("liquido"), F.lit(0).cast("bigint"))
     )
-    if start is not None:
+    if start:
         series = series.filter(F.col(spec.period) >= date_lit(start))
-    if end is not None:
+    if end:
         series = series.filter(F.col(spec.period) <= date_lit(end))
     return series.orderBy(*asc(spec.period))
 

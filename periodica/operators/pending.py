@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from periodica.functions.frames import sort_bounded
 from periodica.functions.text import is_no_information
 from periodica.operators.stock import at_period, stock_by
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit, desc
@@ -50,7 +51,7 @@ def pending_series(
     stock = _pending_stock(fact, year, spec, None, accent_sensitive)
     # One row per (period, model): counting rows counts models.
     sums = stock.groupBy(spec.period).agg(F.count(spec.model).alias("modelos"), F.sum(UNITS).alias(UNITS))
-    return sums.orderBy(*asc(spec.period))
+    return sort_bounded(sums, *asc(spec.period))
 
 
 def pending_snapshot(
@@ -92,4 +93,4 @@ def pending_total_series(
     rows = model_series
     if models is not None:
         rows = rows.filter(F.col(spec.model).isin(list(models)) if models else F.lit(False))
-    return rows.groupBy(spec.period).agg(F.sum(UNITS).alias("valor")).orderBy(*asc(spec.period))
+    return sort_bounded(rows.groupBy(spec.period).agg(F.sum(UNITS).alias("valor")), *asc(spec.period))

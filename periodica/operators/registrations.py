@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from periodica.functions.frames import gather
 from periodica.operators.pairs import (
     PREVIOUS,
     SIDE,
@@ -93,11 +94,12 @@ def registrations(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
         F.max("_conhecido").alias("_conhecido"),
         F.max("_conhecido_antes").alias("_conhecido_antes"),
     )
-    # One row per (period, model year) from here on.
+    # One row per (period, model year) from here on: window and sort share one partition.
     whole = Window.partitionBy(spec.period)
     paired = F.max("_conhecido").over(whole) & F.max("_conhecido_antes").over(whole)
     return (
-        yearly.select(
+        gather(yearly)
+        .select(
             spec.period,
             spec.year,
             FLOW,

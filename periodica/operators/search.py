@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from periodica.functions.frames import sort_bounded
 from periodica.functions.text import like_ignore_case
 from periodica.operators.enrich import enrich_models
 from periodica.operators.stock import at_period, stock_by
@@ -21,10 +22,18 @@ def _hits(fact: DataFrame, pattern: str, spec: SnapshotSpec) -> DataFrame:
     return fact.filter(like_ignore_case(F.col(spec.model), pattern)).select(*spec.row_columns)
 
 
-def search_rows(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    """Rows whose code matches a case-insensitive LIKE pattern."""
+def search_rows(
+    fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC, ordered: bool = True
+) -> DataFrame:
+    """Rows whose code matches a case-insensitive LIKE pattern.
+
+    ``ordered=False`` leaves out the total order, a shuffle of all hits.
+    """
+    rows = _hits(fact, pattern, spec)
+    if not ordered:
+        return rows
     order = [spec.period, spec.model, spec.state, spec.city, spec.year, spec.measure]
-    return _hits(fact, pattern, spec).orderBy(*asc(*order))
+    return rows.orderBy(*asc(*order))
 
 
 def family_like(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
@@ -35,7 +44,7 @@ def family_like(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC
 
 def family_series(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Matching stock per period."""
-    return stock_by(_hits(fact, pattern, spec), spec.period, spec=spec).orderBy(*asc(spec.period))
+    return sort_bounded(stock_by(_hits(fact, pattern, spec), spec.period, spec=spec), *asc(spec.period))
 
 
 def search_slice(

@@ -81,7 +81,7 @@ def models_by_year(
     spec: SnapshotSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """Models of one model year, at a period or over all of them."""
-    rows = fact if period is None else at_period(fact, period, spec)
+    rows = at_period(fact, period, spec) if period else fact
     stock = stock_by(rows.filter(F.col(spec.year) == year), spec.model, spec=spec)
     return _top(stock, desc("total") + asc(spec.model), None)
 
@@ -91,11 +91,13 @@ def fleet_model(
     model: str,
     period: str | date | None = None,
     spec: SnapshotSpec = DEFAULT_SPEC,
+    ordered: bool = True,
 ) -> DataFrame:
-    """The rows of one model."""
-    rows = fact if period is None else at_period(fact, period, spec)
+    """The rows of one model; ``ordered=False`` leaves out the total order, a shuffle of them."""
+    rows = at_period(fact, period, spec) if period else fact
+    kept = rows.filter(F.col(spec.model) == model).select(*spec.row_columns)
     order = [spec.period, spec.state, spec.city, spec.year, spec.measure]
-    return rows.filter(F.col(spec.model) == model).select(*spec.row_columns).orderBy(*asc(*order))
+    return kept.orderBy(*asc(*order)) if ordered else kept
 
 
 def model_by_state(
@@ -188,5 +190,6 @@ def concentration_leaders(
     """
     cities = city_concentration(fact, period, candidates, spec)
     bucket = plain_text(NO_INFORMATION)
-    kept = cities.filter((normalize_label(F.col(spec.city)) != bucket) & (F.col("total") >= minimum))
+    in_bucket = normalize_label(F.col(spec.city)).eqNullSafe(F.lit(bucket))
+    kept = cities.filter(~in_bucket & (F.col("total") >= minimum))
     return _top(kept, desc("share_uf_pct", "total") + asc(spec.city, spec.state), limit)
