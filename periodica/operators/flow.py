@@ -22,7 +22,8 @@ def _pair_flow() -> Column:
 
 def annual_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Observed periods and summed positive model flows per calendar year."""
-    per_period = period_pairs(fact, [spec.model], spec).groupBy(spec.period).agg(F.sum(_pair_flow()).alias("fluxo"))
+    pairs = period_pairs(fact, [spec.model], spec, phantom_row=False)
+    per_period = pairs.groupBy(spec.period).agg(F.sum(_pair_flow()).alias("fluxo"))
     # Gathered before the second grouping: one row per period.
     per_year = gather(per_period).groupBy(F.year(spec.period).alias("ano"))
     sums = per_year.agg(F.count(F.lit(1)).alias("meses_observados"), F.sum("fluxo").alias("vendas_total"))

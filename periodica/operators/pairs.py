@@ -93,12 +93,16 @@ def two_sided_stock(
 
 
 def period_pairs(
-    fact: DataFrame, keys: Sequence[str], spec: SnapshotSpec = DEFAULT_SPEC
+    fact: DataFrame,
+    keys: Sequence[str],
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    phantom_row: bool = True,
 ) -> DataFrame:
     """Stock per (period, keys) next to the stock at the previous observed period.
 
     A key absent on one side counts 0 there; a key with a NULL never pairs. The first period has
-    no previous one and contributes a row of NULL keys with stock 0, as an outer join would.
+    no previous one and contributes a row of NULL keys with stock 0, as an outer join would;
+    sums do not need it, and leaving it out keeps the partitioning by ``keys``.
     """
     pairs = two_sided_stock(fact, keys, keys, keys, spec).select(
         spec.period,
@@ -106,6 +110,8 @@ def period_pairs(
         *keys,
         *(F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in (STOCK, STOCK_BEFORE)),
     )
+    if not phantom_row:
+        return pairs
     types = dict(fact.select(*keys).dtypes)
     phantom = calendar(fact, spec).filter(F.col(PREVIOUS).isNull()).select(
         spec.period,

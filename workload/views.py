@@ -102,11 +102,13 @@ def _written(
         return plan()
     app = spark.sparkContext.applicationId
     key = (app, sf_dir.rstrip("/"), name)
+    digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
+    path = f"{folder}/periodica-{app}/{name}-{digest}"
     if key not in _frames:
-        digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
-        path = f"{folder}/periodica-{app}/{name}-{digest}"
         write(plan(), path)
         _frames[key] = read(spark, path)
+    elif _frames[key].sparkSession is not spark:
+        _frames[key] = read(spark, path)
     return _frames[key]
 
 
