@@ -18,6 +18,8 @@ def build_session(app_name: str = "periodica", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.compression.codec": "zstd",
+        # Generated code of a session that asks many different questions stays compiled.
+        "spark.sql.codegen.cache.maxEntries": "1000",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     builder = SparkSession.builder.appName(app_name)
