@@ -46,3 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that SQL can express."""
+    return {}
