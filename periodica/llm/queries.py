@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import decontaminate, mixing, sharding, simhash, toxicity
+from periodica.llm import decontaminate, html_text, mixing, neighbours, quality, sharding, simhash, token_counts, toxicity
 from periodica.llm.common import table
 
 
+def op1_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.with_token_counts(docs, vocabulary, public_tokenizers.PATTERN, ("text",))
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -23,12 +31,28 @@ def op3_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
 
 
+def op4_boosted_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.with_main_text(pages, html_text.fit(pages))
+
+
 def op5_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_severity(docs, model, drop=("text",))
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_scores(docs, model, drop=("text",))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.count_hits(

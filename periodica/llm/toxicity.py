@@ -26,9 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import per_row, text_of
+from periodica.llm.common import cut, per_row, text_of
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 FEATURES = 4_000
 #: A feature has to occur in so many labelled documents.
 SUPPORT = 3
@@ -174,7 +174,7 @@ def _minimise(rows, columns, values, lengths, grades, n_features, steps=400, l2=
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, keep: F.Column | None = None) -> Severity:
     """The model of ``labels.toxic``, fitted on at most ``sample_rows`` labelled documents."""
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, keep)
+    sample = cut(labelled_sample(docs, labels, "toxic", sample_rows, keep), "labelled")
     counts = {r.label > 0: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Severity({}, 0.0, [])
@@ -182,32 +182,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, keep: F.C
     index = {f: i for i, (f, _) in enumerate(chosen)}
     indicators = {f for f, odds in chosen if odds >= 3}
     probe = Severity(dict.fromkeys(index, 0.0), 0.0, [])
-    shared = docs.sparkSession.sparkContext.broadcast((probe, indicators))
+    shared = docs.sparkSession.sparkContext.broadcast((probe, indicators, index))
 
     def make():
-        model, marked = shared.value
+        model, marked, place = shared.value
 
         def run(texts):
-            found = [model.vector(t) for t in texts]
-            density = []
-            for t in texts:
-                counted = word_counts(t)
+            known, amount, length, density = [], [], [], []
+            for text in texts:
+                x, log_length = model.vector(text)
+                names = sorted(x, key=place.__getitem__)
+                known.append(np.array([place[f] for f in names], np.int32).tobytes())
+                amount.append(np.array([x[f] for f in names], np.float32).tobytes())
+                length.append(log_length)
+                counted = word_counts(text)
                 hits = sum(n for w, n in counted.items() if any(f in marked for f in features_of(w)))
                 density.append(hits / max(1, sum(counted.values())))
-            return [sorted(x) for x, _ in found], [[x[f] for f in sorted(x)] for x, _ in found], [l for _, l in found], density
+            return known, amount, length, density
 
         return run
 
-    fields = [("known", "array<string>"), ("amount", "array<double>"), ("length", "double"), ("density", "double")]
-    got = per_row(sample, ["text"], fields, make, ("text",)).sort("doc_id", "length", "density").collect()
-    density = np.array([r.density for r in got])
-    toxic = np.array([r.label > 0 for r in got])
+    # A few numbers for each sampled row come to the driver, packed.
+    fields = [("known", "binary"), ("amount", "binary"), ("length", "double"), ("density", "double")]
+    got = per_row(sample, ["text"], fields, make, ("text",)).sort("doc_id", "length", "density").toArrow()
+    density, lengths = got["density"].to_numpy(), got["length"].to_numpy()
+    toxic = got["label"].to_numpy() > 0
     thirds = np.quantile(density[toxic], [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + np.searchsorted(thirds, density, side="left"), 0)
-    rows = np.repeat(np.arange(len(got)), [len(r.known) for r in got])
-    columns = np.array([index[f] for r in got for f in r.known], np.int64)
-    values = np.array([v for r in got for v in r.amount], float)
-    lengths = np.array([r.length for r in got])
+    packed = got["known"].to_pylist()
+    rows = np.repeat(np.arange(len(packed), dtype=np.int32), [len(k) // 4 for k in packed])
+    columns = np.frombuffer(b"".join(packed), np.int32)
+    values = np.frombuffer(b"".join(got["amount"].to_pylist()), np.float32)
     params, thresholds = _minimise(rows, columns, values, lengths, grades, len(index))
     weights = {f: float(params[i]) for f, i in index.items() if abs(params[i]) > 1e-6}
     return Severity(weights, float(params[len(index)]), thresholds)
