@@ -360,11 +360,21 @@ def extract_all(pages: list[str | None], model: BoostedTrees | None) -> list[str
                 node.kept = not node.hidden
         else:
             decode(order, odds[at : at + len(order)])
+            if not any(node.kept for node in order):
+                _keep_marked(order)
         at += len(order)
         texts.append(text_of_nodes(order))
     return texts
 
 
+def _keep_marked(order: list[Node]) -> None:
+    """Where nothing was judged content: the marked article if there is one, else a page that says nothing of its parts."""
+    truth = weak_truth(order)
+    plain = not any(node.senses for node in order)
+    for node in order:
+        node.kept = not node.hidden and (bool(truth[node.index]) if truth is not None else plain)
+
+
 # Training pages.
 
 _CONTAINERS = ["article", "main", "div", "section", "td", "div", "div"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import decontaminate, html_text, mixing, neighbours, quality, sharding, simhash, token_counts, toxicity
+from periodica.llm import decontaminate, html_text, mixing, neighbours, quality, repeats, sharding, simhash, token_counts, toxicity
 from periodica.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_previous_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
