@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +49,16 @@ def month_label(c: Column) -> Column:
     return F.concat(F.element_at(names, F.month(c)), F.lit("/"), F.date_format(c, "yy"))
 
 
+def first_trailing_month(end: str | date, months: int | None) -> date | None:
+    """The day from which ``within_trailing_months`` keeps periods; ``None`` means from the beginning."""
+    last = to_date(end)
+    if months is None:
+        return None
+    year, month = divmod(last.year * 12 + last.month - months, 12)
+    days = (date(year + month // 11, (month + 1) % 12 + 1, 1) - timedelta(days=1)).day
+    return date(year, month + 1, min(last.day, days))
+
+
 def within_trailing_months(c: Column, end: str | date, months: int | None) -> Column:
     """Periods of the last ``months`` months up to ``end``; ``None`` means all up to ``end``."""
     last = F.lit(to_date(end))

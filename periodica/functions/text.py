@@ -94,7 +94,8 @@ def contains_any(c: Column, tokens: Iterable[str]) -> Column:
 
 def like_ignore_case(c: Column, pattern: str) -> Column:
     """Case-insensitive LIKE in which a backslash is an ordinary character."""
-    return F.upper(c).like(pattern.upper().replace("\\", "\\\\"))
+    # Both sides are upper-cased by Spark, whose Unicode tables may be newer than Python's.
+    return F.like(F.upper(c), F.upper(F.lit(pattern.replace("\\", "\\\\"))))
 
 
 def title_case(c: Column) -> Column:

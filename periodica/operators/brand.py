@@ -48,27 +48,39 @@ def brand_kpis(
 ) -> DataFrame:
     """Total, distinct models, leading model, leading model year (unknown counts as one), pending.
 
-    The rows are aggregated once per (model, year); every figure derives from that shuffle.
+    One scan: sums per (model, year) are summed up by grouping sets, and the leaders are the smallest
+    of structs that spell out their order.
     """
     units = F.col(spec.measure)
     base = snapshot.groupBy(spec.model, spec.year).agg(
         F.sum(units).alias("total"), F.sum(F.when(_pending(spec), units)).alias("pendente")
     )
-    models = label_models(base.groupBy(spec.model).agg(F.sum("total").alias("total")), brand, spec)
-    years = base.groupBy(spec.year).agg(F.sum("total").alias("total"))
-    top_model = models.orderBy(*desc("total"), *asc(NAME, spec.model)).limit(1)
-    top_year = years.orderBy(*desc("total", spec.year)).limit(1)
-    figures = base.agg(
-        F.sum("total").alias("total"),
-        F.coalesce(F.sum("pendente"), F.lit(0).cast("bigint")).alias("pendente"),
+    model, year = F.col(spec.model), F.col(spec.year)
+    sets = base.groupingSets([[model], [year], []], model, year).agg(
+        F.grouping_id().alias("conjunto"), F.sum("total").alias("total"), F.sum("pendente").alias("pendente")
     )
+    of_model, of_year, of_all = (F.col("conjunto") == i for i in (1, 2, 3))
+
+    def first(condition: Column, *order: Column) -> Column:
+        """Smallest by ``order``, NULL last in each place."""
+        parts = [p for o in order for p in (o.isNull(), o)]
+        return F.min(F.when(condition, F.struct(*(p.alias(f"o{i}") for i, p in enumerate(parts)))))
+
+    figures = label_models(sets, brand, spec).agg(
+        F.max(F.when(of_all, F.col("total"))).alias("total"),
+        F.coalesce(F.max(F.when(of_all, F.col("pendente"))), F.lit(0).cast("bigint")).alias("pendente"),
+        F.count(F.when(of_model, model)).alias("modelos"),
+        first(of_model, -F.col("total"), F.col(NAME), model).alias("modelo"),
+        first(of_year, -F.col("total"), -year).alias("ano"),
+    )
+    year_label = F.coalesce((-F.col("ano.o3")).cast("string"), F.lit(NO_YEAR))
     return figures.select(
         "total",
-        models.agg(F.count(spec.model)).scalar().alias("modelos"),
-        top_model.select(NAME).scalar().alias("modelo_lider"),
-        top_model.select("total").scalar().alias("modelo_lider_total"),
-        top_year.select(_year_label(spec)).scalar().alias("my_lider"),
-        top_year.select("total").scalar().alias("my_lider_total"),
+        "modelos",
+        F.col("modelo.o3").alias("modelo_lider"),
+        (-F.col("modelo.o1")).alias("modelo_lider_total"),
+        F.when(F.col("ano").isNotNull(), year_label).alias("my_lider"),
+        (-F.col("ano.o1")).alias("my_lider_total"),
         "pendente",
     )
 

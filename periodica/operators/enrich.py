@@ -38,6 +38,8 @@ def enrich_models(
     """
     if source not in frame.columns:
         return frame
+    # Names the frame already carries are replaced.
+    frame = frame.drop(*(c for c in (CODE, NAME, DISPLAY) if c != source))
     if glossary is None:
         named = frame.withColumns({CODE: F.col(source), NAME: F.lit("")})
     else:

@@ -10,7 +10,15 @@ from pyspark.sql.window import Window
 
 from periodica.functions.frames import gather, sort_bounded
 from periodica.functions.numbers import percent
-from periodica.operators.pairs import PREVIOUS, STOCK, STOCK_BEFORE, period_pairs, positive_flow
+from periodica.operators.pairs import (
+    PREVIOUS,
+    STOCK,
+    STOCK_BEFORE,
+    period_pairs,
+    periods_of,
+    positive_flow,
+    with_period_before,
+)
 from periodica.operators.stock import stock_by
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit, desc
 
@@ -95,12 +103,14 @@ def entries_proxy(
 ) -> DataFrame:
     """Stock, net change and positive change of one model at every observed period.
 
-    Periods without the model count 0; ``start`` and ``end`` cut the lagged series.
+    Periods without the model count 0; ``start`` and ``end`` cut the lagged series, which reads one period
+    before ``start`` and none after ``end``.
     """
+    fact = with_period_before(fact, start, end, spec)
     rows = fact.filter(F.col(spec.model) == model)
     stock = stock_by(rows, spec.period, spec=spec, name="estoque")
     # Both sides have at most one row per period.
-    dense = fact.select(spec.period).distinct().join(F.broadcast(stock), spec.period, "left").select(
+    dense = periods_of(fact, spec).join(F.broadcast(stock), spec.period, "left").select(
         spec.period, F.coalesce("estoque", F.lit(0).cast("bigint")).alias("estoque")
     )
     change = F.col("estoque") - F.lag("estoque").over(Window.orderBy(spec.period))

@@ -66,6 +66,33 @@ def count_input(rows: DataFrame, brand: BrandFilter, spec: SnapshotSpec = DEFAUL
     )
 
 
+def counted_groups(
+    rows: DataFrame, brand: Brand, period: str | date, spec: SnapshotSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """The consolidation of all raw rows: groups of the brand, and everything else as one group.
+
+    ``da_marca`` tells them apart and ``linhas`` counts the raw rows, so that one pass over the text gives
+    both the rows to load and the counters of the input.
+    """
+    ours = F.coalesce(brand.filter.matches(F.col(spec.model)), F.lit(False))
+    typed = typed_rows(rows.withColumn("_marca", ours).withColumns(
+        {c: F.when(F.col("_marca"), F.col(c)) for c in rows.columns if c in spec.columns}
+    ), brand, period, spec).withColumn("da_marca", F.col(spec.model).isNotNull())
+    keys = [c for c in spec.columns if c != spec.measure]
+    return typed.groupBy("da_marca", *keys).agg(
+        F.sum(spec.measure).alias(spec.measure), F.count(F.lit(1)).alias("linhas")
+    )
+
+
+def counters(groups: DataFrame) -> DataFrame:
+    """Rows read and rows of the brand, from ``counted_groups``."""
+    rows, zero = F.col("linhas"), F.lit(0).cast("bigint")
+    return groups.agg(
+        F.coalesce(F.sum(rows), zero).alias("linhas_lidas"),
+        F.coalesce(F.sum(F.when(F.col("da_marca"), rows)), zero).alias("linhas_marca"),
+    )
+
+
 def reconcile(
     fact: DataFrame,
     period: str | date,

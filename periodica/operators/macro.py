@@ -1,4 +1,4 @@
-"""Bucketed series and residuals over the frame that ``registrations`` returns.
+"""Bucketed series and residuals over the frame that ``registrations`` or ``trailing_registrations`` returns.
 
 These work on one row per (period, model year). Each derives what it needs in one aggregation
 per bucket instead of joining series that come from the same rows.
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from periodica.functions.dates import bucket_label, bucket_start, within_trailing_months
-from periodica.operators.registrations import FLOW, TOTAL
+from periodica.functions.dates import bucket_label, bucket_start, first_trailing_month, within_trailing_months
+from periodica.operators.registrations import FLOW, TOTAL, registrations
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, desc, to_date
 
 START = "period_start"
@@ -29,26 +29,33 @@ UNIDENTIFIED = "MY nao identificado"
 YEAR_PREFIX = "MY "
 
 
+def trailing_registrations(
+    fact: DataFrame, end: str | date, months: int | None = None, spec: SnapshotSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """``registrations`` of the last ``months`` months up to ``end``; no other period is read but the one before."""
+    return registrations(fact, spec, since=first_trailing_month(end, months), until=end)
+
+
 def trailing_window(
-    registrations: DataFrame,
+    flows: DataFrame,
     end: str | date,
     months: int | None = None,
     spec: SnapshotSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """The last ``months`` months up to ``end``, or everything up to ``end``."""
-    kept = registrations.filter(within_trailing_months(F.col(spec.period), end, months))
+    kept = flows.filter(within_trailing_months(F.col(spec.period), end, months))
     return kept.orderBy(*asc(spec.period, spec.year))
 
 
 def bucketed(
-    registrations: DataFrame,
+    flows: DataFrame,
     end: str | date,
     grain: str = "month",
     months: int | None = None,
     spec: SnapshotSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """Trailing window with the start and the label of each row's bucket."""
-    kept = registrations.filter(within_trailing_months(F.col(spec.period), end, months))
+    kept = flows.filter(within_trailing_months(F.col(spec.period), end, months))
     period = F.col(spec.period)
     return kept.withColumns(
         {START: bucket_start(period, grain), LABEL: bucket_label(period, grain)}

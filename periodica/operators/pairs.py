@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from periodica.operators.stock import stock_by
-from periodica.spec import DEFAULT_SPEC, SnapshotSpec
+from periodica.spec import DEFAULT_SPEC, SnapshotSpec, date_lit
 
 PREVIOUS = "competencia_anterior"
 STOCK = "estoque_atual"
@@ -31,6 +32,28 @@ def calendar(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
+def periods_of(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """Observed periods."""
+    return fact.select(spec.period).distinct()
+
+
+def with_period_before(
+    fact: DataFrame, since: str | date | None, until: str | date | None, spec: SnapshotSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """Rows of the periods from the last one observed before ``since`` to ``until``.
+
+    The earlier period is found from the period column alone, and both bounds prune partitions.
+    """
+    period = F.col(spec.period)
+    if until is not None:
+        fact = fact.filter(period <= date_lit(until))
+    if since is None:
+        return fact
+    first = date_lit(since)
+    before = fact.filter(period < first).agg(F.max(spec.period)).scalar()
+    return fact.filter(period >= F.coalesce(before, first))
+
+
 def two_sided_stock(
     fact: DataFrame,
     keys: Sequence[str],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +14,12 @@ from periodica.operators.pairs import (
     SIDE,
     STOCK,
     STOCK_BEFORE,
-    calendar,
+    periods_of,
     positive_flow,
     two_sided_stock,
+    with_period_before,
 )
-from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc
+from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit
 
 FLOW = "emplacamentos"
 TOTAL = "emplacamentos_total"
@@ -71,16 +74,24 @@ def adjusted_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
     )
 
 
-def registrations(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+def registrations(
+    fact: DataFrame,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    since: str | date | None = None,
+    until: str | date | None = None,
+) -> DataFrame:
     """Corrected flow per period and model year, with the uncorrected total of the period.
 
     Every period appears: one without known-year stock on either side of the comparison, such as
     the first, has a row with NULL model year and flow 0.
+
+    With ``since`` and ``until`` only these periods are read, and the one observed before them: a flow looks
+    back one observed period. The answer is that part of the unbounded one.
     """
-    rows = adjusted_flow(fact, spec).select(
-        spec.period, spec.year, FLOW, TOTAL, "_conhecido", "_conhecido_antes"
-    )
-    every_period = calendar(fact, spec).select(
+    fact = with_period_before(fact, since, until, spec)
+    pairs = adjusted_flow(fact, spec)
+    rows = pairs.select(spec.period, spec.year, FLOW, TOTAL, "_conhecido", "_conhecido_antes")
+    every_period = periods_of(fact, spec).select(
         spec.period,
         F.lit(None).cast(dict(rows.dtypes)[spec.year]).alias(spec.year),
         F.lit(0.0).alias(FLOW),
@@ -94,6 +105,8 @@ def registrations(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
         F.max("_conhecido").alias("_conhecido"),
         F.max("_conhecido_antes").alias("_conhecido_antes"),
     )
+    if since is not None:
+        yearly = yearly.filter(F.col(spec.period) >= date_lit(since))
     # One row per (period, model year) from here on: window and sort share one partition.
     whole = Window.partitionBy(spec.period)
     paired = F.max("_conhecido").over(whole) & F.max("_conhecido_antes").over(whole)

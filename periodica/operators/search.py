@@ -128,3 +128,31 @@ def search_series(
             "serie", F.col(column).cast("string")
         )
     return series.select(spec.period, "serie", "valor").orderBy(*asc(spec.period, "serie"))
+
+
+def search_series_by_segment(
+    hits: DataFrame, term: str = "", glossary: DataFrame | None = None, spec: SnapshotSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """``search_series`` of every segment, told apart by ``segmento``.
+
+    One pass over the hits: each row offers its value for every segment, and sums are combined map-side
+    before the only shuffle of their size. Names are attached to the summed codes.
+    """
+    values = {
+        "consolidated": F.lit(f"Busca: {term.strip()}"),
+        "model": F.col(spec.model),
+        "year": F.col(spec.year).cast("string"),
+        "state": F.col(spec.state),
+        "city": F.col(spec.city),
+    }
+    offers = F.array(*(F.struct(F.lit(s).alias("segmento"), values[s].alias("serie")) for s in SEGMENTS))
+    # A code may be missing, a missing value of the other segments has no series.
+    kept = F.col("serie").isNotNull() | (F.col("segmento") == "model")
+    offered = hits.select(spec.period, F.col(spec.measure).alias("valor"), F.inline(offers)).filter(kept)
+    sums = offered.groupBy(spec.period, "segmento", "serie").agg(F.sum("valor").alias("valor"))
+    of_model = F.when(F.col("segmento") == "model", F.col("serie"))
+    named = enrich_models(sums.withColumn("_modelo", of_model), glossary, "_modelo")
+    serie = F.when(F.col("segmento") == "model", F.col("nome_exibicao")).otherwise(F.col("serie"))
+    series = named.select(spec.period, "segmento", serie.alias("serie"), "valor")
+    summed = series.groupBy(spec.period, "segmento", "serie").agg(F.sum("valor").alias("valor"))
+    return summed.orderBy(*asc("segmento", spec.period, "serie"))

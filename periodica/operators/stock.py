@@ -139,8 +139,8 @@ def city_concentration(
 ) -> DataFrame:
     """Largest cities with their percentage of the state and of the country.
 
-    The cut to ``limit`` rows comes first, so shares are computed for the survivors only and the
-    state totals meet a side of at most ``limit`` rows, which is why that side may be broadcast.
+    The cut to ``limit`` rows comes first, so shares are computed for the survivors only. The optimizer knows
+    that bound and broadcasts the survivors if they are few.
     """
     cities = stock_by(at_period(fact, period, spec), spec.city, spec.state, spec=spec)
     states = _state_totals(cities, spec)
@@ -148,7 +148,7 @@ def city_concentration(
     leaders = _top(cities, desc("total") + asc(spec.city, spec.state), limit)
 
     same_state = F.col(f"s.{spec.state}").eqNullSafe(F.col(f"c.{spec.state}"))
-    joined = states.alias("s").join(F.broadcast(leaders.alias("c")), same_state)
+    joined = states.alias("s").join(leaders.alias("c"), same_state)
     # A city without a state has no state total to be compared with.
     total_state = F.when(F.col(f"c.{spec.state}").isNotNull(), F.col("s.total_uf"))
     return joined.select(
@@ -176,6 +176,19 @@ def gold_year(
     return _top(years.withColumn("share_pct", share), desc("total", spec.year), limit)
 
 
+def large_cities(
+    fact: DataFrame, period: str | date, candidates: int = 30, limit: int = 15, spec: SnapshotSpec = DEFAULT_SPEC
+) -> DataFrame:
+    """The largest cities with both shares, the no-information bucket dropped after the cut to ``candidates``."""
+    kept = _without_bucket(city_concentration(fact, period, candidates, spec), spec)
+    return _top(kept, desc("total") + asc(spec.city, spec.state), limit)
+
+
+def _without_bucket(cities: DataFrame, spec: SnapshotSpec) -> DataFrame:
+    bucket = plain_text(NO_INFORMATION)
+    return cities.filter(~normalize_label(F.col(spec.city)).eqNullSafe(F.lit(bucket)))
+
+
 def concentration_leaders(
     fact: DataFrame,
     period: str | date,
@@ -188,8 +201,6 @@ def concentration_leaders(
 
     The no-information bucket is dropped after the cut, as is a city below ``minimum`` units.
     """
-    cities = city_concentration(fact, period, candidates, spec)
-    bucket = plain_text(NO_INFORMATION)
-    in_bucket = normalize_label(F.col(spec.city)).eqNullSafe(F.lit(bucket))
-    kept = cities.filter(~in_bucket & (F.col("total") >= minimum))
+    cities = _without_bucket(city_concentration(fact, period, candidates, spec), spec)
+    kept = cities.filter(F.col("total") >= minimum)
     return _top(kept, desc("share_uf_pct", "total") + asc(spec.city, spec.state), limit)

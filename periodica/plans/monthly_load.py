@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.operators.ingest import consolidate, count_input, filter_brand, reconcile, typed_rows
+from periodica.operators.ingest import count_input, counted_groups, counters, reconcile
 from periodica.presets import Brand
+from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period
 from periodica.sources.registry import canonicalize, read_registry
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec
@@ -16,21 +18,25 @@ from periodica.spec import DEFAULT_SPEC, SnapshotSpec
 def load_month(
     spark: SparkSession,
     source: str,
-    table: str,
+    path: str | None,
     period: str | date,
     previous: str | date,
     brand: Brand,
     spec: SnapshotSpec = DEFAULT_SPEC,
+    *,
+    table: str | None = None,
 ) -> DataFrame:
     """Read, clean, consolidate and replace one period; returns the reconciliation as one row.
 
-    Splits of the text files stay independent up to the consolidation, the only shuffle before
-    the write. The returned frame is lazy: it counts the input again when it is asked for.
+    The target is a ``path`` or a catalog ``table``. The text is read once: its consolidation, with the
+    counters of the input, is written to the shared folder, and both the partition and the report come from there.
     """
     raw = canonicalize(read_registry(spark, source, spec=spec), spec)
-    rows = typed_rows(filter_brand(raw, brand.filter, spec), brand, period, spec)
-    replace_period(consolidate(rows, spec), table, period, spec, probe=rows)
-    return load_report(raw, read_facts(spark, table, spec), period, previous, brand, spec)
+    staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
+    counted_groups(raw, brand, period, spec).write.parquet(staged)
+    groups = spark.read.parquet(staged)
+    replace_period(groups.filter("da_marca"), path, period, spec, table=table)
+    return _report(counters(groups), read_facts(spark, path, spec, table=table), period, previous, spec)
 
 
 def load_report(
@@ -41,8 +47,11 @@ def load_report(
     brand: Brand,
     spec: SnapshotSpec = DEFAULT_SPEC,
 ) -> DataFrame:
-    """Input counts next to the reconciliation of the loaded period with the previous one."""
-    counts = count_input(raw, brand.filter, spec)
+    """Input counts of raw rows next to the reconciliation of the loaded period with the previous one."""
+    return _report(count_input(raw, brand.filter, spec), fact, period, previous, spec)
+
+
+def _report(counts: DataFrame, fact: DataFrame, period, previous, spec: SnapshotSpec) -> DataFrame:
     return reconcile(fact, period, previous, spec).select(
         counts.select("linhas_lidas").scalar().alias("linhas_lidas"),
         counts.select("linhas_marca").scalar().alias("linhas_marca"),

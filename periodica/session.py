@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -30,24 +26,9 @@ def build_session(app_name: str = "periodica", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, for tables that cut lineage.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session, whose
-    executors share this machine, may fall back to a temporary folder; elsewhere the answer is
-    ``None`` and callers keep the lazy plan.
-    """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        return None
-    app = context.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="periodica-")
-        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
-    return _local_folders[app]
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, for tables that cut lineage: the one in ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")

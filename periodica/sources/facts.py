@@ -1,60 +1,80 @@
-"""The snapshot fact table: parquet partitioned by period."""
+"""The snapshot fact table: parquet partitioned by period, given by path or by catalog name."""
 
 from __future__ import annotations
 
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from periodica.spec import DEFAULT_SPEC, SnapshotSpec, to_date
+from periodica.spec import DEFAULT_SPEC, SnapshotSpec, date_lit, to_date
 
 
-def read_facts(spark: SparkSession, source: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    """Scan a fact table given by path (contains ``/``) or by catalog name."""
-    if "/" in source:
-        return spark.read.schema(spec.schema()).parquet(source)
-    return spark.table(source)
+def _one_of(path: str | None, table: str | None) -> None:
+    if (path is None) == (table is None):
+        raise ValueError("give either a path or a catalog table")
 
 
-def _write(rows: DataFrame, path: str, spec: SnapshotSpec, overwrite_mode: str) -> None:
+def read_facts(
+    spark: SparkSession, path: str | None = None, spec: SnapshotSpec = DEFAULT_SPEC, *, table: str | None = None
+) -> DataFrame:
+    """Scan a fact table given by path or by catalog name."""
+    _one_of(path, table)
+    return spark.table(table) if table else spark.read.schema(spec.schema()).parquet(path)
+
+
+def _laid_out(rows: DataFrame, spec: SnapshotSpec) -> DataFrame:
     # REBALANCE groups rows by period for the directory layout, yet lets AQE split a period that
     # holds much of the data over many tasks and files. Sorting by model gives row groups narrow
     # model ranges, which the predicates on one model then skip.
-    (
-        rows.hint("rebalance", spec.period)
-        .sortWithinPartitions(spec.period, spec.model, spec.state, spec.city)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite_mode)
-        .partitionBy(spec.period)
-        .parquet(path)
-    )
+    return rows.hint("rebalance", spec.period).sortWithinPartitions(spec.period, spec.model, spec.state, spec.city)
 
 
-def write_facts(rows: DataFrame, path: str, spec: SnapshotSpec = DEFAULT_SPEC) -> None:
+def write_facts(
+    rows: DataFrame, path: str | None = None, spec: SnapshotSpec = DEFAULT_SPEC, *, table: str | None = None
+) -> None:
     """(Re)create the whole table."""
-    _write(rows, path, spec, "static")
+    _one_of(path, table)
+    writer = _laid_out(rows, spec).write.mode("overwrite").partitionBy(spec.period)
+    if table:
+        writer.format("parquet").saveAsTable(table)
+    else:
+        writer.option("partitionOverwriteMode", "static").parquet(path)
 
 
 def replace_period(
     rows: DataFrame,
-    path: str,
+    path: str | None,
     period: str | date,
     spec: SnapshotSpec = DEFAULT_SPEC,
     *,
+    table: str | None = None,
     probe: DataFrame | None = None,
 ) -> None:
     """Replace one period by ``rows``; running it again gives the same table.
 
-    A dynamic partition overwrite stages the new files and swaps the partition at job commit, so
-    a failed attempt leaves the old month in place and other months are never touched. Without
-    rows there is no partition to swap: the month is then emptied explicitly. ``probe`` is a
-    cheaper frame that is empty exactly when ``rows`` is, such as the input of an aggregation.
+    A row of another period fails the write, as the rows are written. The partition is swapped when the
+    job commits, so a failed attempt leaves the old month in place and other months are never touched.
+    Without rows the month is emptied. ``probe`` is a cheaper frame that is empty exactly when ``rows``
+    is, such as the input of an aggregation; a catalog table needs none.
     """
+    _one_of(path, table)
     day = to_date(period)
-    month = rows.filter(rows[spec.period] == day).select(
-        [c for c in spec.columns if c in rows.columns]
-    )
-    if (month if probe is None else probe).isEmpty():
+    found = F.col(spec.period).cast("date")
+    message = F.concat(F.lit(f"a row of {spec.period} "), F.coalesce(found.cast("string"), F.lit("NULL")), F.lit(f" in a load of {day}"))
+    checked = F.when(found.eqNullSafe(date_lit(day)), found).otherwise(F.raise_error(message).cast("date"))
+    month = rows.select([c for c in spec.columns if c in rows.columns]).withColumn(spec.period, checked)
+    if table:
+        # One static partition: it is replaced whole, also by nothing. The check stays in the rows that are inserted.
+        own = [c for c in rows.sparkSession.table(table).columns if c != spec.period]
+        values = [F.col(c) if c in month.columns else F.lit(None).alias(c) for c in own]
+        guarded = month.filter(F.col(spec.period).isNotNull()).select(values)
+        rows.sparkSession.sql(
+            f"INSERT OVERWRITE TABLE {table} PARTITION ({spec.period} = DATE '{day.isoformat()}') SELECT * FROM {{rows}}",
+            rows=guarded.hint("rebalance").sortWithinPartitions(spec.model, spec.state, spec.city),
+        )
+    elif (rows if probe is None else probe).isEmpty():
         month.drop(spec.period).write.mode("overwrite").parquet(f"{path}/{spec.period}={day.isoformat()}")
     else:
-        _write(month, path, spec, "dynamic")
+        writer = _laid_out(month, spec).write.mode("overwrite").partitionBy(spec.period)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -21,7 +21,9 @@ def read_registry(
 ) -> DataFrame:
     """Scan registry files as text columns plus the file each row came from.
 
-    Lines are the split boundary (no multi-line records), so one large file is read in parallel.
+    Lines are the split boundary (no multi-line records), so one large file is read in parallel. Nothing is
+    moved or dropped silently: a file whose header differs from the first one's fails the read, and so does a record
+    with more or fewer fields than the header, for which whole records are parsed whatever columns are asked for.
     """
     raw = (
         spark.read.option("sep", sep)
@@ -30,6 +32,9 @@ def read_registry(
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path if isinstance(path, str) else list(path))
     )
     return raw.withColumn(spec.lineage, F.col("_metadata.file_path"))
@@ -73,4 +78,4 @@ def canonicalize(raw: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame
     missing = [c for c in required if c not in mapping.values()]
     if missing:
         raise ValueError(f"no header matches {missing}; found {raw.columns}")
-    return raw.select([F.col(f"`{c}`").alias(mapping.get(c, c)) for c in raw.columns])
+    return raw.select([F.col("`" + c.replace("`", "``") + "`").alias(mapping.get(c, c)) for c in raw.columns])

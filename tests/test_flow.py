@@ -141,3 +141,44 @@ def test_registration_identities(facts):
 def test_every_period_appears(facts):
     fact = facts((1, "A", None, 5), (2, "A", None, 7), (3, "A", None, 7))
     assert rows(registrations(fact)) == [(D[0], None, 0.0, 0), (D[1], None, 0.0, 2), (D[2], None, 0.0, 0)]
+
+
+def history(facts):
+    """Gaps, a model that vanishes, one that comes back, unknown years, NULL places."""
+    return facts(
+        (1, "A", 2020, 5), (1, "B", 2020, 3), (1, "A", None, 4),
+        (2, "A", 2020, 7), (2, "A", None, 2), (2, "C", 2021, 1, None, None),
+        (5, "A", 2020, 9), (5, "B", 2020, 4), (5, "D", None, 8, "SP", None),
+        (6, "A", 2020, 9), (6, "C", 2021, 6), (6, "D", 2022, 8),
+        (9, "A", 2021, 2), (9, "B", 2020, 9),
+    )
+
+
+@pytest.mark.parametrize("since", [None, 1, 2, 3, 5, 6, 7, 9, 12])
+@pytest.mark.parametrize("until", [None, 1, 5, 7, 9])
+def test_bounded_history_gives_the_same_rows(spark, facts, since, until):
+    fact = history(facts)
+    low = None if since is None else date(2024, since, 1)
+    high = None if until is None else date(2024, until, 1)
+
+    def kept(row):
+        return (low is None or row[0] >= low) and (high is None or row[0] <= high)
+
+    bounded = rows(registrations(fact, since=low, until=high))
+    assert bounded == [r for r in rows(registrations(fact)) if kept(r)]
+    for model in ("A", "B"):
+        every = rows(flow.entries_proxy(fact, model))
+        assert rows(flow.entries_proxy(fact, model, low, high)) == [r for r in every if kept(r)]
+
+
+def test_trailing_months_are_bounded(spark, facts):
+    from periodica.functions.dates import first_trailing_month
+    from periodica.operators import macro
+
+    fact = history(facts)
+    for months in (None, 1, 2, 4, 12):
+        want = rows(macro.trailing_window(registrations(fact), "2024-06-01", months))
+        assert rows(macro.trailing_window(macro.trailing_registrations(fact, "2024-06-01", months), "2024-06-01", months)) == want
+    assert first_trailing_month("2024-03-31", 2) == date(2024, 2, 29)
+    assert first_trailing_month("2024-01-01", 12) == date(2023, 2, 1)
+    assert first_trailing_month("2024-01-15", 1) == date(2024, 1, 15)

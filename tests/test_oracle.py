@@ -12,6 +12,9 @@ from tools.check_oracle import compare, duck
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.keyed.queries(), entry.oracle.oracle_sql()
 
+# Keys of one model or place that have no row at this scale; at the next they have.
+THIN = {"model_by_uf", "model_by_city", "model_snapshot", "fleet_model_at_period", "search_slice_places", "brand_filter_regex"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -27,8 +30,7 @@ def test_every_query_has_its_sql():
 @pytest.mark.parametrize("key", QUERIES)
 def test_query_matches_sql(spark, database, key):
     problem = compare(QUERIES[key](spark, SF_DIR), database.sql(SQL[key]))
-    # The one model the keyed queries follow has no stock at the reference period at this scale.
-    assert problem in (None, "both empty")
+    assert problem is None or problem == "both empty" and key in THIN
 
 
 def test_entry_is_a_lazy_frame(spark):

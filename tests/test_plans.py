@@ -7,12 +7,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from workload import params as p
+from workload import queries as keyed
 from workload.views import fleet
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
+QUERIES = keyed.queries()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -67,3 +67,31 @@ def test_one_model_is_pushed_to_the_scan(spark):
 def test_fact_table_is_partitioned_by_period(spark):
     folder = os.path.dirname(fleet(spark, SF_DIR).inputFiles()[0])
     assert os.path.basename(folder).startswith("competencia=")
+
+
+BOUNDED = [
+    "entries_proxy", "trailing_window", "registrations_by_bucket_year", "registrations_total_by_bucket",
+    "registrations_unattributed", "active_years", "selected_years_dense", "other_years_residual", "default_years",
+]
+
+
+@pytest.mark.parametrize("key", BOUNDED)
+def test_bounded_questions_prune_periods(spark, key):
+    text = plan(QUERIES[key](spark, SF_DIR))
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "qtd_veiculos" in line]
+    assert scans
+    for line in scans:
+        filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", line)[1]
+        assert re.search(r"competencia#\d+ <= 2000-07-01", filters) and re.search(r"competencia#\d+ >= coalesce\(Subquery", filters)
+
+
+@pytest.mark.parametrize("key", ["search_series_by_segment", "brand_kpis", "territory_leaders"])
+def test_one_scan_of_the_fact(spark, key):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES[key](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len([s for s in fact_scans(text) if "qtd_veiculos" in s]) == 1
+    union = text.find("Union")
+    assert union < 0 or "rangepartitioning" not in text[union:]

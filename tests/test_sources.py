@@ -95,11 +95,87 @@ def test_period_replacement_is_idempotent_and_leaves_other_months(spark, facts,
         replace_period(update, table, "2024-02-01")
         got = sorted(rows(read_facts(spark, table).select("competencia", "marca_modelo", "qtd_veiculos")))
         assert got == [(date(2024, 1, 1), "A", 5), (date(2024, 2, 1), "C", 9)]
-    replace_period(facts((3, "D", 2021, 1), (2, "E", 2021, 1)), table, "2024-03-01")
+    replace_period(facts((3, "D", 2021, 1)), table, "2024-03-01")
     months = read_facts(spark, table).groupBy("competencia").count().orderBy("competencia")
     assert rows(months) == [(date(2024, m, 1), 1) for m in (1, 2, 3)]
 
 
+def test_rows_of_another_period_fail_the_load(spark, facts, tmp_path):
+    table = str(tmp_path / "fatos")
+    write_facts(facts((1, "A", 2020, 5)), table)
+    with pytest.raises(Exception, match="competencia 2024-02-01 in a load of 2024-03-01"):
+        replace_period(facts((3, "D", 2021, 1), (2, "E", 2021, 1)), table, "2024-03-01")
+    assert read_facts(spark, table).count() == 1
+
+
+@pytest.fixture()
+def catalog_table(spark, facts):
+    name = "periodica_test_fatos"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    write_facts(facts((1, "A", 2020, 5), (date(2026, 3, 1), "A", 2020, 10)), table=name)
+    yield name
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_catalog_table_is_loaded_month_by_month(spark, facts, catalog_table):
+    for _ in range(2):
+        replace_period(facts((2, "C", 2021, 9)), None, "2024-02-01", table=catalog_table)
+        got = read_facts(spark, table=catalog_table).select("competencia", "marca_modelo", "qtd_veiculos")
+        assert (date(2024, 2, 1), "C", 9) in rows(got) and got.count() == 3
+    with pytest.raises(Exception, match="in a load of"):
+        replace_period(facts((2, "C", 2021, 9), (3, "C", 2021, 9)), None, "2024-02-01", table=catalog_table)
+    replace_period(facts((2, "C", 2021, 9)).filter("false"), None, "2024-02-01", table=catalog_table)
+    assert read_facts(spark, table=catalog_table).count() == 2
+    with pytest.raises(ValueError, match="either"):
+        read_facts(spark, "x", table=catalog_table)
+
+
+def test_monthly_load_into_a_catalog_table(spark, registry, catalog_table):
+    path = registry("SP;X;H-D/A;2020;4", "SP;X;H-D/A;2020;5", "SP;X;YAMAHA/R1;2020;99")
+    for _ in range(2):
+        report = load_month(spark, path, None, "2026-04-01", "2026-03-01", BRAND_A, table=catalog_table)
+        assert rows(report) == [(3, 2, 1, 10, 9, -1)]
+
+
+def test_load_reads_the_text_once(spark, registry, tmp_path, monkeypatch):
+    from periodica.plans import monthly_load
+
+    scans = []
+    real = monthly_load.read_registry
+    monkeypatch.setattr(monthly_load, "read_registry", lambda *a, **k: scans.append(real(*a, **k)) or scans[-1])
+    path = registry("SP;X;H-D/A;2020;4")
+    report = load_month(spark, path, str(tmp_path / "fatos"), "2026-04-01", "2026-03-01", BRAND_A)
+    assert len(scans) == 1
+    assert "Scan csv" not in report._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("line", ["SP;X;H-D/A;2020;4;surplus", "SP;X;H-D/A"])
+def test_records_of_another_length_fail(spark, registry, line):
+    raw = canonicalize(read_registry(spark, registry("SP;X;H-D/A;2020;4", line)))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        raw.select("marca_modelo").collect()
+
+
+def test_files_of_another_header_fail(spark, registry, tmp_path):
+    one = registry("SP;X;H-D/A;2020;4")
+    other = tmp_path / "outro.txt"
+    other.write_bytes("UF;Qtd. Veículos;Marca Modelo;Ano Fabricação;Município\nSP;4;H-D/A;2020;X\n".encode("latin-1"))
+    with pytest.raises(Exception, match="(?i)header"):
+        read_registry(spark, [one, str(other)]).collect()
+
+
+def test_shared_folder_must_be_set(spark):
+    from periodica.session import shared_folder
+
+    class Bare:
+        conf = {}
+        sparkContext = type("C", (), {"getConf": staticmethod(dict)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Bare)
+    assert shared_folder(spark)
+
+
 def test_an_empty_load_empties_the_month(spark, facts, tmp_path):
     table = str(tmp_path / "fatos")
     write_facts(facts((1, "A", 2020, 5), (2, "A", 2020, 6)), table)

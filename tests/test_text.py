@@ -32,8 +32,12 @@ def test_normalize_text(spark):
     ]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(st.characters(max_codepoint=0x24F), max_size=12), min_size=20, max_size=40))
+# Letters whose upper case both Unicode versions at hand know: the files' Latin-1, and the decomposable ones beyond.
+_LETTERS = [chr(c) for c in range(0x250) if c < 0x100 or unicodedata.decomposition(chr(c))]
+
+
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from(_LETTERS), max_size=12), min_size=20, max_size=40))
 def test_normalize_text_follows_unicode_decomposition(spark, values):
     def expected(value):
         plain = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))

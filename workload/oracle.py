@@ -348,6 +348,12 @@ FROM (SELECT CAST(SUM(qtd_veiculos) AS BIGINT) AS a FROM loaded),
         "models_by_year": _sql(
             f"SELECT marca_modelo, {_units()} FROM fleet WHERE ano_fabricacao = {p.YEARS[0]} GROUP BY 1"
         ),
+        "models_by_year_at_period": _sql(
+            f"SELECT marca_modelo, {_units()} FROM fleet WHERE ano_fabricacao = {p.YEARS[0]} AND {AT_REF} GROUP BY 1"
+        ),
+        "fleet_model_at_period": _sql(
+            f"SELECT {_SIX_COLUMNS} FROM fleet WHERE {_OF_MODEL} AND {AT_REF}"
+        ),
         "fleet_model": _sql(f"SELECT {_SIX_COLUMNS} FROM fleet WHERE {_OF_MODEL}"),
         "model_by_uf": _sql(f"SELECT uf, {_units()} FROM fleet WHERE {_OF_MODEL} AND {AT_REF} GROUP BY uf"),
         "model_by_city": _sql(
@@ -371,6 +377,11 @@ WHERE strip_accents(upper(trim(municipio))) <> 'SEM INFORMACAO' AND total >= 100
 ORDER BY share_uf_pct DESC, total DESC, municipio, uf LIMIT 15""",
             cities=_CITIES,
         ),
+        "large_cities": _sql(
+            f"""SELECT * FROM ({_CITY_SHARES.format(k=30)})
+WHERE strip_accents(upper(trim(municipio))) <> 'SEM INFORMACAO' ORDER BY total DESC, municipio, uf LIMIT 15""",
+            cities=_CITIES,
+        ),
         # stock to flow
         "model_snapshot": _sql(
             f"""SELECT * FROM (SELECT competencia, CAST(q AS BIGINT) AS estoque,
@@ -449,6 +460,10 @@ LEFT JOIN (SELECT period_start, SUM(e) AS a, SUM(e) FILTER (WHERE ano_fabricacao
             f"""SELECT ano_fabricacao FROM (SELECT DISTINCT ano_fabricacao FROM known WHERE e > 0)
 WHERE ano_fabricacao >= {int(p.REF[:4]) - 2} ORDER BY 1 DESC LIMIT 3""",
         ),
+        "default_years_fallback": _bucketed(
+            "month",
+            "SELECT ano_fabricacao FROM (SELECT DISTINCT ano_fabricacao FROM known WHERE e > 0) ORDER BY 1 DESC LIMIT 3",
+        ),
         # pending stock
         "pending_series": _sql(_PENDING_SERIES, pending=_PENDING),
         "pending_snapshot": _sql(
@@ -468,6 +483,11 @@ GROUP BY 1 ORDER BY total_sem_info DESC, marca_modelo LIMIT 20""",
         "pending_total_series": _sql(
             f"SELECT competencia, {_units(name='valor')} FROM pending GROUP BY 1", pending=_PENDING
         ),
+        "pending_total_of_models": _sql(
+            f"""SELECT competencia, {_units(name='valor')} FROM pending
+WHERE marca_modelo IN ({_list(p.SOME_MODELS)}) GROUP BY 1""",
+            pending=_PENDING,
+        ),
         # matrices
         "stock_matrix": _sql(_STOCK_MATRIX),
         "flow_matrix": _sql(_FLOW_MATRIX, model_lag=_MODEL_LAG),
@@ -477,6 +497,11 @@ GROUP BY 1 ORDER BY total_sem_info DESC, marca_modelo LIMIT 20""",
  ON {', '.join(_MONTHS)} INTO NAME mes VALUE valor)""",
             matrix=_STOCK_MATRIX,
         ),
+        "matrix_named_rows": _sql(
+            f"""SELECT marca_modelo AS serie, mes, valor, {_LABEL} AS mes_label
+FROM (UNPIVOT (FROM matrix WHERE marca_modelo IN ({_list(p.SOME_MODELS)})) ON {', '.join(_MONTHS)} INTO NAME mes VALUE valor)""",
+            matrix=_STOCK_MATRIX,
+        ),
         "matrix_total_series": _sql(
             f"""SELECT 'Todos os modelos' AS serie, mes, {_units('valor', 'valor')}, {_LABEL} AS mes_label
 FROM (UNPIVOT matrix ON {', '.join(_MONTHS)} INTO NAME mes VALUE valor) GROUP BY mes""",
@@ -504,6 +529,11 @@ FROM (FROM tc ORDER BY ganho_mensal DESC, total_atual DESC, uf, municipio LIMIT
         "search_slice": _sql(
             f"SELECT {_SIX_COLUMNS} FROM hits WHERE ano_fabricacao IN ({YEARS})", hits=_HITS
         ),
+        "search_slice_places": _sql(
+            f"""SELECT {_SIX_COLUMNS} FROM hits
+WHERE uf IN ({_list(p.SOME_STATES)}) AND municipio IN ({_list(p.SOME_CITIES)})""",
+            hits=_HITS,
+        ),
         "search_facets": _sql(
             f"""SELECT 'ano_fabricacao' AS faceta, CAST(ano_fabricacao AS VARCHAR) AS valor FROM hits
  WHERE ano_fabricacao <= {p.REF[:4]} UNION SELECT 'uf', uf FROM hits UNION SELECT 'municipio', municipio FROM hits""",
@@ -614,6 +644,10 @@ WHERE marca_modelo IN ({_list(p.BRAND_MODELS)}) GROUP BY uf, municipio"""
         "brand_city_detail": _brand(
             f"""SELECT marca_modelo, friendly_name, family, coalesce(CAST(ano_fabricacao AS VARCHAR), 'Sem MY') AS ano_fabricacao,
  {_QTD} FROM bl WHERE uf = '{p.STATE}' AND municipio = '{p.CITY}' GROUP BY 1, 2, 3, 4"""
+        ),
+        "brand_city_names": _brand(
+            f"""SELECT friendly_name, {_QTD} FROM bl WHERE uf = '{p.STATE}' AND municipio = '{p.CITY}'
+GROUP BY friendly_name ORDER BY SUM(bl.qtd_veiculos) DESC, friendly_name LIMIT 12"""
         ),
         "brand_model_options": _brand(
             "SELECT DISTINCT marca_modelo, friendly_name FROM bl ORDER BY friendly_name, marca_modelo LIMIT 8"

@@ -3,12 +3,17 @@
 REF = "2000-07-01"
 LOAD_PERIOD = "2000-08-01"
 SOURCE_FILE = "registro.txt"
-MODEL = "IMP/H.DAVIDSON 1 FLHXSE"
+MODEL = "HARLEY DAVIDSON/129 XL1200X"
+SOME_MODELS = ("HARLEY DAVIDSON/144 FLHX", "HARLEY DAVIDSON/44 XR1200X", "H.DAVIDSON/7 RA1250S")
 START, END = "1999-11-01", "2000-07-01"
 PENDING_YEAR = 2000
 YEARS = (1998, 1999)
 PATTERN = "%FLHX%"
 TERM = "flhx"
 STATE, CITY = "NATION_15", " Sem Informação "
+SOME_STATES = ("NATION_1", "NATION_15", "NATION_7")
+SOME_CITIES = (" Sem Informação ", "Supplier#000000001")
+# So late that no model year of the tables is recent.
+LATE = "2040-01-01"
 MONTHS_BACK = 24
 BRAND_MODELS = ("INDIAN/SCOUT", "I/INDIAN CHIEF VINTAGE", "I/INDIAN CHIEF DARKHORSE", "IMP/INDIAN")

@@ -102,13 +102,17 @@ def _registrations(spark: SparkSession, sf: str) -> DataFrame:
     return registrations(fleet(spark, sf))
 
 
+def _trailing(spark: SparkSession, sf: str, months: int | None) -> DataFrame:
+    return macro.trailing_registrations(fleet(spark, sf), p.REF, months)
+
+
 def _rounded(frame: DataFrame, column: str = FLOW) -> DataFrame:
     return frame.withColumn(column, six_digits(F.col(column)))
 
 
 def _on_buckets(operator: Callable[..., DataFrame], grain: str, *args: object) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = macro.bucketed(_registrations(spark, sf), p.REF, grain, p.MONTHS_BACK)
+        rows = macro.bucketed(_trailing(spark, sf, p.MONTHS_BACK), p.REF, grain, p.MONTHS_BACK)
         frame = operator(rows, *args)
         return _rounded(frame) if FLOW in frame.columns else frame
 
@@ -144,16 +148,7 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _series_of_all_segments(spark: SparkSession, sf: str) -> DataFrame:
-    frames = [
-        search.search_series(_hits(spark, sf), segment, p.TERM, glossary(spark, sf)).withColumn(
-            "segmento", F.lit(segment)
-        )
-        for segment in search.SEGMENTS
-    ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return search.search_series_by_segment(_hits(spark, sf), p.TERM, glossary(spark, sf))
 
 
 def _classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,6 +189,8 @@ def queries() -> dict[str, Query]:
         "current_models": _on_fleet(stock.current_models, p.REF),
         "top_cities": _on_fleet(stock.top_cities, p.REF),
         "models_by_year": _on_fleet(stock.models_by_year, p.YEARS[0]),
+        "models_by_year_at_period": _on_fleet(stock.models_by_year, p.YEARS[0], p.REF),
+        "fleet_model_at_period": _on_fleet(stock.fleet_model, p.MODEL, p.REF),
         "fleet_model": _on_fleet(stock.fleet_model, p.MODEL),
         "model_by_uf": _on_fleet(stock.model_by_state, p.MODEL, p.REF),
         "model_by_city": _on_fleet(stock.model_by_city, p.MODEL, p.REF),
@@ -202,6 +199,7 @@ def queries() -> dict[str, Query]:
         "city_concentration": _on_fleet(stock.city_concentration, p.REF),
         "gold_year": _on_fleet(stock.gold_year, p.REF),
         "concentration_leaders": _on_fleet(stock.concentration_leaders, p.REF),
+        "large_cities": _on_fleet(stock.large_cities, p.REF),
         # stock to flow
         "model_snapshot": _on_fleet(flow.model_snapshot, p.MODEL, p.REF),
         "entries_proxy": _on_fleet(flow.entries_proxy, p.MODEL, p.START, p.END),
@@ -212,7 +210,7 @@ def queries() -> dict[str, Query]:
         "national_snapshot": _on_fleet(flow.national_snapshot, p.REF),
         "model_series": _on_fleet(flow.model_series, p.MODEL),
         # buckets and residuals
-        "trailing_window": lambda s, d: _rounded(macro.trailing_window(_registrations(s, d), p.REF, 12)),
+        "trailing_window": lambda s, d: _rounded(macro.trailing_window(_trailing(s, d, 12), p.REF, 12)),
         "period_bucket": _period_bucket,
         "registrations_by_bucket_year": _on_buckets(macro.flow_by_bucket_and_year, "quarter"),
         "registrations_total_by_bucket": _on_buckets(macro.total_by_bucket, "semester"),
@@ -221,6 +219,7 @@ def queries() -> dict[str, Query]:
         "selected_years_dense": _on_buckets(macro.selected_years_dense, "quarter", p.YEARS),
         "other_years_residual": _on_buckets(macro.residual_series, "quarter", p.YEARS),
         "default_years": _on_buckets(macro.default_years, "month", p.REF),
+        "default_years_fallback": _on_buckets(macro.default_years, "month", p.LATE),
         # pending stock
         "pending_series": _on_fleet(pending.pending_series, p.PENDING_YEAR),
         "pending_snapshot": _on_fleet(pending.pending_snapshot, p.REF, p.PENDING_YEAR),
@@ -229,12 +228,18 @@ def queries() -> dict[str, Query]:
         "pending_total_series": lambda s, d: pending.pending_total_series(
             pending.pending_model_series(fleet(s, d), p.PENDING_YEAR)
         ),
+        "pending_total_of_models": lambda s, d: pending.pending_total_series(
+            pending.pending_model_series(fleet(s, d), p.PENDING_YEAR), p.SOME_MODELS
+        ),
         # matrices
         "stock_matrix": _on_fleet(matrix.stock_matrix, p.YEARS, p.REF),
         "flow_matrix": _on_fleet(matrix.flow_matrix, p.YEARS, p.REF),
         "matrix_unpivot_topn": lambda s, d: matrix.matrix_series(
             matrix.stock_matrix(fleet(s, d), p.YEARS, p.REF)
         ),
+        "matrix_named_rows": lambda s, d: matrix.matrix_series(
+            matrix.stock_matrix(fleet(s, d), p.YEARS, p.REF), selected=p.SOME_MODELS
+        ),
         "matrix_total_series": lambda s, d: matrix.matrix_total_series(
             matrix.flow_matrix(fleet(s, d), p.YEARS, p.REF)
         ),
@@ -247,6 +252,9 @@ def queries() -> dict[str, Query]:
         "family_like": _on_fleet(search.family_like, p.PATTERN),
         "family_series": _on_fleet(search.family_series, p.PATTERN),
         "search_slice": _slice,
+        "search_slice_places": lambda s, d: search.search_slice(
+            fleet(s, d), p.TERM, p.REF, states=p.SOME_STATES, cities=p.SOME_CITIES
+        ),
         "search_facets": lambda s, d: search.search_facets(_hits(s, d), p.REF),
         "search_snapshot": lambda s, d: search.search_snapshot(_hits(s, d), p.REF, glossary(s, d)),
         "search_series_by_segment": _series_of_all_segments,
@@ -279,6 +287,7 @@ def queries() -> dict[str, Query]:
         "brand_by_city": _on_brand(brand.brand_by_city),
         "brand_city_list": _on_brand(brand.brand_city_list, p.BRAND_MODELS),
         "brand_city_detail": _on_brand(brand.brand_city_detail, p.STATE, p.CITY),
+        "brand_city_names": lambda s, d: brand.brand_city_names(brand.brand_city_detail(brand_b(s, d), p.STATE, p.CITY)),
         "brand_model_options": _on_brand(brand.brand_model_options),
         "brand_by_year": _on_brand(brand.brand_by_year),
         "brand_pending_models": _on_brand(brand.brand_pending_models),

@@ -89,21 +89,21 @@ def fleet_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLEET_SQL, **{t: table(spark, sf_dir, t) for t in FLEET_TABLES})
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}"
+
+
 def _written(
     spark: SparkSession, sf_dir: str, name: str, plan: Callable[[], DataFrame], write, read
 ) -> DataFrame:
     """``plan()`` written to the shared folder once per session and data set, then scanned.
 
-    The frame is kept, so that the listing of its files is not repeated. Without a shared folder
-    the lazy plan is used instead.
+    The frame is kept, so that the listing of its files is not repeated. ``build_tables`` does it in one step,
+    ``remove_tables`` undoes it.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return plan()
-    app = spark.sparkContext.applicationId
-    key = (app, sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
-    path = f"{folder}/periodica-{app}/{name}-{digest}"
+    path = f"{_session_folder(spark)}/{name}-{digest}"
     if key not in _frames:
         write(plan(), path)
         _frames[key] = read(spark, path)
@@ -196,3 +196,18 @@ def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BRAND_B_SQL, fleet=fleet(spark, sf_dir))
+
+
+def build_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Write the tables that the keyed queries scan, so that no query does it on its first use."""
+    fleet(spark, sf_dir)
+    glossary_file(spark, sf_dir)
+    raw_registry(spark, sf_dir)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove what this session has written to the shared folder, loads included."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for key in [k for k in _frames if k[0] == spark.sparkContext.applicationId]:
+        del _frames[key]
