@@ -8,7 +8,7 @@ Test sets are small beside a corpus. Their size is measured: an automaton takes
 text, and a larger test set becomes several automata, each broadcast and streamed on its own.
 
 Defined results: null texts have no words and no hits; items without words never occur; repeated items
-with one id count once; empty tables give no rows or no hits; other columns pass through unread, and one
+with one id count once, those without an id as one item of the empty name; empty tables give no rows or no hits; other columns pass through unread, and one
 that is called like an output is replaced.
 """
 
@@ -130,7 +130,7 @@ class ItemAutomaton:
 
 def _automata(benchmark: DataFrame, window: int) -> list[ItemAutomaton]:
     """One automaton for each ``AUTOMATON_BYTES`` of items."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_of().alias("text")).distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of().alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // AUTOMATON_BYTES))
     part = F.pmod(F.xxhash64("item"), F.lit(parts))

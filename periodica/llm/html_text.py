@@ -5,7 +5,8 @@ tokens and of its ancestors', depth, place among its siblings and their sizes, a
 subtree (text, links, blocks, punctuation). Boosted regression trees give each element the log odds of being
 main content. The decoding picks one label for each element over the whole tree: *out* (nothing below is
 kept), *in* (its own text is kept, children are in or out) or *frame* (a container of decisions below it), so that a
-kept element never stands in a dropped one.
+kept element never stands in a dropped one. Where no element is kept, the likeliest container that does not name itself
+a menu, form or the like is.
 
 The trees are fitted on a bounded sample of ``SAMPLE`` pages, chosen by a hash of their address. Pages that
 mark their article teach what is content; each is also rebuilt ``VARIANTS`` times from its own passages with other
@@ -361,18 +362,35 @@ def extract_all(pages: list[str | None], model: BoostedTrees | None) -> list[str
         else:
             decode(order, odds[at : at + len(order)])
             if not any(node.kept for node in order):
-                _keep_marked(order)
+                _keep_best(order, odds[at : at + len(order)])
         at += len(order)
         texts.append(text_of_nodes(order))
     return texts
 
 
-def _keep_marked(order: list[Node]) -> None:
-    """Where nothing was judged content: the marked article if there is one, else a page that says nothing of its parts."""
+def _keep_best(order: list[Node], odds: np.ndarray) -> None:
+    """Where nothing was judged content: the marked article, else the likeliest container outside menus and the like."""
     truth = weak_truth(order)
-    plain = not any(node.senses for node in order)
+    if truth is not None:
+        for node in order:
+            node.kept = bool(truth[node.index]) and not node.hidden
+        return
+    letters = [node.letters for node in order]
+    for node in reversed(order[1:]):
+        letters[node.parent.index] += letters[node.index]
+    named = [False] * len(order)  # it or an element above says that it is something else
+    best, most = None, 0.0
     for node in order:
-        node.kept = not node.hidden and (bool(truth[node.index]) if truth is not None else plain)
+        i = node.index
+        named[i] = any(k > 0 for k in node.senses) or node.hidden or (node.parent is not None and named[node.parent.index])
+        if not named[i] and letters[i] and node.tag not in PARTS:
+            score = float(odds[i]) + math.log1p(letters[i])
+            if best is None or score > most:
+                best, most = node, score
+    if best is not None:
+        best.kept = True
+        for node in order[best.index + 1 :]:
+            node.kept = node.parent.kept and not named[node.index]
 
 
 # Training pages.

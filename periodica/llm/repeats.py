@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from periodica.llm.common import cut
 
 SPAN = 50
-FACTOR = 6
+FACTOR = 8
 NO_ID = (1 << 63) - 1
 #: Text that is cut into runs at a time; a longer text is cut in pieces that overlap by a window less a byte.
 CHUNK_BYTES = 4 << 20
@@ -53,8 +53,7 @@ def _window_minimisers(data: np.ndarray, span: int) -> np.ndarray:
     """For each window of ``span`` bytes the smallest hash of a factor in it. ``data`` has at least ``span`` bytes."""
     padded = data.tobytes() + bytes(8)
     n = len(data) - FACTOR + 1
-    value = np.ndarray((n,), "<u8", buffer=padded, strides=(1,)) & np.uint64((1 << 8 * FACTOR) - 1)
-    value *= _ODD
+    value = np.ndarray((n,), "<u8", buffer=padded, strides=(1,)) * _ODD
     value ^= value >> np.uint64(29)
     value *= _MIX
     value ^= value >> np.uint64(32)
@@ -72,7 +71,7 @@ def cut_runs(docs: list[tuple[int, int, int, bytes]], buckets: int, span: int =
     data = np.frombuffer(b"".join(d[3] for d in docs), np.uint8)
     sizes = np.array([len(d[3]) for d in docs])
     begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(docs)), sizes)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
     least = _window_minimisers(data, span)
     n = len(least)
     inside = owner[:n] == owner[span - 1 :]
@@ -83,25 +82,34 @@ def cut_runs(docs: list[tuple[int, int, int, bytes]], buckets: int, span: int =
     after = np.append(edges, n)[np.searchsorted(edges, starts, side="right")]
     lengths = after - starts + span - 1
     key = least[starts] * _ODD
+    del least, change, inside, edges, after
     bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     starts, lengths, bucket, key = starts[order], lengths[order], bucket[order], key[order]
-    ends = np.cumsum(lengths)
-    text = data[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
     who = owner[starts]
     ids = np.array([d[0] for d in docs], np.int64)[who]
-    tags = np.array([d[1] for d in docs], np.uint16)[who]
-    at = (starts - begins[who]).astype(np.int64) + np.array([d[2] for d in docs], np.int64)[who]
-    small = (key & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    pack = zstandard.ZstdCompressor(level=3).compress
+    tags = np.array([d[1] for d in docs], np.uint8)[who]
+    at = starts - begins[who] + np.array([d[2] for d in docs], np.int64)[who]
+    small = (key & np.uint64(0xFFFFFF)).astype(np.int64)
+    pack = zstandard.ZstdCompressor(level=6).compress
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
     for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-        low = int(ends[a] - lengths[a])
-        parts = [
-            ids[a:b].tobytes(), tags[a:b].tobytes(), at[a:b].astype("<u8").tobytes(), lengths[a:b].astype("<u4").tobytes(),
-            small[a:b].T.tobytes(), text[low : int(ends[b - 1])].tobytes(),
-        ]
-        yield int(bucket[a]), int(b - a).to_bytes(4, "little") + pack(b"".join(parts))
+        size = lengths[a:b]
+        ends = np.cumsum(size)
+        text = data[np.repeat(starts[a:b] - (ends - size), size) + np.arange(int(ends[-1]))]
+        heads = _planes(np.diff(ids[a:b], prepend=0), 8) + _planes(at[a:b], 8) + _planes(size, 4) + _planes(small[a:b], 3)
+        yield int(bucket[a]), int(b - a).to_bytes(4, "little") + pack(heads + tags[a:b].tobytes() + text.tobytes())
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of each number, all lowest bytes first: equal bytes stand together for the compressor."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(raw: bytes, n: int, width: int) -> np.ndarray:
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :width] = np.frombuffer(raw, np.uint8, width * n).reshape(width, n).T
+    return full.view("<i8")[:, 0]
 
 
 def unpack_runs(packed: bytes):
@@ -109,12 +117,11 @@ def unpack_runs(packed: bytes):
     n = int.from_bytes(packed[:4], "little")
     raw = zstandard.ZstdDecompressor().decompress(packed[4:])
     at, found = 0, []
-    for kind in ("<i8", "<u2", "<u8", "<u4"):
-        size = np.dtype(kind).itemsize * n
-        found.append(np.frombuffer(raw[at : at + size], kind))
-        at += size
-    small = np.frombuffer(raw[at : at + 3 * n], np.uint8).reshape(3, n).astype(np.int64)
-    return (*found, small[0] | small[1] << 8 | small[2] << 16, raw[at + 3 * n :])
+    for width in (8, 8, 4, 3):
+        found.append(_numbers(raw[at : at + width * n], n, width))
+        at += width * n
+    ids, places, lengths, small = found
+    return np.cumsum(ids), np.frombuffer(raw, np.uint8, n, at), places, lengths, small, raw[at + n :]
 
 
 def previous_documents(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -211,11 +218,11 @@ def _pieces(doc: int, tag: int, text: bytes, span: int):
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """doc, tag (of the text, so that rows of one id are told apart) and text in bytes."""
+    """doc, tag (of the text, so that rows that repeat an id with another text are told apart) and text in bytes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"),
+        F.pmod(F.xxhash64(text), F.lit(256)).cast("int").alias("tag"),
         text.cast("binary").alias("text"),
     )
 

@@ -20,7 +20,16 @@ MARKED = "<html><head><title>t</title></head><body><nav><ul><li><a href=x>Home</
 
 @pytest.fixture(scope="module")
 def model():
-    pages = [MARKED.format(*(html.escape(f"{s} {i}") for s in STORY)) for i in range(60)]
+    rng = np.random.default_rng(8)
+    words = [*"alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split(), "the", "of", "and", "to"]
+
+    def prose(low, high):
+        return " ".join(rng.choice(words, rng.integers(low, high))).capitalize() + "."
+
+    pages = []
+    for _ in range(120):
+        paragraphs = "</p><p>".join(", ".join(prose(2, 30) for _ in range(rng.integers(1, 5))) for _ in range(rng.integers(1, 9)))
+        pages.append(MARKED.format(prose(2, 8), paragraphs, prose(1, 20), prose(3, 30)))
     return H.fit_pages(pages)
 
 
