@@ -31,13 +31,13 @@ from periodica.llm.common import cut
 
 DEGREE = 20
 MEETING = 36
-ROUNDS = 4
+ROUNDS = 3
 PROJECTIONS = 6
 PLANES = 48
 LEAF = 256
 STRIDE = 3
 BEAM = 48
-HOPS = 8
+HOPS = 5
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -108,21 +108,25 @@ def _code_cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def _start(coded: DataFrame) -> DataFrame:
     """(u, v, sim): for each projection the nodes that follow in its order, within a leaf of about ``LEAF`` nodes on one side of some planes."""
     bits = min(PLANES - 1, max(0, int(np.log2(max(1, coded.count() / LEAF)))))
-    found = []
-    for i in range(PROJECTIONS):
-        leaf = F.shiftright("signs", i * (PLANES - bits) // PROJECTIONS).bitwiseAND(F.lit((1 << bits) - 1))
-        order = Window.partitionBy("leaf").orderBy("at", "node")
-        sorted_ = coded.select("node", "code", leaf.alias("leaf"), F.col(f"p{i}").alias("at"))
-        after = [
-            F.struct(F.lead("node", s).over(order).alias("v"), F.lead("code", s).over(order).alias("w"))
-            for s in range(1, STRIDE + 1)
-        ]
-        followed = sorted_.select(F.col("node").alias("u"), "code", F.array(*after).alias("following"))
-        pairs = followed.select("u", "code", F.explode("following").alias("n"))
-        found.append(pairs.where("n.v is not null").select("u", F.col("n.v").alias("v"), "code", F.col("n.w").alias("other")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.union(f)
+    mask = F.lit((1 << bits) - 1)
+    orders = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("i"),
+                F.shiftright("signs", i * (PLANES - bits) // PROJECTIONS).bitwiseAND(mask).alias("leaf"),
+                F.col(f"p{i}").alias("at"),
+            )
+            for i in range(PROJECTIONS)
+        )
+    )
+    order = Window.partitionBy("i", "leaf").orderBy("at", "node")
+    after = [
+        F.struct(F.lead("node", s).over(order).alias("v"), F.lead("code", s).over(order).alias("w"))
+        for s in range(1, STRIDE + 1)
+    ]
+    followed = coded.select("node", "code", F.inline(orders)).select(F.col("node").alias("u"), "code", F.array(*after).alias("following"))
+    every = followed.select("u", "code", F.explode("following").alias("n")).where("n.v is not null")
+    every = every.select("u", F.col("n.v").alias("v"), "code", F.col("n.w").alias("other"))
 
     def run(batches):
         for batch in batches:
@@ -136,15 +140,16 @@ def _start(coded: DataFrame) -> DataFrame:
 
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest neighbours of each node."""
-    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The ``degree`` nearest neighbours of each node, dealt by node once for both steps."""
+    distinct = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
-    return distinct.withColumn("rank", rank).where(F.col("rank") <= degree).drop("rank")
+    return distinct.withColumn("rank", rank).where(F.col("rank") <= degree)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(u, v, sim): neighbours and those whose neighbour one is, the nearest ``MEETING`` of a node."""
-    return _nearest(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")), MEETING)
+    """(u, v, sim, rank): neighbours and those whose neighbour one is, the nearest ``MEETING`` of a node."""
+    forward = edges.select("u", "v", "sim")
+    return _nearest(forward.union(forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")), MEETING)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +206,13 @@ def build_graph(points: DataFrame, rounds: int = ROUNDS, seed: int = 11) -> Data
     coded = cut(_with_codes(points, seed), "codes")
     edges = cut(_nearest(_start(coded), DEGREE), "graph")
     code = coded.select(F.col("node").alias("u"), "code")
+    # A node takes proposals that are nearer than the last neighbour it would keep.
+    last = F.max(F.when(F.col("rank") == DEGREE, F.col("sim"))).over(Window.partitionBy("u"))
     for _ in range(rounds):
-        worst = edges.groupBy("u").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        visits = _both_ways(edges).select("u", F.col("v").alias("at")).join(worst, "u", "left").join(code, "u")
-        visits = visits.select("at", F.col("u").alias("node"), "code", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
-        dealt = visits.repartition("at").sortWithinPartitions("at")
+        visits = _both_ways(edges).withColumn("worst", F.coalesce(last, F.lit(-2.0).cast("float"))).join(code, "u")
+        dealt = visits.select(F.col("v").alias("at"), F.col("u").alias("node"), "code", "worst").repartition("at").sortWithinPartitions("at")
         proposed = dealt.mapInArrow(_meet, "u bigint, v bigint, sim float")
-        edges = cut(_nearest(edges.union(proposed), DEGREE), "graph")
+        edges = cut(_nearest(edges.select("u", "v", "sim").union(proposed), DEGREE), "graph")
     return edges
 
 
@@ -223,24 +228,27 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, node, score): the nearest nodes found for ``queries`` (query, query_vec, entry), an entry node each."""
     vectors = points.select("node", "vec")
-    ways = cut(_both_ways(graph).select("u", "v"), "ways")
+    ways = cut(_both_ways(graph).groupBy("u").agg(F.collect_list("v").alias("vs")), "ways")
     keep = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
 
     def scored(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(queries.select("query", "query_vec"), "query").join(vectors, "node")
-        return joined.select("query", "node", "query_vec", "vec").mapInArrow(_exact, "query bigint, node bigint, score double")
+        fresh = joined.select("query", "node", "query_vec", "vec").mapInArrow(_exact, "query bigint, node bigint, score double")
+        return fresh.withColumn("expanded", F.lit(False))
+
+    def ranked(state: DataFrame) -> DataFrame:
+        return cut(state.withColumn("rank", F.row_number().over(keep)), "beam")
 
-    state = cut(scored(queries.select("query", F.col("entry").alias("node"))).withColumn("expanded", F.lit(False)), "beam")
+    state = ranked(scored(queries.select("query", F.col("entry").alias("node"))))
     for _ in range(HOPS):
-        ranked = state.withColumn("rank", F.row_number().over(keep))
-        front = ranked.where((F.col("rank") <= BEAM) & ~F.col("expanded")).select("query", F.col("node").alias("u"))
-        reached = front.join(ways, "u").select("query", F.col("v").alias("node")).distinct()
-        fresh = scored(reached.join(state, ["query", "node"], "left_anti")).withColumn("expanded", F.lit(False))
-        old = ranked.select("query", "node", "score", (F.col("expanded") | (F.col("rank") <= BEAM)).alias("expanded"))
-        state = cut(old.union(fresh), "beam")
-        left = state.withColumn("rank", F.row_number().over(keep)).where((F.col("rank") <= BEAM) & ~F.col("expanded"))
-        if left.isEmpty():
+        waiting = (F.col("rank") <= BEAM) & ~F.col("expanded")
+        front = state.where(waiting).select("query", F.col("node").alias("u"))
+        if front.isEmpty():
             break
+        reached = front.join(ways, "u").select("query", F.explode("vs").alias("node")).repartition("query").distinct()
+        fresh = scored(reached.join(state.select("query", "node").repartition("query"), ["query", "node"], "left_anti"))
+        old = state.select("query", "node", "score", (F.col("expanded") | waiting).alias("expanded"))
+        state = ranked(old.union(fresh))
     return state.select("query", "node", "score")
 
 

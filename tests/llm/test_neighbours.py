@@ -21,7 +21,7 @@ def test_odd_frames(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(120)]
     rows += [(200 + i, rows[50][1]) for i in range(40)]  # one very common vector
-    rows += [(300, [2 * x for x in rows[50][1]]), (301, [0.0] * 6), (302, None), (303, []), (305, [1.0, None, 0, 0, 0, 0])]
+    rows += [(300, [2 * x for x in rows[50][1]]), (301, [0.0] * 6), (302, None), (303, []), (305, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
     rows += [(306, [float("nan")] * 6), (307, [float("inf")] * 6), (None, rows[3][1]), rows[7]]
     frame = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     got = N.nearest(frame, F.col("vec_id") % 50 == 0, 5).toPandas()
