@@ -5,7 +5,7 @@ forms of a known stem count. Which of them matter is read from the labelled rows
 other documents per feature, summed by Spark, ranked by the G statistic.
 
 Labels have two values. The severity grades 0 (not toxic) and 1 to 3 split the toxic documents into thirds by how
-densely indicator words stand in them. The regression has one weight for each feature, shared by all thresholds:
+many indicator words stand in them. The regression has one weight for each feature, shared by all thresholds:
 P(grade > k) = logistic(w.x - threshold_k), the thresholds being ordered by construction.
 
 Only the fit is bounded: ``SAMPLE`` labelled rows, chosen by a hash of their id, and ``FEATURES`` features.
@@ -32,6 +32,8 @@ SAMPLE = 10_000
 FEATURES = 4_000
 #: A feature has to occur in so many labelled documents.
 SUPPORT = 3
+#: ... and at least so large a G statistic (in nats).
+LEAST_G = 3.0
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,36 +58,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
 
 
 class Severity:
-    """The fitted model: a weight for each feature, a weight for the logarithm of the length, thresholds."""
+    """The fitted model: a weight for each feature, and thresholds."""
 
-    def __init__(self, weights: dict[str, float], length_weight: float, thresholds: list[float]):
-        self.weights, self.length_weight, self.thresholds = weights, length_weight, thresholds
+    def __init__(self, weights: dict[str, float], thresholds: list[float]):
+        self.weights, self.thresholds = weights, thresholds
         self._seen: dict[str, tuple[str, ...]] = {}
 
     def _known(self, word: str) -> tuple[str, ...]:
         known = self._seen.get(word)
         if known is None:
-            if len(self._seen) > 500_000:
+            if len(self._seen) > 100_000:
                 self._seen.clear()
             known = self._seen[word] = tuple(f for f in features_of(word) if f in self.weights)
         return known
 
-    def vector(self, text: str | None) -> tuple[dict[str, float], float]:
-        """log(1 + count) of each known feature, and log(1 + words)."""
+    def vector(self, text: str | None) -> dict[str, float]:
+        """log(1 + count) of each known feature."""
         counts: Counter = Counter()
-        total = 0
         for word, n in word_counts(text).items():
-            total += n
             for f in self._known(word):
                 counts[f] += n
-        return {f: math.log1p(n) for f, n in counts.items()}, math.log1p(total)
+        return {f: math.log1p(n) for f, n in counts.items()}
 
     def exceed(self, text: str | None) -> list[float]:
         """P(grade > k) for k = 0, 1, ..."""
         if not self.thresholds:
             return [0.0] * GRADES
-        x, length = self.vector(text)
-        score = sum(self.weights[f] * v for f, v in sorted(x.items())) + self.length_weight * length
+        score = sum(self.weights[f] * v for f, v in sorted(self.vector(text).items()))
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds]
 
 
@@ -126,15 +125,16 @@ def _select_features(sample: DataFrame, n_toxic: int, n_other: int) -> list[tupl
     g = g + part(n_toxic - a, F.greatest(rest, F.lit(1e-9)), float(n_toxic)) + part(n_other - b, F.greatest(rest, F.lit(1e-9)), float(n_other))
     odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_other - b + 0.5))
     ranked = _feature_counts(sample).where(a + b >= SUPPORT).select("feature", g.alias("g"), odds.alias("odds"))
+    ranked = ranked.where(F.col("g") >= LEAST_G)
     best = ranked.orderBy(F.round("g", 9).desc(), "feature").limit(FEATURES).collect()
     return [(r.feature, r.odds) for r in best]
 
 
-def _minimise(rows, columns, values, lengths, grades, n_features, steps=400, l2=2e-5):
+def _minimise(rows, columns, values, grades, n_features, steps=300, l2=2e-4):
     """Adam on the mean negative log likelihood; the sparse matrix is given as coordinate lists."""
     n = len(grades)
-    params = np.zeros(n_features + 1 + GRADES)
-    params[n_features + 1 :] = [2.0] + [0.0] * (GRADES - 1)  # first threshold, then logarithms of the gaps
+    params = np.zeros(n_features + GRADES)
+    params[n_features:] = [2.0] + [0.0] * (GRADES - 1)  # first threshold, then logarithms of the gaps
     first, second = np.zeros_like(params), np.zeros_like(params)
     share = np.bincount(grades, minlength=GRADES + 1) / n
     balance = np.where(grades == 0, 0.5 / max(share[0], 1e-9), 0.5 / max(1 - share[0], 1e-9))
@@ -144,9 +144,9 @@ def _minimise(rows, columns, values, lengths, grades, n_features, steps=400, l2=
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
     for step in range(1, steps + 1):
-        w, wl, raw = params[:n_features], params[n_features], params[n_features + 1 :]
+        w, raw = params[:n_features], params[n_features:]
         thresholds = raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))
-        score = np.bincount(rows, values * w[columns], n) + wl * lengths
+        score = np.bincount(rows, values * w[columns], n)
         above = logistic(score[:, None] - thresholds[None, :])  # P(grade > k)
         upper = np.concatenate((np.ones((n, 1)), above), axis=1)[np.arange(n), grades]
         lower = np.concatenate((above, np.zeros((n, 1))), axis=1)[np.arange(n), grades]
@@ -157,18 +157,17 @@ def _minimise(rows, columns, values, lengths, grades, n_features, steps=400, l2=
         d_score = -balance * (d_upper - d_lower) / p
         gradient = np.zeros_like(params)
         gradient[:n_features] = np.bincount(columns, values * d_score[rows], n_features) + l2 * w
-        gradient[n_features] = (d_score * lengths).sum()
         d_thresholds = np.zeros(GRADES)
         for k in range(GRADES):
             d_thresholds[k] = (balance / p * slope[:, k] * ((grades == k + 1) * 1.0 - (grades == k))).sum()
         gaps = np.exp(raw[1:])
-        gradient[n_features + 1] = d_thresholds.sum()
+        gradient[n_features] = d_thresholds.sum()
         for k in range(1, GRADES):
-            gradient[n_features + 1 + k] = gaps[k - 1] * d_thresholds[k:].sum()
+            gradient[n_features + k] = gaps[k - 1] * d_thresholds[k:].sum()
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         params -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    raw = params[n_features + 1 :]
+    raw = params[n_features:]
     return params, (raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))).tolist()
 
 
@@ -177,45 +176,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, keep: F.C
     sample = cut(labelled_sample(docs, labels, "toxic", sample_rows, keep), "labelled")
     counts = {r.label > 0: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return Severity({}, 0.0, [])
+        return Severity({}, [])
     chosen = _select_features(sample, counts[True], counts[False])
     index = {f: i for i, (f, _) in enumerate(chosen)}
     indicators = {f for f, odds in chosen if odds >= 3}
-    probe = Severity(dict.fromkeys(index, 0.0), 0.0, [])
+    probe = Severity(dict.fromkeys(index, 0.0), [])
     shared = docs.sparkSession.sparkContext.broadcast((probe, indicators, index))
 
     def make():
         model, marked, place = shared.value
 
         def run(texts):
-            known, amount, length, density = [], [], [], []
+            known, amount, hits = [], [], []
             for text in texts:
-                x, log_length = model.vector(text)
+                x = model.vector(text)
                 names = sorted(x, key=place.__getitem__)
                 known.append(np.array([place[f] for f in names], np.int32).tobytes())
                 amount.append(np.array([x[f] for f in names], np.float32).tobytes())
-                length.append(log_length)
-                counted = word_counts(text)
-                hits = sum(n for w, n in counted.items() if any(f in marked for f in features_of(w)))
-                density.append(hits / max(1, sum(counted.values())))
-            return known, amount, length, density
+                hits.append(sum(n for w, n in word_counts(text).items() if any(f in marked for f in features_of(w))))
+            return known, amount, hits
 
         return run
 
     # A few numbers for each sampled row come to the driver, packed.
-    fields = [("known", "binary"), ("amount", "binary"), ("length", "double"), ("density", "double")]
-    got = per_row(sample, ["text"], fields, make, ("text",)).sort("doc_id", "length", "density").toArrow()
-    density, lengths = got["density"].to_numpy(), got["length"].to_numpy()
+    fields = [("known", "binary"), ("amount", "binary"), ("hits", "bigint")]
+    got = per_row(sample, ["text"], fields, make, ("text",)).sort("doc_id", "known", "amount").toArrow()
+    hits = got["hits"].to_numpy()
     toxic = got["label"].to_numpy() > 0
-    thirds = np.quantile(density[toxic], [1 / 3, 2 / 3])
-    grades = np.where(toxic, 1 + np.searchsorted(thirds, density, side="left"), 0)
+    thirds = np.quantile(hits[toxic], [1 / 3, 2 / 3])
+    grades = np.where(toxic, 1 + np.searchsorted(thirds, hits, side="left"), 0)
     packed = got["known"].to_pylist()
     rows = np.repeat(np.arange(len(packed), dtype=np.int32), [len(k) // 4 for k in packed])
     columns = np.frombuffer(b"".join(packed), np.int32)
     values = np.frombuffer(b"".join(got["amount"].to_pylist()), np.float32)
-    params, thresholds = _minimise(rows, columns, values, lengths, grades, len(index))
+    params, thresholds = _minimise(rows, columns, values, grades, len(index))
     weights = {f: float(params[i]) for f, i in index.items() if abs(params[i]) > 1e-6}
-    return Severity(weights, float(params[len(index)]), thresholds)
+    return Severity(weights, thresholds)
 
 
 def with_severity(docs: DataFrame, model: Severity, threshold: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ def test_passages():
     bag = Q.passages(text)
     assert bag.shape == (2, Q.WIDTH)
     shape = bag[:, -Q.SHAPES :]
-    np.testing.assert_allclose(shape[:, 1], [(Q.PASSAGE - 1) / Q.PASSAGE, 1], atol=1e-6)  # the word before, again
+    np.testing.assert_allclose(shape[:, 1], [(Q.PASSAGE - 1) / Q.PASSAGE, 2 / 3], atol=1e-6)  # the word before, again
     np.testing.assert_allclose(shape[:, 2], [1 / Q.PASSAGE, 1 / 3], atol=1e-6)  # distinct words
     for odd in ["a", " a", "a ", "\n\n", "é😀 x", "a b " * 500]:
         assert np.isfinite(Q.passages(odd)).all()
