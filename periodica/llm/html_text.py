@@ -535,7 +535,9 @@ def fit_pages(pages: list[str]) -> BoostedTrees | None:
 def fit(pages: DataFrame, sample_pages: int = SAMPLE) -> BoostedTrees | None:
     """The trees for ``pages``, fitted on at most ``sample_pages`` of them, those with the smallest hash of their address."""
     shown = pages.where("html is not null and html <> ''").select("html", F.xxhash64("url", "page_id").alias("at"))
-    return fit_pages([r.html for r in shown.orderBy("at", "html").limit(sample_pages).collect()])
+    # Addresses are chosen first, so that no task sends pages that are not taken; both sides are bounded then.
+    chosen = F.broadcast(shown.select("at").distinct().orderBy("at").limit(sample_pages))
+    return fit_pages([r.html for r in shown.join(chosen, "at").orderBy("at", "html").limit(sample_pages).collect()])
 
 
 def with_main_text(pages: DataFrame, model: BoostedTrees | None, drop: tuple[str, ...] = ("html",)) -> DataFrame:
