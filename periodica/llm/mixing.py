@@ -6,8 +6,8 @@ agree. The ratio of fitted to actual tokens of a cell is the rate at which its d
 scaled so that the largest is one, are the inclusion probabilities, and a document is kept where the hash of its
 id and text falls below it. So the sample's tokens follow the targets and no document is repeated.
 
-Documents are read twice (count, sample) and shuffled never: only cells are, and those are one row for each
-combination that occurs. A source that holds a third of all rows is summed before the shuffle.
+Documents are read twice (count, sample) and never shuffled by cell while the cells are few enough to broadcast: only cells
+are, one row for each combination that occurs. A source that holds a third of all rows is summed before the shuffle.
 
 Targets are given for each margin as a frame (value, share), or follow from ``temperatures``: a margin's shares are its
 token shares to that power, so 1 leaves them and 0 makes them equal.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from periodica.llm.common import cut, text_of
 
 MARGINS = ("source", "lang", "topic")
-#: Rates below this part of the largest are raised to it, so that one tiny cell cannot empty the sample: see ``inclusion``.
+#: Passes over the margins at most, and how far a margin may be off, as a part of itself.
 SWEEPS = 12
 TOLERANCE = 1e-4
 NULL_VALUE = "\u0000none"
@@ -70,8 +70,8 @@ def _sum_by(cells: DataFrame, margin: str, value: str) -> DataFrame:
 def targets_by_temperature(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(value, share): token shares of the margin to the given power, summing to one."""
     raised = _sum_by(cells, margin, "tokens").where("total > 0").select(margin, F.pow("total", F.lit(power)).alias("raised"))
-    whole = raised.agg(F.sum("raised").alias("whole"))
-    return raised.join(F.broadcast(whole)).select(F.col(margin).alias("value"), (F.col("raised") / F.col("whole")).alias("share"))
+    whole = raised.agg(F.sum("raised")).scalar()
+    return raised.select(F.col(margin).alias("value"), (F.col("raised") / whole).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -113,13 +113,10 @@ def inclusion(raked: DataFrame, floor: float = 0.02) -> DataFrame:
     """
     rate = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
     rated = raked.withColumn("rate", rate)
-    mean = rated.agg((F.sum("fitted") / F.sum("tokens")).alias("mean"), F.max("rate").alias("most"))
-    top = F.least(F.col("most"), F.col("mean") / F.lit(floor))
-    empty = F.col("tokens") == 0
-    return rated.join(F.broadcast(mean)).select(
-        *MARGINS,
-        F.when(empty, 1.0).when(F.col("most") > 0, F.least(F.lit(1.0), F.col("rate") / top)).otherwise(0.0).alias("probability"),
-    )
+    mean = rated.agg(F.try_divide(F.sum("fitted"), F.sum("tokens"))).scalar()
+    top = F.least(rated.agg(F.max("rate")).scalar(), mean / F.lit(floor))
+    wanted = F.when(top > 0, F.least(F.lit(1.0), F.col("rate") / top)).otherwise(0.0)
+    return rated.select(*MARGINS, F.when(F.col("tokens") == 0, 1.0).otherwise(wanted).alias("probability"))
 
 
 def mix(
