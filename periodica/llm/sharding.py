@@ -7,7 +7,8 @@ bound whatever the corpus holds, and a bundle is small beside a shard.
 
 Items sorted by size, largest first, enter the bin with the tightest sufficient room, found in a balanced
 search tree of the bins' rooms. The capacity is the smallest at which all items fit into the wanted number
-of shards, by bisection, so that the shards come out nearly equal in bytes (law ``bytes``).
+of shards, by bisection, so that the shards come out nearly equal in bytes (law ``bytes``). A group larger than an even
+share has a shard to itself.
 
 Defined results: a null text has no bytes and checksum 0, and forms a group with empty texts; repeated rows are
 rows of their group; an empty table gives no rows; other columns pass by and one called like an output is replaced.
@@ -123,7 +124,18 @@ def best_fit(sizes: list[int], capacity: int, bins: int | None = None) -> list[i
 
 
 def pack(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each of ``sizes`` (largest first) at the smallest capacity that ``bins`` bins allow, found by bisection."""
+    """The bin of each of ``sizes`` (largest first) at the smallest capacity that ``bins`` bins allow, found by bisection.
+
+    What is larger than an even share of the rest has a bin to itself and does not widen the others.
+    """
+    alone, rest = 0, sum(sizes)
+    while alone < min(bins - 1, len(sizes)) and sizes[alone] * (bins - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    return list(range(alone)) + [alone + where for where in _pack_evenly(sizes[alone:], bins - alone)]
+
+
+def _pack_evenly(sizes: list[int], bins: int) -> list[int]:
     if not sizes:
         return []
     low = max(-(-sum(sizes) // bins), sizes[0])

@@ -55,6 +55,15 @@ def test_smallest_capacity():
     assert max(totals.values()) == 10
 
 
+def test_a_group_beyond_an_even_share_stays_alone():
+    sizes = [900, 500] + [10] * 60
+    totals = Counter()
+    for size, where in zip(sizes, S.pack(sizes, 5), strict=True):
+        totals[where] += size
+    assert sorted(totals.values()) == [200, 200, 200, 500, 900]
+    assert S.pack([5, 4], 4) == [0, 1]
+
+
 def check(rows, texts, shards):
     """Whole groups, gapless slots, sizes and checksums; the shards' bytes."""
     assert len(rows) == len(texts)
