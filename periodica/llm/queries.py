@@ -76,6 +76,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: Every window of an item against every place of a document that has as many words.
+_OP9 = f"""
+WITH items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+ FROM (SELECT item, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+  FROM (SELECT item, ws, least(10, len(ws)) AS k FROM items WHERE len(ws) > 0))),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+places AS (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+ FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT r, i, k, item FROM places JOIN windows USING (k, g)),
+counted AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS found
+ FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ coalesce(found, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN counted USING (r) LEFT JOIN named USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {}
+    return {"op9_benchmark_decontamination": _OP9}
