@@ -157,12 +157,13 @@ def with_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot (gapless from 0 in its shard) and grown_shard (null)."""
     spark = docs.sparkSession
     outputs = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rows = docs.drop(*outputs).withColumns(
-        {
-            "size": F.octet_length(text_of()).cast("bigint") + ROW_BYTES,
-            "text_crc32": F.crc32(text_of().cast("binary")),
-            "_group": F.xxhash64(text_of()),
-        }
+    passed = [c for c in docs.columns if c not in outputs]
+    rows = docs.select(
+        *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(passed)),
+        F.col("doc_id").alias("_id"),
+        (F.octet_length(text_of()).cast("bigint") + ROW_BYTES).alias("size"),
+        F.crc32(text_of().cast("binary")).alias("text_crc32"),
+        F.xxhash64(text_of()).alias("_group"),
     )
     groups = cut(rows.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
     total, count = groups.agg(F.sum("bytes"), F.sum("n")).first()
@@ -190,12 +191,12 @@ def with_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     # Slots: each shard is dealt into parts that one task can number, and parts follow one another.
     parts = max(1, -(-(count or 0) // (shards * SLOT_ROWS)))
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(parts)).cast("int")
     narrow = sharded.withColumn("_part", part)
     sizes = narrow.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "_part").orderBy("_id", "text_crc32", "size")
     numbered = narrow.withColumn("_row", F.row_number().over(within)).join(starts, ["shard", "_part"])
     return numbered.withColumns(
         {
@@ -203,4 +204,4 @@ def with_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
             "law": F.lit("bytes"),
             "grown_shard": F.lit(None).cast("int"),
         }
-    ).select(*(c for c in docs.columns if c not in outputs), *outputs)
+    ).select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(passed)), *outputs)
