@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from datetime import date
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ def spark():
         spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not session.sparkContext.getConf().get("spark.checkpoint.dir"):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="periodica-tests-"))
     yield session
     session.stop()
 
