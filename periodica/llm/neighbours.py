@@ -9,8 +9,8 @@ built; every reported score is computed from the original vectors in double prec
 A query is a beam search: its node's neighbours are scored, the best not yet expanded are expanded by a join
 with the graph, until the best ``BEAM`` are all expanded. State is a table of (query, node), one row each.
 
-The graph keeps ``DEGREE`` neighbours, and ``MEETING`` of a node's neighbours meet in a round: that is what makes the search
-approximate. Every row is indexed; tests measure recall against brute force.
+A node keeps its ``MEETING`` nearest neighbours, takes proposals nearer than the ``DEGREE``-th, and hosts its ``ARRIVALS`` nearest visitors
+in a round: that is what makes the search approximate. Every row is indexed; tests measure recall against brute force.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of a length
 other than the commonest; of rows that repeat an id the smallest vector counts; a null id takes no part; fewer candidates than asked
@@ -31,7 +31,8 @@ from periodica.llm.common import cut
 
 DEGREE = 20
 MEETING = 36
-ROUNDS = 3
+ARRIVALS = 64
+ROUNDS = 5
 PROJECTIONS = 6
 PLANES = 48
 LEAF = 256
@@ -147,9 +148,9 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(u, v, sim, rank): neighbours and those whose neighbour one is, the nearest ``MEETING`` of a node."""
+    """(u, v, sim) and (v, u, sim)."""
     forward = edges.select("u", "v", "sim")
-    return _nearest(forward.union(forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")), MEETING)
+    return forward.union(forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +162,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, sims = [], [], []
         for size in np.unique(sizes[sizes > 1]):
             where = bounds[sizes == size][:, None] + np.arange(size)[None, :]
-            for some in np.array_split(where, max(1, len(where) // 2000)):
+            for some in np.array_split(where, max(1, len(where) * int(size) ** 2 // 2_000_000)):
                 x = code[some].astype(np.float32)
                 x /= np.linalg.norm(x, axis=2, keepdims=True)
                 sim = x @ x.transpose(0, 2, 1)
                 sim[:, np.arange(size), np.arange(size)] = -9
-                take = min(DEGREE // 2, size - 1)
+                take = min(DEGREE // 4, size - 1)
                 best = np.argpartition(-sim, take - 1, axis=2)[:, :, :take]
                 value = np.take_along_axis(sim, best, axis=2)
                 ids, limit = node[some], worst[some]
@@ -202,17 +203,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_graph(points: DataFrame, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """(u, v, sim): ``DEGREE`` near neighbours of each node of ``points`` (node, vec)."""
+    """(u, v, sim): ``MEETING`` near neighbours of each node of ``points`` (node, vec)."""
     coded = cut(_with_codes(points, seed), "codes")
-    edges = cut(_nearest(_start(coded), DEGREE), "graph")
+    edges = cut(_nearest(_start(coded), MEETING), "graph")
     code = coded.select(F.col("node").alias("u"), "code")
-    # A node takes proposals that are nearer than the last neighbour it would keep.
+    # A node takes proposals that are nearer than the last neighbour it counts as near.
     last = F.max(F.when(F.col("rank") == DEGREE, F.col("sim"))).over(Window.partitionBy("u"))
+    nearest_visitors = F.row_number().over(Window.partitionBy("at").orderBy(F.col("sim").desc(), "node"))
     for _ in range(rounds):
-        visits = _both_ways(edges).withColumn("worst", F.coalesce(last, F.lit(-2.0).cast("float"))).join(code, "u")
-        dealt = visits.select(F.col("v").alias("at"), F.col("u").alias("node"), "code", "worst").repartition("at").sortWithinPartitions("at")
-        proposed = dealt.mapInArrow(_meet, "u bigint, v bigint, sim float")
-        edges = cut(_nearest(edges.select("u", "v", "sim").union(proposed), DEGREE), "graph")
+        visits = edges.join(code, "u").withColumn("worst", F.coalesce(last, F.lit(-2.0).cast("float")))
+        dealt = visits.select(F.col("v").alias("at"), F.col("u").alias("node"), "code", "worst", "sim").repartition("at")
+        hosted = dealt.withColumn("turn", nearest_visitors).where(F.col("turn") <= ARRIVALS).select("at", "node", "code", "worst")
+        proposed = hosted.sortWithinPartitions("at").mapInArrow(_meet, "u bigint, v bigint, sim float")
+        edges = cut(_nearest(_both_ways(edges).union(proposed), MEETING), "graph")
     return edges
 
 
@@ -228,7 +231,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, node, score): the nearest nodes found for ``queries`` (query, query_vec, entry), an entry node each."""
     vectors = points.select("node", "vec")
-    ways = cut(_both_ways(graph).groupBy("u").agg(F.collect_list("v").alias("vs")), "ways")
+    ways = cut(_nearest(_both_ways(graph), MEETING).groupBy("u").agg(F.collect_list("v").alias("vs")), "ways")
     keep = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
 
     def scored(pairs: DataFrame) -> DataFrame:
