@@ -3,8 +3,9 @@
 Every document belongs to a cell (source, language, topic) and weighs its tokens. The cells' token sums
 are raked: their weights are scaled to the target shares of one margin after the other until all margins
 agree. The ratio of fitted to actual tokens of a cell is the rate at which its documents are wanted; rates,
-scaled so that the largest is one, are the inclusion probabilities, and a document is kept where the hash of its
-id and text falls below it. So the sample's tokens follow the targets and no document is repeated.
+scaled so that the sample holds the stated share of the tokens (``KEPT``) and capped at one, are the inclusion probabilities,
+and a document is kept where the hash of its id and text falls below it. So the sample's tokens follow the targets, a cell
+that is too rare for its target gives all it has, and no document is repeated.
 
 Documents are read twice (count, sample) and never shuffled by cell while the cells are few enough to broadcast: only cells
 are, one row for each combination that occurs. A source that holds a third of all rows is summed before the shuffle.
@@ -29,6 +30,9 @@ MARGINS = ("source", "lang", "topic")
 #: Passes over the margins at most, and how far a margin may be off, as a part of itself.
 SWEEPS = 12
 TOLERANCE = 1e-4
+#: Share of the tokens that the sample holds, and steps at most to find its scale.
+KEPT = 0.5
+STEPS = 200
 NULL_VALUE = "\u0000none"
 
 
@@ -105,24 +109,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return fitted
 
 
-def inclusion(raked: DataFrame, floor: float = 0.02) -> DataFrame:
-    """(margins, probability): rates scaled so that the largest is one.
+def inclusion(raked: DataFrame, kept: float = KEPT) -> DataFrame:
+    """(margins, probability): rates scaled so that ``kept`` of the tokens that have a target are drawn in the mean.
 
-    A cell so small that its rate would push the token-weighted mean below ``floor`` takes all its documents
-    (probability one, short of its target by what it lacks) instead of shrinking the others' share of the sample.
+    The scale solves sum(tokens * min(1, scale * rate)) = kept * sum(tokens): a cell whose scaled rate passes one gives all
+    its documents, short of its target by what it lacks, and the others make up for its tokens in proportion to their rates.
     """
+    if not 0 < kept <= 1:
+        raise ValueError("the kept share must be above 0 and at most 1")
     rate = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
     rated = raked.withColumn("rate", rate)
-    mean = rated.agg(F.try_divide(F.sum("fitted"), F.sum("tokens"))).scalar()
-    top = F.least(rated.agg(F.max("rate")).scalar(), mean / F.lit(floor))
-    wanted = F.when(top > 0, F.least(F.lit(1.0), F.col("rate") / top)).otherwise(0.0)
-    return rated.select(*MARGINS, F.when(F.col("tokens") == 0, 1.0).otherwise(wanted).alias("probability"))
+    wanted = rated.where("rate > 0")
+    # The sum is concave in the scale and made of straight pieces: Newton steps from below reach the root from the left.
+    total, scale = kept * (wanted.agg(F.sum("tokens")).first()[0] or 0), 0.0
+    for _ in range(STEPS):
+        whole = F.col("rate") * F.lit(scale) >= 1
+        taken, free = wanted.agg(
+            F.sum(F.when(whole, F.col("tokens")).otherwise(F.col("fitted") * F.lit(scale))), F.sum(F.when(~whole, F.col("fitted")))
+        ).first()
+        if not free or total - taken <= 1e-9 * total:
+            break
+        scale += (total - taken) / free
+    else:
+        raise RuntimeError("the scale of the rates did not settle")
+    chance = F.least(F.lit(1.0), F.col("rate") * F.lit(scale))
+    return rated.select(*MARGINS, F.when(F.col("tokens") == 0, 1.0).otherwise(chance).alias("probability"))
 
 
 def mix(
     docs: DataFrame,
     temperatures: dict[str, float] | None = None,
     targets: dict[str, DataFrame] | None = None,
+    kept: float = KEPT,
 ) -> DataFrame:
     """``row`` (the document), margins, tokens and probability of the documents drawn."""
     powers = {"source": 0.7, "lang": 0.8, "topic": 0.9} | (temperatures or {})
@@ -130,7 +148,7 @@ def mix(
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     goals = {m: (targets or {}).get(m) or targets_by_temperature(cells, m, powers[m]) for m in MARGINS}
     goals = {m: cut(g, "goals") for m, g in goals.items()}
-    chances = cut(inclusion(rake(cells, goals)), "chances")
+    chances = cut(inclusion(rake(cells, goals), kept), "chances")
     # 53 bits of the hash, as a number in [0, 1).
     drawn = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
     return rows.join(chances, list(MARGINS)).where(drawn < F.col("probability")).drop("draw")

@@ -50,6 +50,20 @@ def test_value_without_target_goes(spark):
     assert {r.source for r in M.mix(corpus(spark), targets=targets).select("source").distinct().collect()} == {"big"}
 
 
+@pytest.mark.parametrize("lone", [False, True])
+def test_kept_share_is_as_stated(spark, lone):
+    """A source of a third of the rows, and one of a single document: neither decides how much stays."""
+    docs = corpus(spark, 40_000)
+    if lone:
+        docs = docs.withColumn("source", F.when(F.col("doc_id") == 17, "lone").otherwise(F.col("source")))
+    drawn = M.mix(docs)
+    whole = docs.agg(F.sum(M.token_count())).first()[0]
+    assert drawn.agg(F.sum("tokens")).first()[0] / whole == pytest.approx(M.KEPT, abs=0.02)
+    few = M.mix(docs, kept=0.1).agg(F.sum("tokens")).first()[0]
+    assert few / whole == pytest.approx(0.1, abs=0.02)
+    assert drawn.where("row.source = 'lone'").count() == lone
+
+
 def test_odd_frames(spark):
     odd = odd_documents(spark)
     got = M.mix(odd).select("row.*")
