@@ -174,3 +174,16 @@ def keep_one_each(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
     keyed = docs.withColumn("_won_text", F.xxhash64(text_of()))
     kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_won_id")) & (F.col("_won_text") == F.col("_won_key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_won_text"]).select(docs.columns)
+
+
+def keep_winners(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that win their component, given ``found`` (doc_id, key, root): the smallest id, rows without id last.
+
+    Rows that repeat an id and its text are one document.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_won_id"), F.col("first.key").alias("_won_key"))
+    winners = cut(chosen, "winners")
+    keyed = docs.withColumn("_won_text", F.xxhash64(text_of()))
+    kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_won_id")) & (F.col("_won_text") == F.col("_won_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_won_text"]).select(docs.columns)
