@@ -146,6 +146,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
     """doc_id, key, fp, component_id and n_links (of the fingerprint, to other fingerprints) of every row."""
+    return _rooted(docs, width, limit).drop("root")
+
+
+def _rooted(docs: DataFrame, width: int, limit: int) -> DataFrame:
+    """The columns of ``near_duplicates`` and ``root``, the smallest fingerprint of the component."""
     narrow = cut(with_fingerprints(docs, width), "fingerprints")
     classes = cut(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     edges = cut(links(classes, limit), "links")
@@ -153,27 +158,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFram
     rooted = components(edges).select(F.col("node").alias("fp"), "root")
     linked = cut(classes.join(rooted, "fp").join(degrees, "fp"), "linked")
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = linked.join(first, "root").select("fp", "component_id", "n_links")
+    members = linked.join(first, "root").select("fp", "root", "component_id", "n_links")
     alone = classes.join(members, "fp", "left_anti").select(
-        "fp", F.col("first").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")
+        "fp", F.col("fp").alias("root"), F.col("first").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")
     )
     return narrow.join(cut(members.union(alone), "members"), "fp", "left")
 
 
 def keep_one_each(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the smallest id, rows without id last.
-
-    Rows that repeat an id and its text are one document.
-    """
-    found = near_duplicates(docs, width, limit).withColumn("_class", F.coalesce("component_id", "fp"))
-    # A component without any id is named by nothing else than its smallest fingerprint's text.
-    named = F.col("component_id").isNotNull()
-    chosen = found.where(named & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.min("key").alias("key"))
-    nameless = found.where(~named).groupBy("fp").agg(F.min("key").alias("key")).select(F.lit(None).cast("bigint").alias("doc_id"), "key")
-    winners = cut(chosen.union(nameless), "winners").select(F.col("doc_id").alias("_won_id"), F.col("key").alias("_won_key"))
-    keyed = docs.withColumn("_won_text", F.xxhash64(text_of()))
-    kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_won_id")) & (F.col("_won_text") == F.col("_won_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_won_text"]).select(docs.columns)
+    """The rows of ``docs`` with one document of each component: the smallest id, rows without id last."""
+    return keep_winners(docs, _rooted(docs, width, limit).select("doc_id", "key", "root"))
 
 
 def keep_winners(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -86,6 +86,11 @@ def test_rows_without_ids(spark):
     assert sorted(str(r.text) for r in S.keep_one_each(frame).collect()) == ["a b c d e f", "other words here now", "third text of words"]
 
 
+def test_two_texts_under_one_id(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f g h"), (1, "other words here now and then"), (2, "other words here now and then")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in S.keep_one_each(frame).collect()) == sorted((r.doc_id, r.text) for r in frame.limit(2).collect())
+
+
 @needs_tables
 @pytest.mark.parametrize("sf_dir", [SMALL, MEDIUM])
 def test_query_equals_brute_force(spark, sf_dir):
