@@ -3,8 +3,8 @@
 Equal vectors are one node, so a vector that a third of the rows share is one node too; a node keeps as many
 of its smallest ids as a result can name. The graph starts from neighbours along sorted random projections
 and is refined by rounds of Spark joins: the neighbours of a node, forward and backward, meet at that node and are
-proposed to each other if nearer than what they have. Vectors travel as bytes (127 steps a component) while the graph is
-built; every reported score is computed from the original vectors in double precision.
+proposed to each other if nearer than what they have. Similarities
+are computed from the original vectors in double precision, while the graph is built and for the reported scores.
 
 A query is a beam search: its node's neighbours are scored, the best not yet expanded are expanded by a join
 with the graph, until the best ``BEAM`` are all expanded. State is a table of (query, node), one row each.
@@ -79,7 +79,7 @@ def nodes(usable: DataFrame, k: int) -> DataFrame:
 
 
 def _with_codes(points: DataFrame, seed: int) -> DataFrame:
-    """(node, code, signs, p0, p1, ...): the unit vector in bytes, the sides of random planes it is on, projections."""
+    """(node, code, signs, p0, p1, ...): the vector as bytes, the sides of random planes it is on, projections."""
     names = [f"p{i}" for i in range(PROJECTIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,8 @@ def _with_codes(points: DataFrame, seed: int) -> DataFrame:
             drawn = np.random.default_rng(seed).normal(size=(x.shape[1], PROJECTIONS + PLANES))
             p = x @ drawn[:, :PROJECTIONS]
             signs = ((x @ drawn[:, PROJECTIONS:] > 0) << np.arange(PLANES)).sum(axis=1)
-            code = np.round(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+            # The values themselves, 32 bits each as they came: steps would make near copies of a vector tie.
+            code = _matrix(batch.column("vec"), np.float32)
             columns = [batch.column("node"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(signs)]
             columns += [pa.array(p[:, i]) for i in range(PROJECTIONS)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "code", "signs", *names])
@@ -100,10 +101,15 @@ def _with_codes(points: DataFrame, seed: int) -> DataFrame:
     return points.select("node", "vec").mapInArrow(run, f"node bigint, code binary, signs bigint, {', '.join(f'{n} double' for n in names)}")
 
 
+def _units(codes: list[bytes]) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _code_cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(a), np.int8).reshape(len(a), -1).astype(np.float32)
-    y = np.frombuffer(b"".join(b), np.int8).reshape(len(b), -1).astype(np.float32)
-    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return (_units(a) * _units(b)).sum(1)
 
 
 def _start(coded: DataFrame) -> DataFrame:
@@ -136,7 +142,7 @@ def _start(coded: DataFrame) -> DataFrame:
                 u, v = batch.column("u"), batch.column("v")
                 yield pa.RecordBatch.from_arrays([u, v, pa.array(sim)], ["u", "v", "sim"])
 
-    one_way = every.mapInArrow(run, "u bigint, v bigint, sim float")
+    one_way = every.mapInArrow(run, "u bigint, v bigint, sim double")
     return one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
 
 
@@ -163,8 +169,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in np.unique(sizes[sizes > 1]):
             where = bounds[sizes == size][:, None] + np.arange(size)[None, :]
             for some in np.array_split(where, max(1, len(where) * int(size) ** 2 // 2_000_000)):
-                x = code[some].astype(np.float32)
-                x /= np.linalg.norm(x, axis=2, keepdims=True)
+                x = code[some]
                 sim = x @ x.transpose(0, 2, 1)
                 sim[:, np.arange(size), np.arange(size)] = -9
                 take = min(DEGREE // 4, size - 1)
@@ -189,7 +194,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = (
             batch.column("at").to_numpy(),
             batch.column("node").to_numpy(),
-            np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1),
+            _units(codes),
             batch.column("worst").to_numpy(zero_copy_only=False),
         )
         if kept is not None:
@@ -211,10 +216,10 @@ def build_graph(points: DataFrame, rounds: int = ROUNDS, seed: int = 11) -> Data
     last = F.max(F.when(F.col("rank") == DEGREE, F.col("sim"))).over(Window.partitionBy("u"))
     nearest_visitors = F.row_number().over(Window.partitionBy("at").orderBy(F.col("sim").desc(), "node"))
     for _ in range(rounds):
-        visits = edges.join(code, "u").withColumn("worst", F.coalesce(last, F.lit(-2.0).cast("float")))
+        visits = edges.join(code, "u").withColumn("worst", F.coalesce(last, F.lit(-2.0)))
         dealt = visits.select(F.col("v").alias("at"), F.col("u").alias("node"), "code", "worst", "sim").repartition("at")
         hosted = dealt.withColumn("turn", nearest_visitors).where(F.col("turn") <= ARRIVALS).select("at", "node", "code", "worst")
-        proposed = hosted.sortWithinPartitions("at").mapInArrow(_meet, "u bigint, v bigint, sim float")
+        proposed = hosted.sortWithinPartitions("at").mapInArrow(_meet, "u bigint, v bigint, sim double")
         edges = cut(_nearest(_both_ways(edges).union(proposed), MEETING), "graph")
     return edges
 

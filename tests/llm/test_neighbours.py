@@ -57,3 +57,26 @@ def test_recall_of_the_query(spark):
         hits += (rows.score >= np.sort(scores)[-5] - 1e-9).sum()
         total += 5
     assert total == 5 * (table.vec_id % 50 == 0).sum() and hits >= 0.9 * total
+
+
+def recall(spark, x, every):
+    """Share of the true five nearest that are found; all queries have five rows."""
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = N.nearest(frame, F.col("vec_id") % every == 0, 5).toPandas()
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for query, some in found.groupby("query_id"):
+        scores = x @ x[query]
+        scores[query] = -9
+        assert len(some) == 5
+        hits += len(set(np.argsort(-scores)[:5]) & set(some.vec_id))
+    assert found.query_id.nunique() == len(range(0, len(x), every))
+    return hits / (5 * found.query_id.nunique())
+
+
+def test_recall_among_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=12)
+    copies = base + rng.normal(size=(3000, 12)) * 0.0005 * np.abs(base).max()
+    assert recall(spark, np.concatenate((copies, rng.normal(size=(500, 12)))).astype(np.float32), 50) >= 0.9
