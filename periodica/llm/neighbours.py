@@ -14,12 +14,13 @@ in a round: that is what makes the search approximate. Every row is indexed; tes
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of a length
 other than the commonest; of rows that repeat an id the smallest vector counts; a null id takes no part; fewer candidates than asked
-for are all returned; an empty table gives no rows; other columns are ignored.
+for are all returned, and a query whose walk meets too few is answered by a scan of all rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ ARRIVALS = 64
 ROUNDS = 5
 PROJECTIONS = 6
 PLANES = 48
+GROUPINGS = 2
 LEAF = 256
 STRIDE = 3
 BEAM = 48
+BLOCK = 500
 HOPS = 5
 
 
@@ -113,14 +116,23 @@ def _code_cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _start(coded: DataFrame) -> DataFrame:
-    """(u, v, sim): for each projection the nodes that follow in its order, within a leaf of about ``LEAF`` nodes on one side of some planes."""
+    """(u, v, sim): for each projection the nodes that follow in its order, within a leaf of about ``LEAF`` nodes on one side of some planes,
+
+    and for ``GROUPINGS`` more within groups drawn by hash."""
     bits = min(PLANES - 1, max(0, int(np.log2(max(1, coded.count() / LEAF)))))
     mask = F.lit((1 << bits) - 1)
+    # Groups drawn by hash join what the leaves part: a node alone in all of its leaves gets edges there.
+    groups = F.lit(1 << bits)
+    drawn = [
+        F.struct(F.lit(PROJECTIONS + i).alias("i"), F.pmod(F.xxhash64(F.lit(i), "node"), groups).alias("leaf"), F.col(f"p{i}").alias("at"))
+        for i in range(GROUPINGS)
+    ]
     orders = F.array(
+        *drawn,
         *(
             F.struct(
                 F.lit(i).alias("i"),
-                F.shiftright("signs", i * (PLANES - bits) // PROJECTIONS).bitwiseAND(mask).alias("leaf"),
+                F.shiftright("signs", i * (PLANES - bits) // PROJECTIONS).bitwiseAND(mask).cast("bigint").alias("leaf"),
                 F.col(f"p{i}").alias("at"),
             )
             for i in range(PROJECTIONS)
@@ -260,6 +272,37 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> D
     return state.select("query", "node", "score")
 
 
+def _scan(short: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(query, node, score): the ``k + 1`` best of all nodes for each of the queries ``short`` (query, query_vec), block by block."""
+    spark, parts = short.sparkSession, []
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "node"))
+    blocks = short.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, short.count() // BLOCK))))
+    for block in [r.block for r in blocks.select("block").distinct().collect()]:
+        some = blocks.where(F.col("block") == block).toArrow()
+        ids, wanted = some.column("query").to_numpy(), _matrix(some.column("query_vec"), np.float64)
+        wanted = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+        wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+        held = spark.sparkContext.broadcast((ids, wanted))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, wanted = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch.column("vec"), np.float64)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                scores = wanted @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                # All that tie with the last one wanted go on: the smallest ids win.
+                last = np.sort(scores, axis=1)[:, -min(k + 1, scores.shape[1])]
+                i, j = np.nonzero(scores >= last[:, None])
+                node = batch.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[j]), pa.array(scores[i, j])], ["query", "node", "score"])
+
+        near = points.select("node", "vec").mapInArrow(run, "query bigint, node bigint, score double")
+        parts.append(cut(near.withColumn("rank", best).where(F.col("rank") <= k + 1).drop("rank"), "scanned"))
+    return reduce(DataFrame.union, parts)
+
+
 def nearest(rows: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest other rows found for each row of ``rows`` for which ``is_query`` holds."""
     usable = usable_vectors(rows)
@@ -269,6 +312,13 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     own = usable.join(asked, "vec_id").join(points.select("node", "vec"), "vec")
     queries = cut(own.select(F.col("vec_id").alias("query"), F.col("vec").alias("query_vec"), F.col("node").alias("entry")), "queries")
     found = search(points, graph, queries, k)
+    # Queries whose walk met too few ids are answered by scanning all rows.
+    reached = found.join(points.select("node", F.size("ids").alias("n")), "node").groupBy("query").agg(F.sum("n").alias("n"))
+    enough = reached.where(F.col("n") > min(k, usable.count() - 1)).select("query")
+    short = cut(queries.join(enough, "query", "left_anti").select("query", "query_vec"), "short")
+    if not short.isEmpty():
+        scanned = _scan(short, points, k)
+        found = found.join(short, "query", "left_anti").union(scanned)
     members = found.join(points.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     ranked = members.where("vec_id <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -80,3 +80,22 @@ def test_recall_among_near_copies(spark):
     base = rng.normal(size=12)
     copies = base + rng.normal(size=(3000, 12)) * 0.0005 * np.abs(base).max()
     assert recall(spark, np.concatenate((copies, rng.normal(size=(500, 12)))).astype(np.float32), 50) >= 0.9
+
+
+def test_every_query_has_its_rows(spark, monkeypatch):
+    """Nodes that are alone in all leaves, in a frame whose leaves are many."""
+    monkeypatch.setattr(N, "LEAF", 1)
+    rng = np.random.default_rng(6)
+    assert recall(spark, rng.normal(size=(600, 8)).astype(np.float32), 3) >= 0.9
+
+
+def test_scan_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    x = np.random.default_rng(6).normal(size=(60, 8)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node bigint, vec array<float>")
+    short = points.where("node < 10").select(F.col("node").alias("query"), F.col("vec").alias("query_vec"))
+    got = N._scan(short, points, 5).toPandas()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for query, some in got.groupby("query"):
+        assert set(some.node) - {query} == {-i for _, i in exact(rows, query)}
+    assert got["query"].nunique() == 10
