@@ -9,8 +9,8 @@ are computed from the original vectors in double precision, while the graph is b
 A query is a beam search: its node's neighbours are scored, the best not yet expanded are expanded by a join
 with the graph, until the best ``BEAM`` are all expanded. State is a table of (query, node), one row each.
 
-A node keeps its ``MEETING`` nearest neighbours, takes proposals nearer than the ``DEGREE``-th, and hosts its ``ARRIVALS`` nearest visitors
-in a round: that is what makes the search approximate. Every row is indexed; tests measure recall against brute force.
+A node keeps its ``MEETING`` nearest neighbours and takes proposals nearer than the ``DEGREE``-th; its visitors meet ``ARRIVALS`` at a
+time, and rounds end when at most ``SETTLED`` of the edges are new: that is what makes the search approximate. Every row is indexed; tests measure recall against brute force.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do those of a length
 other than the commonest; of rows that repeat an id the smallest vector counts; a null id takes no part; fewer candidates than asked
@@ -33,7 +33,9 @@ from periodica.llm.common import cut
 DEGREE = 20
 MEETING = 36
 ARRIVALS = 64
-ROUNDS = 5
+#: Rounds go on until fewer than this share of the edges is new, hops until nothing waits; the bounds only stop a fault.
+SETTLED = 0.02
+ROUNDS = 40
 PROJECTIONS = 6
 PLANES = 48
 GROUPINGS = 2
@@ -41,7 +43,7 @@ LEAF = 256
 STRIDE = 3
 BEAM = 48
 BLOCK = 500
-HOPS = 5
+HOPS = 60
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -160,15 +162,15 @@ def _start(coded: DataFrame) -> DataFrame:
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     """The ``degree`` nearest neighbours of each node, dealt by node once for both steps."""
-    distinct = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    distinct = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
     return distinct.withColumn("rank", rank).where(F.col("rank") <= degree)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(u, v, sim) and (v, u, sim)."""
-    forward = edges.select("u", "v", "sim")
-    return forward.union(forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
+    """(u, v, sim) and (v, u, sim), the latter as ``fresh``."""
+    forward = edges.select("u", "v", "sim", F.lit(0).alias("fresh"))
+    return forward.union(forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", F.lit(1)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_graph(points: DataFrame, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
     """(u, v, sim): ``MEETING`` near neighbours of each node of ``points`` (node, vec)."""
     coded = cut(_with_codes(points, seed), "codes")
-    edges = cut(_nearest(_start(coded), MEETING), "graph")
+    edges = cut(_nearest(_start(coded).withColumn("fresh", F.lit(1)), MEETING), "graph")
     code = coded.select(F.col("node").alias("u"), "code")
     # A node takes proposals that are nearer than the last neighbour it counts as near.
     last = F.max(F.when(F.col("rank") == DEGREE, F.col("sim"))).over(Window.partitionBy("u"))
@@ -230,10 +232,14 @@ def build_graph(points: DataFrame, rounds: int = ROUNDS, seed: int = 11) -> Data
     for _ in range(rounds):
         visits = edges.join(code, "u").withColumn("worst", F.coalesce(last, F.lit(-2.0)))
         dealt = visits.select(F.col("v").alias("at"), F.col("u").alias("node"), "code", "worst", "sim").repartition("at")
-        hosted = dealt.withColumn("turn", nearest_visitors).where(F.col("turn") <= ARRIVALS).select("at", "node", "code", "worst")
-        proposed = hosted.sortWithinPartitions("at").mapInArrow(_meet, "u bigint, v bigint, sim double")
+        # Visitors of a place meet by ``ARRIVALS``, those alike in distance together: a hub hosts all of them.
+        turn = F.floor((F.col("turn") - 1) / F.lit(ARRIVALS))
+        hosted = dealt.withColumn("turn", nearest_visitors).select(F.xxhash64("at", turn).alias("at"), "node", "code", "worst")
+        proposed = hosted.sortWithinPartitions("at").mapInArrow(_meet, "u bigint, v bigint, sim double").withColumn("fresh", F.lit(1))
         edges = cut(_nearest(_both_ways(edges).union(proposed), MEETING), "graph")
-    return edges
+        if (edges.agg(F.avg("fresh")).first()[0] or 0) <= SETTLED:
+            return edges
+    raise RuntimeError(f"the graph did not settle in {rounds} rounds")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +270,12 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int) -> D
         waiting = (F.col("rank") <= BEAM) & ~F.col("expanded")
         front = state.where(waiting).select("query", F.col("node").alias("u"))
         if front.isEmpty():
-            break
+            return state.select("query", "node", "score")
         reached = front.join(ways, "u").select("query", F.explode("vs").alias("node")).repartition("query").distinct()
         fresh = scored(reached.join(state.select("query", "node").repartition("query"), ["query", "node"], "left_anti"))
         old = state.select("query", "node", "score", (F.col("expanded") | waiting).alias("expanded"))
         state = ranked(old.union(fresh))
-    return state.select("query", "node", "score")
+    raise RuntimeError(f"queries still had nodes waiting after {HOPS} hops")
 
 
 def _scan(short: DataFrame, points: DataFrame, k: int) -> DataFrame:

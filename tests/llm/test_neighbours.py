@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from periodica.llm import neighbours as N
@@ -99,3 +100,15 @@ def test_scan_is_exact(spark, monkeypatch):
     for query, some in got.groupby("query"):
         assert set(some.node) - {query} == {-i for _, i in exact(rows, query)}
     assert got["query"].nunique() == 10
+
+
+def test_rounds_and_hops_fail_loudly(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(3000, 12)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    points = N.nodes(N.usable_vectors(frame), 5)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        N.build_graph(points, rounds=1)
+    queries = points.where("node < 20").select(F.col("node").alias("query"), F.col("vec").alias("query_vec"), F.col("node").alias("entry"))
+    monkeypatch.setattr(N, "HOPS", 1)
+    with pytest.raises(RuntimeError, match="waiting"):
+        N.search(points, N.build_graph(points), queries, 5)
