@@ -45,28 +45,33 @@ def per_row(
     """``frame`` with columns computed by Python from ``inputs``, one Arrow batch at a time.
 
     ``make()`` runs once a task and gives a function from lists of values to lists of results, one
-    list for each of ``fields``, pairs of name and Spark type. A column of such a name is replaced, and
+    list for each of ``fields``, pairs of name and Spark type. A column of such a name, in any case, is replaced, and
     those of ``drop`` are read but not returned.
     """
     names = [n for n, _ in fields]
-    kept = frame.select([frame[c] for c in frame.columns if c not in names or c in inputs])
-    passed = [c for c in kept.columns if c not in names and c not in drop]
+    taken = {n.lower() for n in names}
+    # Columns go by position, so that their names may hold dots or differ by case only.
+    kept = [i for i, c in enumerate(frame.columns) if c.lower() not in taken or c in inputs]
+    passed = [i for i in kept if frame.columns[i].lower() not in taken and frame.columns[i] not in drop]
     schema = T.StructType(
-        [kept.schema[c] for c in passed] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
+        [frame.schema[i] for i in passed] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
     )
     arrow = to_arrow_schema(schema)
+    read = [kept.index(frame.columns.index(c)) for c in inputs]
+    copied = [kept.index(i) for i in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            results = function(*(batch.column(c).to_pylist() for c in inputs))
-            columns = [batch.column(c).cast(arrow.field(c).type) for c in passed]
-            columns += [pa.array(r, arrow.field(n).type) for n, r in zip(names, results, strict=True)]
+            results = function(*(batch.column(i).to_pylist() for i in read))
+            columns = [batch.column(i).cast(arrow.field(at).type) for at, i in enumerate(copied)]
+            columns += [pa.array(r, arrow.field(at).type) for at, r in enumerate(results, len(copied))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return kept.mapInArrow(run, schema)
+    placed = frame.toDF(*(f"_{i}" for i in range(len(frame.columns))))
+    return placed.select(*(f"_{i}" for i in kept)).mapInArrow(run, schema)
 
 
 def text_of(column: str = "text") -> F.Column:

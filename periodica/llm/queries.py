@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import decontaminate, html_text, mixing, neighbours, quality, repeats, sharding, simhash, token_counts, toxicity
+from periodica.llm import (
+    decontaminate,
+    filter_audit,
+    html_text,
+    mixing,
+    neighbours,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from periodica.llm.common import table
 
 
@@ -69,6 +81,11 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shards(docs).drop("text")
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.filter_interactions(docs, table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -97,7 +114,34 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
  coalesce(found, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN counted USING (r) LEFT JOIN named USING (r)"""
 
+#: Every order and step is counted from the rows, none from the counts of sets.
+_OP12 = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+counted AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(t, '[A-Z]')) AS caps, length(t) AS points FROM docs),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+rows AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * caps > 5 * points, regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+ FROM counted JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM rows GROUP BY part, fails),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+ WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT array_to_string([substr('ABCDE', i, 1) FOR i IN o], '') AS filter_order, s AS step, o[s] AS own, o[1:s - 1] AS before
+ FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+marked AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail, len(list_filter(before, lambda i: fails[i])) > 0 AS gone,
+  len(list_filter(fails, lambda f: f)) = 1 AS one FROM cells, steps),
+summed AS (SELECT part, filter_order, step, own,
+  coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0) AS removed,
+  coalesce(sum(n) FILTER (fail AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fail AND one), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (fail AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0) AS toxic_lost
+ FROM marked GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+ CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op9_benchmark_decontamination": _OP9}
+    return {"op9_benchmark_decontamination": _OP9, "op12_filter_interactions": _OP12}
