@@ -13,6 +13,7 @@ from periodica.llm import (
     html_text,
     mixing,
     neighbours,
+    personal_data,
     quality,
     repeats,
     sharding,
@@ -81,6 +82,11 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shards(docs).drop("text")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.count_kinds(personal_data.with_personal_data(docs, drop=("text",)))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.filter_interactions(docs, table(spark, sf_dir, "labels"))
@@ -114,6 +120,57 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
  coalesce(found, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN counted USING (r) LEFT JOIN named USING (r)"""
 
+#: (kind, pattern, what a match has to pass); the place of a match follows from the lengths of the pieces between.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_DIGIT = f"CAST(substr({_DIGITS}, len({_DIGITS}) - j, 1) AS INTEGER)"
+_LUHN = (
+    f"list_sum([CASE WHEN j % 2 = 0 THEN {_DIGIT} ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{_DIGIT} + 1] END "
+    f"FOR j IN range(0, len({_DIGITS}))]) % 10 = 0"
+)
+_OVER = "len(ltrim(n, '0')) > 3 OR CAST(concat('0', right(n, 3)) AS INTEGER) > 255"
+_MATCHES = {
+    "email": (personal_data.BASE["email"], "true"),
+    "ip": (personal_data.BASE["ip"], f"len(list_filter(string_split(m, '.'), lambda n: {_OVER})) = 0"),
+    "card": (personal_data.BASE["card"], f"len({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (personal_data.BASE["phone"], f"len({_DIGITS}) BETWEEN 9 AND 15"),
+    "address": (personal_data.ADDRESS, "true"),
+    "account": (personal_data.ACCOUNT, "true"),
+}
+
+
+def _found(number: int, kind: str) -> str:
+    pattern = "'" + _MATCHES[kind][0].replace("'", "''") + "'"
+    return (
+        f"SELECT r, {number} AS k, '{kind}' AS kind, regexp_extract_all(t, {pattern}) AS ms, string_split_regex(t, {pattern}) AS ps FROM docs "
+        f"WHERE regexp_matches(t, {pattern})"
+    )
+
+
+#: The identifier stands at the end of its match. Of one that begins like an IBAN, the longest run of groups with a right checksum counts.
+_IDENTIFIER = "regexp_extract(m, '" + personal_data.ACCOUNT.replace("'", "''") + "', 1)"
+_BARE = "replace(g, ' ', '')"
+_VALUE = "CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INTEGER) ELSE ascii(c) - 55 END"
+_CHECKSUM = (
+    f"list_reduce([0] || [{_VALUE} FOR c IN string_split(concat({_BARE}[5:], {_BARE}[1:4]), '')], "
+    "lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1"
+)
+_OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+matched AS ({" UNION ALL ".join(_found(i, k) for i, k in enumerate(_MATCHES))}),
+placed AS (SELECT r, k, kind, ms[i] AS m,
+  list_sum([len(p) FOR p IN ps[1:i]]) + coalesce(list_sum([len(p) FOR p IN ms[1:i - 1]]), 0) AS place
+ FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM matched)),
+base AS (SELECT r, k, kind, place AS a, place + len(m) AS b FROM placed WHERE CASE kind {" ".join(f"WHEN '{k}' THEN {t}" for k, (_, t) in _MATCHES.items() if k != "account")} END),
+named AS (SELECT *, place + len(m) - len(g) AS a, string_split(g, ' ') AS gs FROM (SELECT *, {_IDENTIFIER} AS g FROM placed WHERE kind = 'account')),
+accounts AS (SELECT r, k, kind, a, a + len(CASE WHEN regexp_matches({_BARE}, '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{8,}}')
+  THEN list_filter([array_to_string(gs[1:len(gs) - j], ' ') FOR j IN range(0, len(gs))], lambda g: regexp_full_match({_BARE}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{8,}}') AND {_CHECKSUM})[1]
+  ELSE g END) AS b FROM named),
+spans AS (SELECT r, k, a, concat(kind, ':', a, ':', b) AS s FROM base UNION ALL SELECT r, k, a, concat(kind, ':', a, ':', b) FROM accounts WHERE b IS NOT NULL),
+listed AS (SELECT r, {", ".join(f"count(*) FILTER (k = {i}) AS n_{k}" for i, k in enumerate(personal_data.BASE))},
+  string_agg(s, ',' ORDER BY a, k) FILTER (k < 4) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in personal_data.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)"""
+
 #: Every order and step is counted from the rows, none from the counts of sets.
 _OP12 = r"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -144,4 +201,4 @@ FROM summed"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op9_benchmark_decontamination": _OP9, "op12_filter_interactions": _OP12}
+    return {"op9_benchmark_decontamination": _OP9, "op11_personal_data": _OP11, "op12_filter_interactions": _OP12}
