@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from periodica.llm import (
     decontaminate,
+    dialogue_repair,
     filter_audit,
     html_text,
     mixing,
@@ -92,6 +93,11 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogue_repair.repair_report(conversations, dialogue_repair.damage(conversations))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
