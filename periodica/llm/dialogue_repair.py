@@ -20,8 +20,8 @@ reads the chosen letters together with the rows, one after the other, and never
 one chain of SHA-256 over its text by definition; that chain is the only work that a single long conversation does in one task.
 Rows that repeat turn, role and text are counted before they are shuffled.
 
-Defined results: rows are ordered by turn (null first), then role, then SHA-256 of ``role:text``; a null role or text is one space; a conversation
-without an id is one conversation; a blank row's text is not carried; a conversation of which no row is left is empty; an empty table gives
+Defined results: rows are ordered by turn (null first), then role, then SHA-256 of ``role:text``; a null role or text is one space; a role fits by its
+first character, an empty one nowhere; a conversation without an id is one conversation; a blank row's text is not carried; a conversation of which no row is left is empty; an empty table gives
 no rows; other columns are ignored, whatever their names.
 """
 
