@@ -204,7 +204,46 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM summed"""
 
+#: All edits of all rows, forward, the least (cost, audit) kept for each state of the grammar; CRC-32 is folded bit by bit.
+_OP13 = r"""
+WITH RECURSIVE spoken AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS name FROM conversations),
+hashed AS (SELECT *, xor(list_reduce([4294967295] || flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(name, '')]),
+  lambda h, b: CASE WHEN b >= 0 THEN xor(h, b) ELSE xor(h >> 1, 3988292384 * (h & 1)) END), 4294967295) % 20 AS hit FROM spoken),
+damaged AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(0, CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat(role, ':', text)), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+rows AS (SELECT conv_id, turn, role, text, i, role[1] AS initial,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+inserts(q, letters, lines, q2) AS (VALUES (0, '', CAST([] AS VARCHAR[]), 0), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3),
+  (1, '', [], 1), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3), (2, '', [], 2), (2, 'I', ['assistant:'], 3),
+  (2, 'II', ['assistant:', 'user:'], 2), (3, '', [], 3), (3, 'I', ['user:'], 2), (3, 'II', ['user:', 'assistant:'], 3)),
+edits(q, letter, initial, role, q2, cost) AS (VALUES (0, 'K', 's', NULL, 1, 0), (0, 'K', 'u', NULL, 2, 0), (1, 'K', 'u', NULL, 2, 0), (2, 'K', 'a', NULL, 3, 0),
+  (3, 'K', 'u', NULL, 2, 0), (0, 'R', NULL, 'user', 2, 3), (1, 'R', NULL, 'user', 2, 3), (2, 'R', NULL, 'assistant', 3, 3), (3, 'R', NULL, 'user', 2, 3),
+  (0, 'D', NULL, NULL, 0, 4), (1, 'D', NULL, NULL, 1, 4), (2, 'D', NULL, NULL, 2, 4), (3, 'D', NULL, NULL, 3, 4)),
+names AS (SELECT conv, count(r.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND concat(before, initial) NOT IN ('su', 'ua', 'au')) AS illegal
+ FROM (SELECT DISTINCT conv_id AS conv FROM conversations) c LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM c.conv GROUP BY conv),
+walk AS (SELECT DISTINCT conv_id AS conv, CAST(0 AS BIGINT) AS i, 0 AS q, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS best FROM conversations
+ UNION ALL
+ SELECT w.conv, w.i + 1, e.q2, min({'cost': CAST(w.best.cost + 3 * len(s.letters) + e.cost + CASE WHEN r.fault = 'truncated' AND e.letter <> 'D' THEN 3 ELSE 0 END AS BIGINT),
+  'audit': concat(w.best.audit, s.letters, e.letter),
+  'lines': w.best.lines || s.lines || CASE WHEN e.letter = 'D' THEN [] ELSE [concat(coalesce(e.role, r.role), ':', r.text)] END})
+ FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv AND r.i = w.i + 1 JOIN inserts s ON s.q = w.q
+  JOIN edits e ON e.q = s.q2 AND (e.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.initial = r.initial)
+ GROUP BY w.conv, w.i, e.q2),
+ended AS (SELECT conv, w.i, min({'cost': CAST(best.cost + 3 * len(s.letters) AS BIGINT), 'audit': concat(best.audit, s.letters), 'lines': best.lines || s.lines}) AS best
+ FROM walk w JOIN inserts s ON s.q = w.q AND s.q2 IN (0, 3) GROUP BY conv, w.i)
+SELECT n.conv AS conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit,
+ sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM names n JOIN ended e ON e.conv IS NOT DISTINCT FROM n.conv AND e.i = n.n"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op9_benchmark_decontamination": _OP9, "op11_personal_data": _OP11, "op12_filter_interactions": _OP12}
+    return {"op9_benchmark_decontamination": _OP9, "op11_personal_data": _OP11, "op12_filter_interactions": _OP12, "op13_conversation_repair": _OP13}

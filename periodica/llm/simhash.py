@@ -176,8 +176,11 @@ def keep_winners(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows that repeat an id and its text are one document.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
-    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_won_id"), F.col("first.key").alias("_won_key"))
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("won_id"), F.col("first.key").alias("won_key"))
     winners = cut(chosen, "winners")
-    keyed = docs.withColumn("_won_text", F.xxhash64(text_of()))
-    kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_won_id")) & (F.col("_won_text") == F.col("_won_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_won_text"]).select(docs.columns)
+    # Columns of the documents go by position, so that they may have any names.
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    keyed = docs.toDF(*names).withColumn("key", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    kept = keyed.join(winners, doc.eqNullSafe(F.col("won_id")) & (F.col("key") == F.col("won_key")), "left_semi")
+    return kept.dropDuplicates([names[docs.columns.index("doc_id")], "key"]).select(*names).toDF(*docs.columns)
