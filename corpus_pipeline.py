@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.llm import decontaminate, mixing, sharding, similar, toxicity
+from periodica.llm import decontaminate, mixing, sharding, simhash, toxicity
 from periodica.llm.common import cut, table
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (five-word shingles, similarity 0.8) stays, the one with the smallest id."""
-    return similar.keep_one_each(docs)
+    """One document of each component of SimHash near-duplicates (four-word shingles, at most four bits) stays, the one with the smallest id."""
+    return simhash.keep_one_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
