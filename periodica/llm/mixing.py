@@ -7,8 +7,8 @@ scaled so that the sample holds the stated share of the tokens (``KEPT``) and ca
 and a document is kept where the hash of its id and text falls below it. So the sample's tokens follow the targets, a cell
 that is too rare for its target gives all it has, and no document is repeated.
 
-Documents are read twice (count, sample) and never shuffled by cell while the cells are few enough to broadcast: only cells
-are, one row for each combination that occurs. A source that holds a third of all rows is summed before the shuffle.
+Documents are never shuffled by cell while the cells are few enough to broadcast: only cells are, one row for each combination
+that occurs. Their texts are read twice where the result holds them (``mix``), once where it does not (``mix_without_texts``). A source that holds a third of all rows is summed before the shuffle.
 
 Targets are given for each margin as a frame (value, share), or follow from ``temperatures``: a margin's shares are its
 token shares to that power, so 1 leaves them and 0 makes them equal.
@@ -142,9 +142,23 @@ def mix(
     targets: dict[str, DataFrame] | None = None,
     kept: float = KEPT,
 ) -> DataFrame:
-    """``row`` (the document), margins, tokens and probability of the documents drawn."""
+    """``row`` (the document), margins, tokens and probability of the documents drawn. Texts are read twice: to count, to return them."""
+    return _drawn(_with_cells(docs), temperatures, targets, kept)
+
+
+def mix_without_texts(
+    docs: DataFrame,
+    temperatures: dict[str, float] | None = None,
+    targets: dict[str, DataFrame] | None = None,
+    kept: float = KEPT,
+) -> DataFrame:
+    """As ``mix``, but ``row`` has no text: what the fit and the draw need is written once, and texts are read once."""
+    measured = _with_cells(docs).withColumn("row", F.col("row").dropFields("text"))
+    return _drawn(cut(measured, "measured"), temperatures, targets, kept)
+
+
+def _drawn(rows: DataFrame, temperatures: dict[str, float] | None, targets: dict[str, DataFrame] | None, kept: float) -> DataFrame:
     powers = {"source": 0.7, "lang": 0.8, "topic": 0.9} | (temperatures or {})
-    rows = _with_cells(docs)
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     goals = {m: (targets or {}).get(m) or targets_by_temperature(cells, m, powers[m]) for m in MARGINS}
     goals = {m: cut(g, "goals") for m, g in goals.items()}

@@ -41,7 +41,7 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    drawn = mixing.mix(docs)
+    drawn = mixing.mix_without_texts(docs)
     return drawn.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
 
 

@@ -72,6 +72,10 @@ def test_odd_frames(spark):
     assert 0 < len(rows) <= odd.count()
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in M.mix(odd).select("row.*").collect())
     assert M.mix(no_documents(spark)).count() == 0
+    narrow = M.mix_without_texts(odd).select("row.*", "topic", "tokens", "probability")
+    whole = M.mix(odd).select("row.*", "topic", "tokens", "probability").drop("text")
+    assert narrow.columns == whole.columns
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, whole.collect()))
 
 
 @needs_tables
