@@ -9,8 +9,8 @@ The vocabulary is that of a public byte-level tokenizer; nothing is trained. A p
 pieces of several bytes has the probability of a Zipf-Mandelbrot law, (r + 2.7)^-1, normalised; single bytes, the fallback
 for anything, have the last rank. Of segmentations with equal scores the one with fewer tokens counts.
 
-One pass over the documents, no shuffle: each task fills a trie of its own. When it has ``MAX_NODES`` nodes it is emptied,
-which costs time and changes no count.
+One pass over the documents, no shuffle: each Python worker fills a trie of its own, task after task. At ``MAX_NODES`` nodes the
+prefixes are emptied and the terminal counts stay; at ``MAX_WORDS`` pre-tokens those are emptied too. That costs time and changes no count.
 
 Defined results: null and empty texts have 0 tokens and 0 pre-tokens; repeated rows are counted each; an empty
 table gives no rows; other columns pass through, and one called like an output is replaced.
@@ -19,6 +19,7 @@ table gives no rows; other columns pass through, and one called like an output i
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterable
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from periodica.llm.common import per_row
 
-MAX_NODES = 200_000
+MAX_NODES = 400_000
 MAX_WORDS = 500_000
 
 
@@ -64,15 +65,17 @@ class PieceTrie:
             self.score[node] = score
 
 
-class TokenTrie:
-    """Pre-tokens with the forward state of each prefix.
+class TokenTrie(dict):
+    """Pre-tokens with the forward state of each prefix; as a mapping, the terminal counts: tokens of each pre-token.
 
     ``best`` and ``tokens`` of a node are the score and length of its prefix's best segmentation; ``open`` holds the
-    pieces that have begun inside it: vocabulary node, and score and tokens before the piece.
+    pieces that have begun inside it: vocabulary node, and score and tokens before the piece. A count that is not yet
+    known is found on the way (``trie[word]``).
     """
 
-    def __init__(self, pieces: PieceTrie, max_nodes: int = MAX_NODES):
-        self.pieces, self.max_nodes = pieces, max_nodes
+    def __init__(self, pieces: PieceTrie, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS):
+        super().__init__()
+        self.pieces, self.max_nodes, self.max_words = pieces, max_nodes, max_words
         self.steps_taken = 0
         self._empty()
 
@@ -80,14 +83,13 @@ class TokenTrie:
         self.step: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.open: list[tuple[tuple[int, float, int], ...]] = [()]
-        self.terminal: dict[str, int] = {}
-
-    def count(self, word: str) -> int:
-        found = self.terminal.get(word)
-        if found is None:
-            if len(self.best) > self.max_nodes or len(self.terminal) > MAX_WORDS:
-                self._empty()
-            found = self.terminal[word] = self.tokens[self._insert(word.encode("utf-8", "surrogatepass"))]
+
+    def __missing__(self, word: str) -> int:
+        if len(self.best) > self.max_nodes:
+            self._empty()  # the terminal counts stay
+        if len(self) >= self.max_words:
+            self.clear()
+        found = self[word] = self.tokens[self._insert(word.encode("utf-8", "surrogatepass"))]
         return found
 
     def _insert(self, word: bytes) -> int:
@@ -102,34 +104,56 @@ class TokenTrie:
 
     def _forward(self, node: int, b: int) -> int:
         self.steps_taken += 1
-        step, score = self.pieces.step, self.pieces.score
+        step, score = self.pieces.step.get, self.pieces.score
         begun = []
         best, tokens = -math.inf, 0
-        for piece, before, used in (*self.open[node], (0, self.best[node], self.tokens[node])):
-            piece = step.get(piece << 8 | b)
+        before, used = self.best[node], self.tokens[node]
+        piece = step(b)
+        if piece is not None:
+            begun.append((piece, before, used))
+            gain = score[piece]
+            if gain is not None:
+                best, tokens = before + gain, used + 1
+        for piece, before, used in self.open[node]:
+            piece = step(piece << 8 | b)
             if piece is None:
                 continue
             begun.append((piece, before, used))
             gain = score[piece]
-            if gain is not None and (before + gain > best or before + gain == best and used + 1 < tokens):
-                best, tokens = before + gain, used + 1
+            if gain is not None:
+                gain += before
+                if gain > best or gain == best and used + 1 < tokens:
+                    best, tokens = gain, used + 1
         self.best.append(best)
         self.tokens.append(tokens)
         self.open.append(tuple(begun))
         return len(self.best) - 1
 
 
+#: The trie of this Python worker, for the vocabulary it was made for: tasks that the worker runs one after the other go on with it.
+_TRIES: dict[str, TokenTrie] = {}
+
+
+def worker_trie(key: str, scores: dict[bytes, float]) -> TokenTrie:
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = TokenTrie(PieceTrie(scores))
+    return _TRIES[key]
+
+
 def with_token_counts(
     docs: DataFrame, vocabulary: str, pattern: str, drop: tuple[str, ...] = ()
 ) -> DataFrame:
     """``docs`` with n_tokens and n_pretokens. ``vocabulary`` is a ranks file the driver reads and broadcasts (about 1 MB)."""
-    pieces = docs.sparkSession.sparkContext.broadcast(piece_scores(read_ranks(vocabulary)))
+    ranks = read_ranks(vocabulary)
+    key = hashlib.sha256(repr(ranks).encode()).hexdigest()
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_scores(ranks))
 
     def make():
         import regex
 
         find = regex.compile(pattern).findall
-        count = TokenTrie(PieceTrie(pieces.value)).count
+        count = worker_trie(key, pieces.value).__getitem__
 
         def run(texts):
             words = [find(t) if t else () for t in texts]
