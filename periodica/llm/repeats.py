@@ -88,7 +88,7 @@ def cut_runs(docs: list[tuple[int, int, int, bytes]], buckets: int, span: int =
     starts, lengths, bucket, key = starts[order], lengths[order], bucket[order], key[order]
     who = owner[starts]
     ids = np.array([d[0] for d in docs], np.int64)[who]
-    tags = np.array([d[1] for d in docs], np.uint8)[who]
+    tags = np.array([d[1] for d in docs], np.int64)[who]
     at = starts - begins[who] + np.array([d[2] for d in docs], np.int64)[who]
     small = (key & np.uint64(0xFFFFFF)).astype(np.int64)
     pack = zstandard.ZstdCompressor(level=6).compress
@@ -98,7 +98,7 @@ def cut_runs(docs: list[tuple[int, int, int, bytes]], buckets: int, span: int =
         ends = np.cumsum(size)
         text = data[np.repeat(starts[a:b] - (ends - size), size) + np.arange(int(ends[-1]))]
         heads = _planes(np.diff(ids[a:b], prepend=0), 8) + _planes(at[a:b], 8) + _planes(size, 4) + _planes(small[a:b], 3)
-        yield int(bucket[a]), int(b - a).to_bytes(4, "little") + pack(heads + tags[a:b].tobytes() + text.tobytes())
+        yield int(bucket[a]), int(b - a).to_bytes(4, "little") + pack(heads + _planes(tags[a:b], 8) + text.tobytes())
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -117,11 +117,11 @@ def unpack_runs(packed: bytes):
     n = int.from_bytes(packed[:4], "little")
     raw = zstandard.ZstdDecompressor().decompress(packed[4:])
     at, found = 0, []
-    for width in (8, 8, 4, 3):
+    for width in (8, 8, 4, 3, 8):
         found.append(_numbers(raw[at : at + width * n], n, width))
         at += width * n
-    ids, places, lengths, small = found
-    return np.cumsum(ids), np.frombuffer(raw, np.uint8, n, at), places, lengths, small, raw[at + n :]
+    ids, places, lengths, small, tags = found
+    return np.cumsum(ids), tags, places, lengths, small, raw[at:]
 
 
 def previous_documents(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -217,19 +217,24 @@ def _pieces(doc: int, tag: int, text: bytes, span: int):
         yield doc, tag, at, text[at : at + PIECE_BYTES]
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    """doc, tag (of the text, so that rows that repeat an id with another text are told apart) and text in bytes."""
+def _repeats_ids(docs: DataFrame) -> bool:
+    """Whether some rows share an id; only the ids are read."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
+def _narrow(docs: DataFrame, tagged: bool) -> DataFrame:
+    """doc, tag and text in bytes. The tag is a 64-bit hash of the text where ids are repeated, so that rows of one id are told apart, else 0."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(256)).cast("int").alias("tag"),
+        (F.xxhash64(text) if tagged else F.lit(0).cast("bigint")).alias("tag"),
         text.cast("binary").alias("text"),
     )
 
 
-def earlier_ranges(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def earlier_ranges(docs: DataFrame, span: int = SPAN, tagged: bool = True) -> DataFrame:
     """(doc, tag, first, end): byte ranges whose windows occur in a document with a smaller id. Ranges may overlap."""
-    narrow = _narrow(docs).where(F.octet_length("text") >= span)
+    narrow = _narrow(docs, tagged).where(F.octet_length("text") >= span)
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, math.ceil(total * 3.2 / BUCKET_BYTES))
 
@@ -257,10 +262,10 @@ def earlier_ranges(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         ids, tags, first, end = bucket_ranges(table.column("runs").to_pylist(), span)
-        return pa.table({"doc": ids, "tag": tags.astype(np.int32), "first": first, "end": end})
+        return pa.table({"doc": ids, "tag": tags, "first": first, "end": end})
 
     runs = narrow.mapInArrow(spread, "bucket int, runs binary")
-    return runs.groupBy("bucket").applyInArrow(match, "doc bigint, tag int, first bigint, end bigint")
+    return runs.groupBy("bucket").applyInArrow(match, "doc bigint, tag bigint, first bigint, end bigint")
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -275,7 +280,8 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``keep_text`` also ``kept``, its remaining bytes."""
-    ranges = cut(earlier_ranges(docs, span), "ranges")
+    tagged = _repeats_ids(docs)
+    ranges = cut(earlier_ranges(docs, span, tagged), "ranges")
     listed = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +310,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, keep_text: bool = False) -
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 6 if keep_text else 5]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)])
 
-    packed = _narrow(docs).mapInArrow(squeeze, "doc bigint, tag int, packed binary")
+    packed = _narrow(docs, tagged).mapInArrow(squeeze, "doc bigint, tag bigint, packed binary")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
     return packed.join(listed, ["doc", "tag"], "left").select("doc", "packed", "ranges").mapInArrow(finish, schema)

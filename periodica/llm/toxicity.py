@@ -47,14 +47,15 @@ def word_counts(text: str | None) -> Counter:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, keep: F.Column | None = None) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled documents, those with the smallest hash of their id."""
+    """(doc_id, text, label) of at most ``limit`` labelled documents, those with the smallest hash of their id; of rows that repeat an id, the smallest text."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         known = known.where(keep)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(limit)
     # The hint's side has at most ``limit`` rows of two numbers.
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    sampled = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return sampled.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 class Severity:

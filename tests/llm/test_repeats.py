@@ -78,6 +78,19 @@ def test_odd_frames(spark):
     assert {(r.doc_id, r.n_bytes == r.n_removed) for r in long} == {(6, False), (7, True)}
 
 
+def test_many_texts_of_one_id(spark):
+    """Among 600 texts of one id, small hashes of texts meet; what is found in one must not be cut out of another."""
+    passage = "a passage of well over fifty bytes that several documents share with each other; "
+    rows = [(5, f"{i} " * 40 + passage * (i % 3 == 0) + f"{i}!" * 20) for i in range(600)] + [(1, passage)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in R.remove_repeats(frame).collect()}
+    want = set()
+    for i, (doc, text) in enumerate(rows):
+        rest = text.replace(passage, "") if doc == 5 else text
+        want.add((doc, len(text), len(text) - len(rest), hashlib.sha256(rest.encode()).hexdigest()))
+    assert got == want
+
+
 def test_kept_text(spark):
     frame = spark.createDataFrame([(1, "é" * 60), (2, "ab" + "é" * 60 + "cd")], "doc_id bigint, text string")
     assert {r.doc_id: bytes(r.kept) for r in R.remove_repeats(frame, keep_text=True).collect()} == {1: ("é" * 60).encode(), 2: b"abcd"}

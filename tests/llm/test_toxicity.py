@@ -67,3 +67,13 @@ def test_unseen_labelled_documents(spark):
     # Some labelled documents of these tables hold no word that any other toxic document holds.
     assert n.get((1, True), 0) >= 0.9 * (n.get((1, True), 0) + n.get((1, False), 0))
     assert n.get((0, True), 0) <= 0.02 * n.get((0, False), 0)
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    """A labelled id that is repeated 10,000 times gives the sample one row."""
+    docs = spark.range(10_100).selectExpr("least(id, 100) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    rows = X.labelled_sample(docs, labels, "toxic", 150).collect()
+    assert 0 < len(rows) <= 150 and len({r.doc_id for r in rows}) == len(rows)
+    full = {r.doc_id: r.text for r in X.labelled_sample(docs, labels, "toxic", 1000).collect()}
+    assert len(full) == 101 and full[100] == "text 100"
