@@ -30,7 +30,11 @@ def _pair_flow() -> Column:
 
 def annual_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Observed periods and summed positive model flows per calendar year."""
-    pairs = period_pairs(fact, [spec.model], spec, phantom_row=False)
+    return annual_flow_of_pairs(period_pairs(fact, [spec.model], spec, phantom_row=False), spec)
+
+
+def annual_flow_of_pairs(pairs: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """``annual_flow`` from the pairs of each model; every observed period has some."""
     per_period = pairs.groupBy(spec.period).agg(F.sum(_pair_flow()).alias("fluxo"))
     # Gathered before the second grouping: one row per period.
     per_year = gather(per_period).groupBy(F.year(spec.period).alias("ano"))
@@ -40,7 +44,11 @@ def annual_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame
 
 def base_builder_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
     """Positive flow per model over all history, unordered."""
-    pairs = period_pairs(fact, [spec.model], spec)
+    return base_builder_flow_of_pairs(period_pairs(fact, [spec.model], spec), spec)
+
+
+def base_builder_flow_of_pairs(pairs: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """``base_builder_flow`` from the pairs of each model, with the first period's row of no model."""
     return pairs.groupBy(spec.model).agg(F.sum(_pair_flow()).alias("vendas_proxy_total"))
 
 

@@ -19,16 +19,20 @@ _NEXT = "_proxima"
 SIDE = "_lado"
 
 
-def calendar(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    """Observed periods with their neighbours: one row per period, whatever the table's size.
+def calendar(stock: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """Observed periods with their neighbours, from a stock by period and keys: one row per period, whatever its size.
 
-    On a table partitioned by period the scan reads no data column.
+    The periods are a by-product of the stock: as the neighbours refer to a count of its sums, this branch is the same up
+    to the shuffle of the stock as the one that joins it, and reads that shuffle again instead of the table. The join is to be a
+    left one: an inner join may prune its left branch's scan by the calendar, and would tell the two branches apart.
     """
     order = Window.orderBy(spec.period)
-    return fact.select(spec.period).distinct().select(
+    periods = stock.groupBy(spec.period).agg(F.count(STOCK).alias("_somas"))
+    counted = F.col("_somas") >= 0  # always so
+    return periods.select(
         spec.period,
-        F.lag(spec.period).over(order).alias(PREVIOUS),
-        F.lead(spec.period).over(order).alias(_NEXT),
+        F.when(counted, F.lag(spec.period).over(order)).alias(PREVIOUS),
+        F.when(counted, F.lead(spec.period).over(order)).alias(_NEXT),
     )
 
 
@@ -54,6 +58,11 @@ def with_period_before(
     return fact.filter(period >= F.coalesce(before, first))
 
 
+def _totals(fact: DataFrame, keys: Sequence[str], spec: SnapshotSpec) -> DataFrame:
+    """Stock per (period, keys). Rows without period are dropped here, where the joins with the calendar would do it."""
+    return stock_by(fact.filter(F.col(spec.period).isNotNull()), spec.period, *keys, spec=spec, name=STOCK)
+
+
 def two_sided_stock(
     fact: DataFrame,
     keys: Sequence[str],
@@ -76,9 +85,9 @@ def two_sided_stock(
     unmatched = F.lit(False)
     for key in pairing:
         unmatched = unmatched | F.col(key).isNull()
+    totals = _totals(fact, keys, spec)
     # One row per period: bounded by the calendar, not by the table.
-    periods = F.broadcast(calendar(fact, spec))
-    stock = stock_by(fact, spec.period, *keys, spec=spec, name=STOCK).join(periods, spec.period)
+    stock = totals.join(F.broadcast(calendar(totals, spec)), spec.period, "left")
     series = Window.partitionBy(*keys).orderBy(spec.period)
     dated = stock.repartition(*(F.col(c) for c in colocate)).select(
         spec.period,
@@ -136,13 +145,17 @@ def period_pairs(
     if not phantom_row:
         return pairs
     types = dict(fact.select(*keys).dtypes)
-    phantom = calendar(fact, spec).filter(F.col(PREVIOUS).isNull()).select(
+    return pairs.unionByName(phantom_pair(calendar(_totals(fact, keys, spec), spec), {k: types[k] for k in keys}, spec))
+
+
+def phantom_pair(periods: DataFrame, keys: dict[str, str], spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """The row that the first of ``periods`` (with ``PREVIOUS``) adds: NULL ``keys`` (name and type) and stock 0."""
+    return periods.filter(F.col(PREVIOUS).isNull()).select(
         spec.period,
         PREVIOUS,
-        *(F.lit(None).cast(types[k]).alias(k) for k in keys),
+        *(F.lit(None).cast(t).alias(k) for k, t in keys.items()),
         *(F.lit(0).cast("bigint").alias(c) for c in (STOCK, STOCK_BEFORE)),
     )
-    return pairs.unionByName(phantom)
 
 
 def positive_flow(stock: Column, before: Column) -> Column:

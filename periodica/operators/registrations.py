@@ -14,7 +14,6 @@ from periodica.operators.pairs import (
     SIDE,
     STOCK,
     STOCK_BEFORE,
-    periods_of,
     positive_flow,
     two_sided_stock,
     with_period_before,
@@ -38,10 +37,19 @@ def adjusted_flow(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFra
     The fact is aggregated once for all three stocks (per year, unknown year, whole model). The
     series of a model then share a partition, where each period's group has one row per year.
     """
-    zero = F.lit(0).cast("bigint")
-    pairs = two_sided_stock(
+    return adjusted_pairs(model_year_pairs(fact, spec), spec)
+
+
+def model_year_pairs(fact: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """Two-sided stock per (period, model, model year); a NULL model never pairs, a NULL year does."""
+    return two_sided_stock(
         fact, [spec.model, spec.year], pairing=[spec.model], colocate=[spec.model], spec=spec
     )
+
+
+def adjusted_pairs(pairs: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """``adjusted_flow`` of rows of ``model_year_pairs``."""
+    zero = F.lit(0).cast("bigint")
     known = F.col(spec.year).isNotNull()
     now, before = (F.coalesce(F.col(c), zero) for c in (STOCK, STOCK_BEFORE))
     has_past = F.col(PREVIOUS).isNotNull()
@@ -89,37 +97,39 @@ def registrations(
     back one observed period. The answer is that part of the unbounded one.
     """
     fact = with_period_before(fact, since, until, spec)
-    pairs = adjusted_flow(fact, spec)
-    rows = pairs.select(spec.period, spec.year, FLOW, TOTAL, "_conhecido", "_conhecido_antes")
-    every_period = periods_of(fact, spec).select(
-        spec.period,
-        F.lit(None).cast(dict(rows.dtypes)[spec.year]).alias(spec.year),
-        F.lit(0.0).alias(FLOW),
-        F.lit(0).cast("bigint").alias(TOTAL),
-        F.lit(False).alias("_conhecido"),
-        F.lit(False).alias("_conhecido_antes"),
-    )
-    yearly = rows.unionByName(every_period).groupBy(spec.period, spec.year).agg(
+    return registrations_of_pairs(model_year_pairs(fact, spec), spec, since)
+
+
+def registrations_of_pairs(
+    pairs: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC, since: str | date | None = None, until: str | date | None = None
+) -> DataFrame:
+    """``registrations`` from rows of ``model_year_pairs``; every observed period has some."""
+    if since is not None:
+        pairs = pairs.filter(F.col(spec.period) >= date_lit(since))
+    if until is not None:
+        pairs = pairs.filter(F.col(spec.period) <= date_lit(until))
+    yearly = adjusted_pairs(pairs, spec).groupBy(spec.period, spec.year).agg(
         F.sum(FLOW).alias(FLOW),
         F.sum(TOTAL).alias(TOTAL),
         F.max("_conhecido").alias("_conhecido"),
         F.max("_conhecido_antes").alias("_conhecido_antes"),
     )
-    if since is not None:
-        yearly = yearly.filter(F.col(spec.period) >= date_lit(since))
     # One row per (period, model year) from here on: window and sort share one partition.
     whole = Window.partitionBy(spec.period)
     paired = F.max("_conhecido").over(whole) & F.max("_conhecido_antes").over(whole)
+    first = F.row_number().over(whole.orderBy(F.col(spec.year).asc_nulls_first())) == 1
+    found = F.struct(F.col(spec.year).alias("ano"), F.col(FLOW).alias("fluxo"))
+    nothing = F.struct(F.lit(None).cast(dict(yearly.dtypes)[spec.year]).alias("ano"), F.lit(0.0).alias("fluxo"))
+    summed = gather(yearly).select(
+        spec.period,
+        F.sum(TOTAL).over(whole).alias(TOTAL),
+        paired.alias("_par"),
+        # Each period gets a row without year, unless it has one.
+        F.when(first & F.col(spec.year).isNotNull(), F.array(nothing, found)).otherwise(F.array(found)).alias("_linhas"),
+    )
     return (
-        gather(yearly)
-        .select(
-            spec.period,
-            spec.year,
-            FLOW,
-            F.sum(TOTAL).over(whole).alias(TOTAL),
-            paired.alias("_par"),
-        )
-        .filter(F.col(spec.year).isNotNull() | ~F.col("_par"))
-        .drop("_par")
+        summed.select("*", F.inline("_linhas"))
+        .filter(F.col("ano").isNotNull() | ~F.col("_par"))
+        .select(spec.period, F.col("ano").alias(spec.year), F.col("fluxo").alias(FLOW), TOTAL)
         .orderBy(*asc(spec.period, spec.year))
     )
