@@ -1,6 +1,7 @@
 """Jobs composed of operators."""
 
+from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs, stale_periods
 from periodica.plans.macro_view import MacroView, macro_view
 from periodica.plans.monthly_load import load_month
 
-__all__ = ["MacroView", "load_month", "macro_view"]
+__all__ = ["MacroView", "build_pairs", "load_month", "macro_view", "read_pairs", "refresh_pairs", "stale_periods"]

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from periodica.operators.ingest import count_input, counted_groups, counters, reconcile
+from periodica.plans.kept_pairs import refresh_pairs
 from periodica.presets import Brand
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period
@@ -25,10 +26,11 @@ def load_month(
     spec: SnapshotSpec = DEFAULT_SPEC,
     *,
     table: str | None = None,
+    pairs: str | None = None,
 ) -> DataFrame:
     """Read, clean, consolidate and replace one period; returns the reconciliation as one row.
 
-    The target is a ``path`` or a catalog ``table``. The text is read once: its consolidation, with the
+    The target is a ``path`` or a catalog ``table``; a table of stock pairs at ``pairs`` is brought up to date with it. The text is read once: its consolidation, with the
     counters of the input, is written to the shared folder, and both the partition and the report come from there.
     """
     raw = canonicalize(read_registry(spark, source, spec=spec), spec)
@@ -36,7 +38,10 @@ def load_month(
     counted_groups(raw, brand, period, spec).write.parquet(staged)
     groups = spark.read.parquet(staged)
     replace_period(groups.filter("da_marca"), path, period, spec, table=table)
-    return _report(counters(groups), read_facts(spark, path, spec, table=table), period, previous, spec)
+    fact = read_facts(spark, path, spec, table=table)
+    if pairs is not None:
+        refresh_pairs(fact, pairs, [period], spec)
+    return _report(counters(groups), fact, period, previous, spec)
 
 
 def load_report(

@@ -54,6 +54,17 @@ def test_registrations_read_the_fact_once(spark):
     assert len(keyed) == 2
 
 
+@pytest.mark.parametrize(("key", "scans"), [("registrations_macro", 1), ("annual_flow", 1), ("base_builder_ranking", 1), ("trailing_window", 2)])
+def test_calendar_comes_from_the_stock(spark, key, scans):
+    """The fact is opened once; a bounded question also looks up the period before its first one."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES[key](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("FileScan parquet") == scans and "ReusedExchange" in text
+
+
 def test_previous_period_prunes_at_run_time(spark):
     text = plan(QUERIES["territory_uf"](spark, SF_DIR))
     assert re.search(r"PartitionFilters: \[\(\(competencia#\d+ = 2000-07-01\) OR \(competencia#\d+ = Subquery", text)

@@ -304,7 +304,20 @@ WHERE {condition.format(n='n')} GROUP BY marca_modelo""",
     )
 
 
+#: Answers from the table of pairs are those from the fact.
+_KEPT = {
+    "registrations_kept": "registrations_macro",
+    "annual_flow_kept": "annual_flow",
+    "base_builder_kept": "base_builder_ranking",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _statements()
+    return found | {kept: found[plain] for kept, plain in _KEPT.items()}
+
+
+def _statements() -> dict[str, str]:
     return {
         # sources and cleansing
         "ingest_canonical_columns": _sql("FROM named", **_RAW_VIEWS),

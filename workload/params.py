@@ -17,3 +17,11 @@ SOME_CITIES = (" Sem Informação ", "Supplier#000000001")
 LATE = "2040-01-01"
 MONTHS_BACK = 24
 BRAND_MODELS = ("INDIAN/SCOUT", "I/INDIAN CHIEF VINTAGE", "I/INDIAN CHIEF DARKHORSE", "IMP/INDIAN")
+# Months that came late or were corrected after the table of pairs was built: the first, one by itself, two neighbours, the last.
+LATE_LOADS = {
+    "1995-01-01": "wrong",
+    "1998-12-01": "missing",
+    "2000-07-01": "missing",
+    "2000-08-01": "wrong",
+    "2001-11-01": "missing",
+}

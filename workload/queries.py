@@ -22,12 +22,13 @@ from periodica.operators import (
     stock,
     territory,
 )
-from periodica.operators.registrations import FLOW, registrations
+from periodica.operators.registrations import FLOW, registrations, registrations_of_pairs
+from periodica.plans.kept_pairs import annual_flow_kept, base_builder_kept
 from periodica.plans.monthly_load import load_report
 from periodica.presets import BRAND_A, BRAND_B
 from periodica.sources.registry import canonicalize
 from workload import params as p
-from workload.views import brand_b, fleet, glossary, glossary_file, loaded_period, raw_registry
+from workload.views import brand_b, fleet, glossary, glossary_file, kept_pairs, loaded_period, raw_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,6 +207,10 @@ def queries() -> dict[str, Query]:
         "annual_flow": _on_fleet(flow.annual_flow),
         "base_builder_ranking": _on_fleet(flow.base_builder_ranking),
         "registrations_macro": lambda s, d: _rounded(_registrations(s, d)),
+        # the same from a table of pairs that monthly loads keep up to date
+        "registrations_kept": lambda s, d: _rounded(registrations_of_pairs(kept_pairs(s, d, p.LATE_LOADS))),
+        "annual_flow_kept": lambda s, d: annual_flow_kept(kept_pairs(s, d, p.LATE_LOADS)),
+        "base_builder_kept": lambda s, d: base_builder_kept(kept_pairs(s, d, p.LATE_LOADS)),
         "model_variation": _on_fleet(flow.model_variation, p.MODEL, p.START, p.END),
         "national_snapshot": _on_fleet(flow.national_snapshot, p.REF),
         "model_series": _on_fleet(flow.model_series, p.MODEL),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period, write_facts
 from periodica.sources.glossary import read_glossary
@@ -155,6 +156,27 @@ def loaded_period(
     return _written(spark, sf_dir, "carga", rows, load_twice, read_facts)
 
 
+def kept_pairs(spark: SparkSession, sf_dir: str, changes: dict[str, str]) -> DataFrame:
+    """The table of stock pairs after monthly loads: it was built when the periods of ``changes`` were "missing" or "wrong"."""
+
+    def load_and_refresh(frame: DataFrame, path: str) -> None:
+        facts, pairs = f"{path}/fato", f"{path}/pares"
+        period = F.col(DEFAULT_SPEC.period)
+        missing = [day for day, state in changes.items() if state == "missing"]
+        wrong = F.when(period.isin([day for day, state in changes.items() if state == "wrong"]), 3).otherwise(1)
+        units = (F.col(DEFAULT_SPEC.measure) * wrong).alias(DEFAULT_SPEC.measure)
+        early = frame.filter(~period.isin(missing)).select(*(units if c == DEFAULT_SPEC.measure else c for c in frame.columns))
+        write_facts(early, facts)
+        build_pairs(read_facts(spark, facts), pairs)
+        for day in changes:
+            replace_period(frame.filter(period == F.lit(day).cast("date")), facts, day)
+            refresh_pairs(read_facts(spark, facts), pairs, [day])
+
+    return _written(
+        spark, sf_dir, "pares", lambda: fleet(spark, sf_dir), load_and_refresh, lambda session, path: read_pairs(session, f"{path}/pares")
+    )
+
+
 # Header of a raw registry file, by column of RAW_SQL.
 RAW_HEADER = {
     "uf_texto": "UF",
