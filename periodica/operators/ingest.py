@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +31,11 @@ def typed_rows(
     period: str | date,
     spec: SnapshotSpec = DEFAULT_SPEC,
     source: str | None = None,
+    marks: Sequence[str] = (),
 ) -> DataFrame:
     """Trim and type canonical text columns; add the period and the file lineage.
 
-    ``source`` names the origin when the frame has no lineage column of its own.
+    ``source`` names the origin when the frame has no lineage column of its own; columns named in ``marks`` are kept as they are.
     """
     lineage = F.col(spec.lineage) if spec.lineage in rows.columns else F.lit(source).cast("string")
     return rows.select(
@@ -45,6 +46,7 @@ def typed_rows(
         parse_year(F.col(spec.year)).alias(spec.year),
         parse_quantity(F.col(spec.measure)).alias(spec.measure),
         lineage.alias(spec.lineage),
+        *marks,
     )
 
 
@@ -67,19 +69,19 @@ def count_input(rows: DataFrame, brand: BrandFilter, spec: SnapshotSpec = DEFAUL
 
 
 def counted_groups(
-    rows: DataFrame, brand: Brand, period: str | date, spec: SnapshotSpec = DEFAULT_SPEC
+    rows: DataFrame, brand: Brand, period: str | date, spec: SnapshotSpec = DEFAULT_SPEC, marks: Sequence[str] = ()
 ) -> DataFrame:
     """The consolidation of all raw rows: groups of the brand, and everything else as one group.
 
     ``da_marca`` tells them apart and ``linhas`` counts the raw rows, so that one pass over the text gives
-    both the rows to load and the counters of the input.
+    both the rows to load and the counters of the input. Rows that differ in ``marks`` are counted apart.
     """
     ours = F.coalesce(brand.filter.matches(F.col(spec.model)), F.lit(False))
     typed = typed_rows(rows.withColumn("_marca", ours).withColumns(
         {c: F.when(F.col("_marca"), F.col(c)) for c in rows.columns if c in spec.columns}
-    ), brand, period, spec).withColumn("da_marca", F.col(spec.model).isNotNull())
+    ), brand, period, spec, marks=marks).withColumn("da_marca", F.col(spec.model).isNotNull())
     keys = [c for c in spec.columns if c != spec.measure]
-    return typed.groupBy("da_marca", *keys).agg(
+    return typed.groupBy("da_marca", *marks, *keys).agg(
         F.sum(spec.measure).alias(spec.measure), F.count(F.lit(1)).alias("linhas")
     )
 

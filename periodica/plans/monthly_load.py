@@ -6,12 +6,14 @@ import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from periodica.operators.ingest import count_input, counted_groups, counters, reconcile
 from periodica.plans.kept_pairs import refresh_pairs
 from periodica.presets import Brand
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period
+from periodica.sources.quarantine import REJECTED, read_registry_files, set_aside
 from periodica.sources.registry import canonicalize, read_registry
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec
 
@@ -27,21 +29,38 @@ def load_month(
     *,
     table: str | None = None,
     pairs: str | None = None,
+    quarantine: str | None = None,
+    max_rejected: int = 0,
 ) -> DataFrame:
     """Read, clean, consolidate and replace one period; returns the reconciliation as one row.
 
-    The target is a ``path`` or a catalog ``table``; a table of stock pairs at ``pairs`` is brought up to date with it. The text is read once: its consolidation, with the
-    counters of the input, is written to the shared folder, and both the partition and the report come from there.
+    The target is a ``path`` or a catalog ``table``; a table of stock pairs at ``pairs`` is brought up to date with it. The text
+    is read once: its consolidation, with the counters of the input, is written to the shared folder, and both the
+    partition and the report come from there.
+
+    Files of another header and malformed records fail the load, unless there is a folder for the ``quarantine``: then each
+    header is read by itself, malformed records go to that folder with file and line, and the report has
+    ``linhas_rejeitadas``, which ``linhas_lidas`` includes. More than ``max_rejected`` of them fail the load, before the period
+    is replaced; the text is read again for them only if there are any.
     """
-    raw = canonicalize(read_registry(spark, source, spec=spec), spec)
     staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
-    counted_groups(raw, brand, period, spec).write.parquet(staged)
+    if quarantine is None:
+        raw = canonicalize(read_registry(spark, source, spec=spec), spec)
+        counted_groups(raw, brand, period, spec).write.parquet(staged)
+    else:
+        files = read_registry_files(spark, source, spec=spec)
+        counted_groups(files.rows, brand, period, spec, [REJECTED]).write.parquet(staged)
     groups = spark.read.parquet(staged)
+    rejected = None
+    if quarantine is not None:
+        rejected = groups.filter(REJECTED).agg(F.sum("linhas")).first()[0] or 0
+        set_aside(files, rejected, quarantine, max_rejected)
     replace_period(groups.filter("da_marca"), path, period, spec, table=table)
     fact = read_facts(spark, path, spec, table=table)
     if pairs is not None:
         refresh_pairs(fact, pairs, [period], spec)
-    return _report(counters(groups), fact, period, previous, spec)
+    report = _report(counters(groups), fact, period, previous, spec)
+    return report if rejected is None else report.withColumn("linhas_rejeitadas", F.lit(rejected).cast("bigint"))
 
 
 def load_report(

@@ -2,15 +2,19 @@
 
 from periodica.sources.facts import read_facts, replace_period, write_facts
 from periodica.sources.glossary import empty_glossary, read_glossary
+from periodica.sources.quarantine import TooManyRejected, read_registry_files, set_aside
 from periodica.sources.registry import canonical_columns, canonicalize, read_registry
 
 __all__ = [
+    "TooManyRejected",
     "canonical_columns",
     "canonicalize",
     "empty_glossary",
     "read_facts",
     "read_glossary",
     "read_registry",
+    "read_registry_files",
     "replace_period",
+    "set_aside",
     "write_facts",
 ]

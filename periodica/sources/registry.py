@@ -71,11 +71,16 @@ def canonical_columns(columns: Sequence[str], spec: SnapshotSpec = DEFAULT_SPEC)
     return mapping
 
 
-def canonicalize(raw: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
-    """Rename recognised headers; other columns stay as they are."""
-    mapping = canonical_columns(raw.columns, spec)
+def require_columns(mapping: dict[str, str], columns: Sequence[str], spec: SnapshotSpec = DEFAULT_SPEC) -> None:
+    """Fail if ``mapping``, that of the header ``columns``, lacks a column that a load needs."""
     required = [spec.state, spec.city, spec.model, spec.year, spec.measure]
     missing = [c for c in required if c not in mapping.values()]
     if missing:
-        raise ValueError(f"no header matches {missing}; found {raw.columns}")
+        raise ValueError(f"no header matches {missing}; found {list(columns)}")
+
+
+def canonicalize(raw: DataFrame, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+    """Rename recognised headers; other columns stay as they are."""
+    mapping = canonical_columns(raw.columns, spec)
+    require_columns(mapping, raw.columns, spec)
     return raw.select([F.col("`" + c.replace("`", "``") + "`").alias(mapping.get(c, c)) for c in raw.columns])
