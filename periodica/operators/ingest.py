@@ -69,17 +69,23 @@ def count_input(rows: DataFrame, brand: BrandFilter, spec: SnapshotSpec = DEFAUL
 
 
 def counted_groups(
-    rows: DataFrame, brand: Brand, period: str | date, spec: SnapshotSpec = DEFAULT_SPEC, marks: Sequence[str] = ()
+    rows: DataFrame,
+    brand: Brand,
+    period: str | date,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    marks: Sequence[str] = (),
+    source: str | None = None,
 ) -> DataFrame:
     """The consolidation of all raw rows: groups of the brand, and everything else as one group.
 
     ``da_marca`` tells them apart and ``linhas`` counts the raw rows, so that one pass over the text gives
-    both the rows to load and the counters of the input. Rows that differ in ``marks`` are counted apart.
+    both the rows to load and the counters of the input. Rows that differ in ``marks`` are counted apart; ``source`` is
+    the lineage of a frame without such a column.
     """
     ours = F.coalesce(brand.filter.matches(F.col(spec.model)), F.lit(False))
     typed = typed_rows(rows.withColumn("_marca", ours).withColumns(
         {c: F.when(F.col("_marca"), F.col(c)) for c in rows.columns if c in spec.columns}
-    ), brand, period, spec, marks=marks).withColumn("da_marca", F.col(spec.model).isNotNull())
+    ), brand, period, spec, source, marks).withColumn("da_marca", F.col(spec.model).isNotNull())
     keys = [c for c in spec.columns if c != spec.measure]
     return typed.groupBy("da_marca", *marks, *keys).agg(
         F.sum(spec.measure).alias(spec.measure), F.count(F.lit(1)).alias("linhas")

@@ -31,6 +31,7 @@ def load_month(
     pairs: str | None = None,
     quarantine: str | None = None,
     max_rejected: int = 0,
+    lineage: str | None = None,
 ) -> DataFrame:
     """Read, clean, consolidate and replace one period; returns the reconciliation as one row.
 
@@ -42,14 +43,18 @@ def load_month(
     header is read by itself, malformed records go to that folder with file and line, and the report has
     ``linhas_rejeitadas``, which ``linhas_lidas`` includes. More than ``max_rejected`` of them fail the load, before the period
     is replaced; the text is read again for them only if there are any.
+
+    Rows are summed by file, and carry its path, unless ``lineage`` names the delivery that all files are parts of.
     """
     staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
     if quarantine is None:
-        raw = canonicalize(read_registry(spark, source, spec=spec), spec)
-        counted_groups(raw, brand, period, spec).write.parquet(staged)
+        raw, marks = canonicalize(read_registry(spark, source, spec=spec), spec), []
     else:
         files = read_registry_files(spark, source, spec=spec)
-        counted_groups(files.rows, brand, period, spec, [REJECTED]).write.parquet(staged)
+        raw, marks = files.rows, [REJECTED]
+    if lineage is not None:
+        raw = raw.drop(spec.lineage)
+    counted_groups(raw, brand, period, spec, marks, lineage).write.parquet(staged)
     groups = spark.read.parquet(staged)
     rejected = None
     if quarantine is not None:

@@ -9,6 +9,7 @@ _TABLES = {t: t for t in views.FLEET_TABLES}
 _FLEET = views.FLEET_SQL.format(**_TABLES)
 _GLOSSARY = views.GLOSSARY_SQL.format(**_TABLES)
 _RAW = views.RAW_SQL.format(fleet="fleet")
+_LINES = views.LINES_SQL.format(fleet="fleet")
 _BRAND = views.BRAND_B_SQL.format(fleet="fleet")
 
 
@@ -333,6 +334,10 @@ FROM (SELECT marca_modelo AS texto FROM named UNION SELECT municipio FROM named)
         ),
         "ingest_typed_rows": _sql("FROM typed", **_TYPED_VIEWS),
         "ingest_consolidate": _sql(_CONSOLIDATED, **_TYPED_VIEWS),
+        "ingest_two_headers": _sql(_CONSOLIDATED, lines=_LINES, raw="FROM lines WHERE defeito = ''", named=_NAMED, typed=_TYPED),
+        "ingest_rejected": _sql(
+            "SELECT linha AS registro, defeito AS motivo, COUNT(*) AS linhas FROM lines WHERE defeito <> '' GROUP BY ALL", lines=_LINES
+        ),
         "ingest_replace_period": _sql(_CONSOLIDATED, **_TYPED_VIEWS),
         "glossary_load": _sql("FROM glossary", glossary=_GLOSSARY),
         "ingest_reconcile": _sql(

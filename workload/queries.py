@@ -24,11 +24,20 @@ from periodica.operators import (
 )
 from periodica.operators.registrations import FLOW, registrations, registrations_of_pairs
 from periodica.plans.kept_pairs import annual_flow_kept, base_builder_kept
-from periodica.plans.monthly_load import load_report
 from periodica.presets import BRAND_A, BRAND_B
 from periodica.sources.registry import canonicalize
 from workload import params as p
-from workload.views import brand_b, fleet, glossary, glossary_file, kept_pairs, loaded_period, raw_registry
+from workload.views import (
+    brand_b,
+    fleet,
+    glossary,
+    glossary_file,
+    kept_pairs,
+    load_report,
+    loaded_period,
+    raw_registry,
+    registry_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,12 +97,14 @@ def _code_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(code.alias("codigo")).agg(F.sum("count").alias("linhas"))
 
 
-def _reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    base = fleet(spark, sf)
-    loaded = base.filter(F.col("competencia") != F.lit(p.LOAD_PERIOD).cast("date")).unionByName(
-        _consolidated(spark, sf).drop("filename")
-    )
-    return load_report(_canonical(spark, sf), loaded, p.LOAD_PERIOD, p.REF, BRAND_A)
+def _two_headers(spark: SparkSession, sf: str) -> DataFrame:
+    accepted = registry_files(spark, sf).accepted.drop("filename")
+    rows = ingest.filter_brand(accepted, BRAND_A.filter)
+    return ingest.consolidate(ingest.typed_rows(rows, BRAND_A, p.LOAD_PERIOD, source=p.SOURCE_FILE))
+
+
+def _rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return registry_files(spark, sf).rejected().groupBy("registro", "motivo").agg(F.count(F.lit(1)).alias("linhas"))
 
 
 # -- registrations and their buckets ------------------------------------------------------------
@@ -175,7 +186,9 @@ def queries() -> dict[str, Query]:
         "ingest_typed_rows": _typed,
         "ingest_consolidate": _consolidated,
         "ingest_replace_period": lambda s, d: loaded_period(s, d, p.LOAD_PERIOD, lambda: _consolidated(s, d)),
-        "ingest_reconcile": _reconcile,
+        "ingest_reconcile": load_report,
+        "ingest_two_headers": _two_headers,
+        "ingest_rejected": _rejected,
         "glossary_load": glossary_file,
         # catalogue
         "list_periods": _on_fleet(catalog.list_periods),

@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
+from periodica.plans.monthly_load import load_month
+from periodica.presets import BRAND_A
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period, write_facts
 from periodica.sources.glossary import read_glossary
+from periodica.sources.quarantine import RegistryFiles, read_registry_files
 from periodica.sources.registry import read_registry
 from periodica.spec import DEFAULT_SPEC
+from workload import params as p
 
 CODE_SQL = """concat(CASE (p_partkey*7) % 5 WHEN 0 THEN 'H-D/' WHEN 1 THEN 'I/H.DAVIDSON '
         WHEN 2 THEN 'IMP/H.DAVIDSON ' WHEN 3 THEN 'HARLEY DAVIDSON/' ELSE 'H.DAVIDSON/' END,
@@ -46,33 +50,95 @@ SELECT codigo_modelo,
 FROM (SELECT {CODE_SQL} AS codigo_modelo FROM {{part}})
 WHERE codigo_modelo NOT LIKE '% TOPPER'"""
 
+# Codes in the registry text that are of the second brand, or nearly so; one is picked by the row's numbers.
+REGISTRY_CODES = (
+    "I/INDIAN SCOUT",
+    " Índian/chief  Vintage",
+    "INDIANA/JONES",
+    "INDIAN",
+    "indian-pursuit",
+    "IMP/INDIAN FTR",
+    "I/INDIAN/CHIEF",
+    "imp/índian",
+    "INDIAN CHIEFTAIN",
+    "I/INDIAN-ROADMASTER",
+    "IMP/INDIANA",
+    "I/INDIANO SCOUT",
+    "X/INDIAN SCOUT",
+    "I /INDIAN SCOUT",
+    "INDIAN_SCOUT",
+    "IMP INDIAN SCOUT",
+    "INDIANAPOLIS",
+    "I/ INDIAN SCOUT",
+    "INDIAN.SCOUT",
+    "MINDIAN/SCOUT",
+)
+
 # Every fleet row as registry text, with the defects an ingest has to deal with.
-RAW_SQL = """
+RAW_SQL = f"""
 SELECT concat(' ', uf) AS uf_texto,
  CASE n % 6 WHEN 1 THEN concat(municipio, '  São João d''Água ') WHEN 2 THEN NULL ELSE municipio END AS municipio_texto,
  CASE n % 11 WHEN 1 THEN lower(marca_modelo) WHEN 2 THEN concat('  ', marca_modelo, ' ')
    WHEN 3 THEN replace(marca_modelo, 'A', 'Á') WHEN 4 THEN concat('FORD/', marca_modelo)
-   WHEN 5 THEN 'I/H. Davidson  FXR' WHEN 6 THEN 'HARLEYDAVIDSON/FLHTCI' WHEN 7 THEN 'I/INDIAN SCOUT'
-   WHEN 8 THEN ' Índian/chief  Vintage' WHEN 9 THEN 'INDIANA/JONES' ELSE marca_modelo END AS marca_texto,
+   WHEN 5 THEN 'I/H. Davidson  FXR' WHEN 6 THEN 'HARLEYDAVIDSON/FLHTCI'
+   WHEN 7 THEN split_part('{"|".join(REGISTRY_CODES)}', '|', CAST((n + qtd_veiculos) % {len(REGISTRY_CODES)} AS INT) + 1)
+   ELSE marca_modelo END AS marca_texto,
  CASE n % 7 WHEN 1 THEN 's/ano' WHEN 2 THEN CAST(ano_fabricacao AS STRING) || '.0' WHEN 3 THEN '1999.5'
    ELSE CAST(ano_fabricacao AS STRING) END AS ano_texto,
  CASE n % 9 WHEN 1 THEN 'x' WHEN 2 THEN '12d' WHEN 3 THEN '2.5' WHEN 4 THEN '3.5' WHEN 5 THEN NULL
    WHEN 6 THEN concat(' ', CAST(qtd_veiculos AS STRING), ' ') WHEN 7 THEN '1e1'
    ELSE CAST(qtd_veiculos AS STRING) END AS qtd_texto
-FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {fleet})"""
+FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {{fleet}})"""
+
+# Columns of registry files of two headers, by column of RAW_SQL; the second one has a column of its own.
+LAYOUTS = (
+    {"uf_texto": "UF", "municipio_texto": "Município", "marca_texto": "Marca Modelo", "ano_texto": "Ano Fabricação", "qtd_texto": "Qtd. Veículos"},
+    {"qtd_texto": "QTD_VEICULOS", "marca_texto": "MARCA MODELO", "uf_texto": "UF", "ano_texto": "Ano Fabricacao", "municipio_texto": "Municipio", "'b'": "Origem"},
+)
+
+
+def _line(columns: list[str]) -> str:
+    return "concat(" + ", ';', ".join(f"coalesce({c}, '')" for c in columns) + ")"
 
-# Every fleet row under a code of the second brand, as one period. The last two codes are
-# completed by the row's number.
+
+# The same rows as lines of text, by layout: rows of some codes have a field too many or lack the last one.
+LINES_SQL = f"""
+SELECT layout, defeito, CASE defeito WHEN 'campos demais' THEN concat(inteira, ';sobra') WHEN 'campos de menos' THEN curta ELSE inteira END AS linha, *
+FROM (SELECT *, CASE layout WHEN 0 THEN {_line(list(LAYOUTS[0]))} ELSE {_line(list(LAYOUTS[1]))} END AS inteira,
+  CASE layout WHEN 0 THEN {_line(list(LAYOUTS[0])[:-1])} ELSE {_line(list(LAYOUTS[1])[:-1])} END AS curta
+ FROM (SELECT *, m % 2 AS layout, CASE m % 13 WHEN 3 THEN 'campos demais' WHEN 5 THEN 'campos de menos' ELSE '' END AS defeito
+  FROM (SELECT *, length(concat(coalesce(marca_texto, ''), coalesce(qtd_texto, ''), coalesce(municipio_texto, ''), coalesce(ano_texto, ''))) AS m FROM ({RAW_SQL}))))"""
+
+# Codes of the second brand. The last two are completed by the row's number.
 BRAND_B_CODES = (
-    "INDIAN/SCOUT|I/INDIAN SCOUT|I/INDIAN SCOUT BOBBER|INDIAN/CHIEF VINTAGE|I/INDIAN CHIEF VINTAGE|"
-    "INDIAN/CHIEF CLASSIC|INDIAN/CHIEF SPRINGFIELD|I/INDIAN CHIEF SPRINGFLD|INDIAN/CHIEF ROADMASTER|"
-    "I/INDIAN CHIEF ROADMASTR|INDIAN/CHIEF CHIEFTAIN|I/INDIAN CHIEF CHIEFTAIN|I/INDIAN CHIEF CHIEFT DH|"
-    "I/INDIAN CHIEF DARKHORSE|I/INDIAN CHIEF|IMP/INDIAN|I/INDIAN BOARD TRACK RAC|I/INDIAN VINTAGE LE|"
-    " i/índian  scout|INDIAN/FTR 1200|INDIAN-PURSUIT|INDIAN/|I/INDIAN CHIEF "
+    "INDIAN/SCOUT",
+    "I/INDIAN SCOUT",
+    "I/INDIAN SCOUT BOBBER",
+    "INDIAN/CHIEF VINTAGE",
+    "I/INDIAN CHIEF VINTAGE",
+    "INDIAN/CHIEF CLASSIC",
+    "INDIAN/CHIEF SPRINGFIELD",
+    "I/INDIAN CHIEF SPRINGFLD",
+    "INDIAN/CHIEF ROADMASTER",
+    "I/INDIAN CHIEF ROADMASTR",
+    "INDIAN/CHIEF CHIEFTAIN",
+    "I/INDIAN CHIEF CHIEFTAIN",
+    "I/INDIAN CHIEF CHIEFT DH",
+    "I/INDIAN CHIEF DARKHORSE",
+    "I/INDIAN CHIEF",
+    "IMP/INDIAN",
+    "I/INDIAN BOARD TRACK RAC",
+    "I/INDIAN VINTAGE LE",
+    " i/índian  scout",
+    "INDIAN/FTR 1200",
+    "INDIAN-PURSUIT",
+    "INDIAN/",
+    "I/INDIAN CHIEF ",
 )
+# Every fleet row under one of these codes, as one period.
 BRAND_B_SQL = f"""
 SELECT CAST('2026-04-01' AS DATE) AS competencia, uf, municipio,
- concat(split_part('{BRAND_B_CODES}', '|', n % 23 + 1), CASE WHEN n % 23 > 20 THEN CAST(n AS STRING) ELSE '' END) AS marca_modelo,
+ concat(split_part('{"|".join(BRAND_B_CODES)}', '|', n % 23 + 1), CASE WHEN n % 23 > 20 THEN CAST(n AS STRING) ELSE '' END) AS marca_modelo,
  CASE WHEN n % 5 = 0 THEN NULL ELSE ano_fabricacao END AS ano_fabricacao, qtd_veiculos
 FROM (SELECT *, CAST(regexp_extract(marca_modelo, '([0-9]+) ', 1) AS INT) AS n FROM {{fleet}})"""
 
@@ -94,6 +160,11 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}"
 
 
+def _path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    digest = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return f"{_session_folder(spark)}/{name}-{digest}"
+
+
 def _written(
     spark: SparkSession, sf_dir: str, name: str, plan: Callable[[], DataFrame], write, read
 ) -> DataFrame:
@@ -103,8 +174,7 @@ def _written(
     ``remove_tables`` undoes it.
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
-    path = f"{_session_folder(spark)}/{name}-{digest}"
+    path = _path(spark, sf_dir, name)
     if key not in _frames:
         write(plan(), path)
         _frames[key] = read(spark, path)
@@ -177,19 +247,9 @@ def kept_pairs(spark: SparkSession, sf_dir: str, changes: dict[str, str]) -> Dat
     )
 
 
-# Header of a raw registry file, by column of RAW_SQL.
-RAW_HEADER = {
-    "uf_texto": "UF",
-    "municipio_texto": "Município",
-    "marca_texto": "Marca Modelo",
-    "ano_texto": "Ano Fabricação",
-    "qtd_texto": "Qtd. Veículos",
-}
-
-
 def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(RAW_SQL, fleet=fleet(spark, sf_dir))
-    return rows.select([F.col(c).alias(header) for c, header in RAW_HEADER.items()])
+    return rows.select([F.col(c).alias(header) for c, header in LAYOUTS[0].items()])
 
 
 def _write_text(rows: DataFrame, path: str) -> None:
@@ -216,6 +276,44 @@ def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registry_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the files that ``raw_registry`` reads."""
+    raw_registry(spark, sf_dir)
+    return _path(spark, sf_dir, "registro")
+
+
+def _write_layouts(lines: DataFrame, path: str) -> None:
+    # One text column, whose name is the files' header; nothing is quoted.
+    for number, layout in enumerate(LAYOUTS):
+        rows = lines.filter(F.col("layout") == number).select(F.col("linha").alias(";".join(layout.values())))
+        options = {"sep": "\u0001", "quote": "\u0000", "header": True, "encoding": "ISO-8859-1"}
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        rows.write.mode("overwrite").options(**options, **kept).csv(f"{path}/layout{number}")
+
+
+def registry_files(spark: SparkSession, sf_dir: str) -> RegistryFiles:
+    """Registry text of two headers with malformed records, as ``read_registry_files`` reads it."""
+    key = "registros"
+    lines = lambda: spark.sql(LINES_SQL, fleet=fleet(spark, sf_dir)).select("layout", "linha")
+    _written(spark, sf_dir, key, lines, _write_layouts, lambda session, path: session.read.text(f"{path}/*"))
+    return read_registry_files(spark, f"{_path(spark, sf_dir, key)}/*")
+
+
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the second of two equal monthly loads from text into a copy of the fact table."""
+
+    def load_twice(frame: DataFrame, path: str) -> None:
+        write_facts(frame, f"{path}/fato")
+        source = registry_folder(spark, sf_dir)
+        for _ in range(2):
+            report = load_month(spark, source, f"{path}/fato", p.LOAD_PERIOD, p.REF, BRAND_A, lineage=p.SOURCE_FILE)
+        report.write.mode("overwrite").parquet(f"{path}/relatorio")
+
+    return _written(
+        spark, sf_dir, "relatorio", lambda: fleet(spark, sf_dir), load_twice, lambda session, path: session.read.parquet(f"{path}/relatorio")
+    )
+
+
 def brand_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BRAND_B_SQL, fleet=fleet(spark, sf_dir))
 
