@@ -72,6 +72,8 @@ REGISTRY_CODES = (
     "I/ INDIAN SCOUT",
     "INDIAN.SCOUT",
     "MINDIAN/SCOUT",
+    "INDIAN/SPRINGFIELD",
+    "I/INDIAN FTR 1200",
 )
 
 # Every fleet row as registry text, with the defects an ingest has to deal with.
