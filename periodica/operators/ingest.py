@@ -12,6 +12,7 @@ from periodica.functions.numbers import parse_quantity, parse_year
 from periodica.functions.rules import lookup
 from periodica.functions.text import normalize_text, strip
 from periodica.presets import Brand, BrandFilter
+from periodica.sources.quarantine import REJECTED
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, date_lit
 
 
@@ -92,12 +93,14 @@ def counted_groups(
     )
 
 
-def counters(groups: DataFrame) -> DataFrame:
-    """Rows read and rows of the brand, from ``counted_groups``."""
+def counters(groups: DataFrame, *keys: str) -> DataFrame:
+    """Rows read and rows of the brand, and rows rejected where ``counted_groups`` marked them; one row, or one for each of ``keys``."""
     rows, zero = F.col("linhas"), F.lit(0).cast("bigint")
-    return groups.agg(
+    rejected = [F.coalesce(F.sum(F.when(F.col(REJECTED), rows)), zero).alias("linhas_rejeitadas")] if REJECTED in groups.columns else []
+    return groups.groupBy(*keys).agg(
         F.coalesce(F.sum(rows), zero).alias("linhas_lidas"),
         F.coalesce(F.sum(F.when(F.col("da_marca"), rows)), zero).alias("linhas_marca"),
+        *rejected,
     )
 
 

@@ -2,6 +2,6 @@
 
 from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs, stale_periods
 from periodica.plans.macro_view import MacroView, macro_view
-from periodica.plans.monthly_load import load_month
+from periodica.plans.monthly_load import load_month, load_months
 
-__all__ = ["MacroView", "build_pairs", "load_month", "macro_view", "read_pairs", "refresh_pairs", "stale_periods"]
+__all__ = ["MacroView", "build_pairs", "load_month", "load_months", "macro_view", "read_pairs", "refresh_pairs", "stale_periods"]

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from periodica.functions.frames import gather
 from periodica.operators.ingest import count_input, counted_groups, counters, reconcile
 from periodica.plans.kept_pairs import refresh_pairs
 from periodica.presets import Brand
 from periodica.session import shared_folder
-from periodica.sources.facts import read_facts, replace_period
+from periodica.sources.facts import read_facts, replace_period, replace_periods
 from periodica.sources.quarantine import REJECTED, read_registry_files, set_aside
 from periodica.sources.registry import canonicalize, read_registry
-from periodica.spec import DEFAULT_SPEC, SnapshotSpec
+from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, to_date
 
 
 def load_month(
@@ -46,20 +50,7 @@ def load_month(
 
     Rows are summed by file, and carry its path, unless ``lineage`` names the delivery that all files are parts of.
     """
-    staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
-    if quarantine is None:
-        raw, marks = canonicalize(read_registry(spark, source, spec=spec), spec), []
-    else:
-        files = read_registry_files(spark, source, spec=spec)
-        raw, marks = files.rows, [REJECTED]
-    if lineage is not None:
-        raw = raw.drop(spec.lineage)
-    counted_groups(raw, brand, period, spec, marks, lineage).write.parquet(staged)
-    groups = spark.read.parquet(staged)
-    rejected = None
-    if quarantine is not None:
-        rejected = groups.filter(REJECTED).agg(F.sum("linhas")).first()[0] or 0
-        set_aside(files, rejected, quarantine, max_rejected)
+    groups, rejected = _staged(spark, {period: source}, brand, spec, quarantine, max_rejected, lineage)
     replace_period(groups.filter("da_marca"), path, period, spec, table=table)
     fact = read_facts(spark, path, spec, table=table)
     if pairs is not None:
@@ -68,6 +59,79 @@ def load_month(
     return report if rejected is None else report.withColumn("linhas_rejeitadas", F.lit(rejected).cast("bigint"))
 
 
+def load_months(
+    spark: SparkSession,
+    sources: Mapping[str | date, str | Sequence[str]],
+    path: str | None,
+    brand: Brand,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    *,
+    table: str | None = None,
+    pairs: str | None = None,
+    quarantine: str | None = None,
+    max_rejected: int = 0,
+    lineage: str | None = None,
+) -> DataFrame:
+    """Load the periods of ``sources`` (period to text files) together; returns the reconciliation, one row for each.
+
+    As ``load_month`` for each, but in one job for the texts and one for the table, whose periods are swapped together: a failed
+    attempt leaves all of them, and running it again gives the same table. Each period is compared with the one observed before it once
+    all are loaded; NULL where there is none.
+    """
+    groups, rejected = _staged(spark, sources, brand, spec, quarantine, max_rejected, lineage)
+    replace_periods(groups.filter("da_marca"), path, sources, spec, table=table)
+    fact = read_facts(spark, path, spec, table=table)
+    days = sorted(to_date(d) for d in sources)
+    if pairs is not None:
+        refresh_pairs(fact, pairs, days, spec)
+    # One row per period from here on.
+    units = fact.groupBy(spec.period).agg(F.count(F.lit(1)).alias("linhas_consolidadas"), F.sum(spec.measure).alias("total_atual"))
+    before = F.lag("total_atual").over(Window.orderBy(spec.period))
+    totals = gather(units).withColumn("total_anterior", before).filter(F.col(spec.period).isin(days))
+    counts = counters(groups, spec.period)
+    zero = F.lit(0).cast("bigint")
+    named = spark.createDataFrame([(d,) for d in days], f"`{spec.period}` date")
+    found = named.join(counts, spec.period, "left").join(totals, spec.period, "left").select(
+        spec.period,
+        *(F.coalesce(c, zero).alias(c) for c in ("linhas_lidas", "linhas_marca", "linhas_consolidadas")),
+        "total_anterior",
+        F.coalesce("total_atual", zero).alias("total_atual"),
+        (F.coalesce("total_atual", zero) - F.col("total_anterior")).alias("delta"),
+        *([F.coalesce("linhas_rejeitadas", zero).alias("linhas_rejeitadas")] if rejected is not None else []),
+    )
+    return found.orderBy(*asc(spec.period))
+
+
+def _staged(
+    spark: SparkSession,
+    sources: Mapping[str | date, str | Sequence[str]],
+    brand: Brand,
+    spec: SnapshotSpec,
+    quarantine: str | None,
+    max_rejected: int,
+    lineage: str | None,
+) -> tuple[DataFrame, int | None]:
+    """``counted_groups`` of all sources, written in one job and read again, and the number of rejected records."""
+    staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
+    parts, files = [], []
+    for period, source in sources.items():
+        if quarantine is None:
+            raw, marks = canonicalize(read_registry(spark, source, spec=spec), spec), []
+        else:
+            files.append(read_registry_files(spark, source, spec=spec))
+            raw, marks = files[-1].rows, [REJECTED]
+        if lineage is not None:
+            raw = raw.drop(spec.lineage)
+        parts.append(counted_groups(raw, brand, period, spec, marks, lineage))
+    reduce(DataFrame.unionByName, parts).write.parquet(staged)
+    groups = spark.read.parquet(staged)
+    if quarantine is None:
+        return groups, None
+    rejected = groups.filter(REJECTED).agg(F.sum("linhas")).first()[0] or 0
+    set_aside(files, rejected, quarantine, max_rejected)
+    return groups, rejected
+
+
 def load_report(
     raw: DataFrame,
     fact: DataFrame,

@@ -1,6 +1,6 @@
 """Readers and writers: registry text files, the snapshot fact table, the code glossary."""
 
-from periodica.sources.facts import read_facts, replace_period, write_facts
+from periodica.sources.facts import read_facts, replace_period, replace_periods, write_facts
 from periodica.sources.glossary import empty_glossary, read_glossary
 from periodica.sources.quarantine import TooManyRejected, read_registry_files, set_aside
 from periodica.sources.registry import canonical_columns, canonicalize, read_registry
@@ -15,6 +15,7 @@ __all__ = [
     "read_registry",
     "read_registry_files",
     "replace_period",
+    "replace_periods",
     "set_aside",
     "write_facts",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,49 @@ def write_facts(
         writer.option("partitionOverwriteMode", "static").parquet(path)
 
 
+def _checked(rows: DataFrame, days: Sequence[date], spec: SnapshotSpec) -> DataFrame:
+    """The columns of a fact that ``rows`` have; a row of a period that is not among ``days`` fails the job that writes it."""
+    found = F.col(spec.period).cast("date")
+    wanted = ", ".join(str(d) for d in days)
+    message = F.concat(F.lit(f"a row of {spec.period} "), F.coalesce(found.cast("string"), F.lit("NULL")), F.lit(f" in a load of {wanted}"))
+    inside = F.coalesce(found.isin(list(days)), F.lit(False)) if days else F.lit(False)
+    checked = F.when(inside, found).otherwise(F.raise_error(message).cast("date"))
+    return rows.select([c for c in spec.columns if c in rows.columns]).withColumn(spec.period, checked)
+
+
+def replace_periods(
+    rows: DataFrame, path: str | None, periods: Iterable[str | date], spec: SnapshotSpec = DEFAULT_SPEC, *, table: str | None = None
+) -> None:
+    """Replace several periods by ``rows`` in one job; running it again gives the same table.
+
+    A row of a period that is not named fails the job, and a failed job leaves all periods as they were: their partitions
+    are swapped together when it commits. Named periods without rows are emptied after that.
+    """
+    _one_of(path, table)
+    spark = rows.sparkSession
+    days = sorted({to_date(p) for p in periods})
+    months = _checked(rows, days, spec)
+    if table:
+        own = [c for c in spark.table(table).columns if c != spec.period]
+        values = [F.col(c) if c in months.columns else F.lit(None).alias(c) for c in own]
+        # Without this mode the insertion would empty the whole table first.
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            _laid_out(months.select(*values, spec.period), spec).write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(mode, before)
+    else:
+        writer = _laid_out(months, spec).write.mode("overwrite").partitionBy(spec.period)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    # The job swaps the partitions that have rows; which ones is told by the period column alone.
+    loaded = {r[0] for r in rows.select(F.col(spec.period).cast("date")).distinct().collect()}
+    for day in days:
+        if day not in loaded:
+            replace_period(rows.filter(F.lit(False)), path, day, spec, table=table)
+
+
 def replace_period(
     rows: DataFrame,
     path: str | None,
@@ -60,10 +104,7 @@ def replace_period(
     """
     _one_of(path, table)
     day = to_date(period)
-    found = F.col(spec.period).cast("date")
-    message = F.concat(F.lit(f"a row of {spec.period} "), F.coalesce(found.cast("string"), F.lit("NULL")), F.lit(f" in a load of {day}"))
-    checked = F.when(found.eqNullSafe(date_lit(day)), found).otherwise(F.raise_error(message).cast("date"))
-    month = rows.select([c for c in spec.columns if c in rows.columns]).withColumn(spec.period, checked)
+    month = _checked(rows, [day], spec)
     if table:
         # One static partition: it is replaced whole, also by nothing. The check stays in the rows that are inserted.
         own = [c for c in rows.sparkSession.table(table).columns if c != spec.period]

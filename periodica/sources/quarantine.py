@@ -150,9 +150,9 @@ def read_registry_files(
     return RegistryFiles(union(united), union(parsed), union(lines))
 
 
-def set_aside(files: RegistryFiles, found: int, folder: str, limit: int) -> None:
-    """Write the ``found`` malformed records to ``folder`` and fail if they are more than ``limit``."""
+def set_aside(files: Sequence[RegistryFiles], found: int, folder: str, limit: int) -> None:
+    """Write the ``found`` malformed records of ``files`` to ``folder`` and fail if they are more than ``limit``."""
     if found:
-        files.rejected().write.mode("overwrite").parquet(folder)
+        reduce(DataFrame.unionByName, (f.rejected() for f in files)).write.mode("overwrite").parquet(folder)
     if found > limit:
         raise TooManyRejected(f"{found} malformed records, {limit} allowed; see {folder}")
