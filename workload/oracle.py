@@ -305,6 +305,27 @@ WHERE {condition.format(n='n')} GROUP BY marca_modelo""",
     )
 
 
+def _month_of(layout: int) -> dict[str, str]:
+    """Views raw, named, typed and month of the texts of one header, numbered."""
+    chain = {"raw": f"FROM lines WHERE layout = {layout} AND defeito = ''", "named": _NAMED, "typed": _TYPED, "month": _CONSOLIDATED}
+    numbered = {}
+    for before, (name, sql) in zip(["", *chain], chain.items(), strict=False):
+        sql = sql.replace(f"FROM {before}", f"FROM {before}{layout}") if before else sql
+        numbered[f"{name}{layout}"] = sql.replace(f"DATE '{p.LOAD_PERIOD}'", f"DATE '{p.LOAD_PERIODS[layout]}'")
+    return numbered
+
+
+_MANY = {"lines": _LINES, **_month_of(0), **_month_of(1)}
+# Of the second month, which lies behind the history, the one before is the last of the history.
+_MANY_REPORT = " UNION ALL ".join(
+    f"""SELECT DATE '{day}' AS competencia, (SELECT COUNT(*) FROM lines WHERE layout = {k}) AS linhas_lidas, (SELECT COUNT(*) FROM typed{k}) AS linhas_marca,
+ (SELECT COUNT(*) FROM month{k}) AS linhas_consolidadas, z AS total_anterior, a AS total_atual, a - z AS delta,
+ (SELECT COUNT(*) FROM lines WHERE layout = {k} AND defeito <> '') AS linhas_rejeitadas
+FROM (SELECT CAST(SUM(qtd_veiculos) AS BIGINT) AS a FROM month{k}),
+ (SELECT CAST(SUM(qtd_veiculos) AS BIGINT) AS z FROM fleet WHERE competencia = (SELECT MAX(competencia) FROM fleet WHERE competencia < DATE '{day}'))"""
+    for k, day in enumerate(p.LOAD_PERIODS)
+)
+
 #: Answers from the table of pairs are those from the fact.
 _KEPT = {
     "registrations_kept": "registrations_macro",
@@ -338,6 +359,8 @@ FROM (SELECT marca_modelo AS texto FROM named UNION SELECT municipio FROM named)
         "ingest_rejected": _sql(
             "SELECT linha AS registro, defeito AS motivo, COUNT(*) AS linhas FROM lines WHERE defeito <> '' GROUP BY ALL", lines=_LINES
         ),
+        "ingest_many_months": _sql("FROM month0 UNION ALL FROM month1", **_MANY),
+        "ingest_many_report": _sql(_MANY_REPORT, **_MANY),
         "ingest_replace_period": _sql(_CONSOLIDATED, **_TYPED_VIEWS),
         "glossary_load": _sql("FROM glossary", glossary=_GLOSSARY),
         "ingest_reconcile": _sql(

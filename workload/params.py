@@ -2,6 +2,8 @@
 
 REF = "2000-07-01"
 LOAD_PERIOD = "2000-08-01"
+# Months that are loaded together: one of the history, and one behind its end.
+LOAD_PERIODS = ("2000-08-01", "2030-01-01")
 SOURCE_FILE = "registro.txt"
 MODEL = "HARLEY DAVIDSON/129 XL1200X"
 SOME_MODELS = ("HARLEY DAVIDSON/144 FLHX", "HARLEY DAVIDSON/44 XR1200X", "H.DAVIDSON/7 RA1250S")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from workload.views import (
     kept_pairs,
     load_report,
     loaded_period,
+    many_months,
     raw_registry,
     registry_files,
 )
@@ -189,6 +191,8 @@ def queries() -> dict[str, Query]:
         "ingest_reconcile": load_report,
         "ingest_two_headers": _two_headers,
         "ingest_rejected": _rejected,
+        "ingest_many_months": lambda s, d: many_months(s, d, "fato").filter(F.col("competencia").isin(*map(date.fromisoformat, p.LOAD_PERIODS))),
+        "ingest_many_report": lambda s, d: many_months(s, d, "relatorio"),
         "glossary_load": glossary_file,
         # catalogue
         "list_periods": _on_fleet(catalog.list_periods),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
-from periodica.plans.monthly_load import load_month
+from periodica.plans.monthly_load import load_month, load_months
 from periodica.presets import BRAND_A
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period, write_facts
@@ -316,6 +316,23 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_months(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """The fact ("fato") or the report ("relatorio") after the texts of both headers were loaded twice, each as a month, in one job."""
+
+    def load_twice(frame: DataFrame, path: str) -> None:
+        write_facts(frame, f"{path}/fato")
+        registry_files(spark, sf_dir)
+        texts = _path(spark, sf_dir, "registros")
+        sources = {day: f"{texts}/layout{number}" for number, day in enumerate(p.LOAD_PERIODS)}
+        aside = {"quarantine": f"{path}/quarentena", "max_rejected": 1 << 40}
+        for _ in range(2):
+            report = load_months(spark, sources, f"{path}/fato", BRAND_A, lineage=p.SOURCE_FILE, **aside)
+        report.write.mode("overwrite").parquet(f"{path}/relatorio")
+
+    fact = _written(spark, sf_dir, "meses", lambda: fleet(spark, sf_dir), load_twice, lambda session, path: read_facts(session, f"{path}/fato"))
+    return fact if what == "fato" else spark.read.parquet(f"{_path(spark, sf_dir, 'meses')}/{what}")
+
+
 def brand_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BRAND_B_SQL, fleet=fleet(spark, sf_dir))
 
