@@ -12,39 +12,51 @@ from periodica.functions.frames import sort_bounded
 from periodica.functions.text import like_ignore_case
 from periodica.operators.enrich import enrich_models
 from periodica.operators.stock import at_period, stock_by
+from periodica.sources.dictionary import rows_with_codes
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit, desc, to_date
 
 # Values of ``segment``, and the column each one groups by.
 SEGMENTS = ("consolidated", "model", "year", "state", "city")
 
 
-def _hits(fact: DataFrame, pattern: str, spec: SnapshotSpec) -> DataFrame:
+def _hits(fact: DataFrame, pattern: str, spec: SnapshotSpec, codes: DataFrame | None = None) -> DataFrame:
+    """Matching rows; with the fact's ``codes`` (``sources.dictionary``) the pattern is compared with these, not with every row."""
+    if codes is not None:
+        return rows_with_codes(fact, codes, pattern, spec).select(*spec.row_columns)
     return fact.filter(like_ignore_case(F.col(spec.model), pattern)).select(*spec.row_columns)
 
 
 def search_rows(
-    fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC, ordered: bool = True
+    fact: DataFrame,
+    pattern: str,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    ordered: bool = True,
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose code matches a case-insensitive LIKE pattern.
 
     ``ordered=False`` leaves out the total order, a shuffle of all hits.
     """
-    rows = _hits(fact, pattern, spec)
+    rows = _hits(fact, pattern, spec, codes)
     if not ordered:
         return rows
     order = [spec.period, spec.model, spec.state, spec.city, spec.year, spec.measure]
     return rows.orderBy(*asc(*order))
 
 
-def family_like(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+def family_like(
+    fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC, codes: DataFrame | None = None
+) -> DataFrame:
     """Matching stock per (period, model)."""
-    stock = stock_by(_hits(fact, pattern, spec), spec.period, spec.model, spec=spec)
+    stock = stock_by(_hits(fact, pattern, spec, codes), spec.period, spec.model, spec=spec)
     return stock.orderBy(*asc(spec.period, spec.model))
 
 
-def family_series(fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC) -> DataFrame:
+def family_series(
+    fact: DataFrame, pattern: str, spec: SnapshotSpec = DEFAULT_SPEC, codes: DataFrame | None = None
+) -> DataFrame:
     """Matching stock per period."""
-    return sort_bounded(stock_by(_hits(fact, pattern, spec), spec.period, spec=spec), *asc(spec.period))
+    return sort_bounded(stock_by(_hits(fact, pattern, spec, codes), spec.period, spec=spec), *asc(spec.period))
 
 
 def search_slice(
@@ -55,6 +67,7 @@ def search_slice(
     states: Sequence[str] = (),
     cities: Sequence[str] = (),
     spec: SnapshotSpec = DEFAULT_SPEC,
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose code contains ``term``, up to the reference period, within the given lists.
 
@@ -63,7 +76,7 @@ def search_slice(
     term = term.strip()
     if len(term) < 2:
         return fact.select(*spec.row_columns).filter(F.lit(False))
-    rows = _hits(fact, f"%{term}%", spec).filter(F.col(spec.period) <= date_lit(period))
+    rows = _hits(fact, f"%{term}%", spec, codes).filter(F.col(spec.period) <= date_lit(period))
     for column, values in ((spec.year, years), (spec.state, states), (spec.city, cities)):
         if values:
             rows = rows.filter(F.col(column).isin(list(values)))

@@ -14,6 +14,8 @@ def build_session(app_name: str = "periodica", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.compression.codec": "zstd",
+        # Lists of codes are compared with row groups value by value, not by their least and greatest.
+        "spark.sql.parquet.pushdown.inFilterThreshold": "200",
         # Generated code of a session that asks many different questions stays compiled.
         "spark.sql.codegen.cache.maxEntries": "1000",
     }

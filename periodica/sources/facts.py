@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec, date_lit, to_date
@@ -31,12 +31,21 @@ def _laid_out(rows: DataFrame, spec: SnapshotSpec) -> DataFrame:
     return rows.hint("rebalance", spec.period).sortWithinPartitions(spec.period, spec.model, spec.state, spec.city)
 
 
+def _writer(rows: DataFrame, spec: SnapshotSpec) -> DataFrameWriter:
+    """Overwrites, and keeps a Bloom filter of the codes of each row group that holds too many different ones for a dictionary.
+
+    Row groups without a code are then skipped even where it lies between their least and greatest. The filters' size follows the codes found.
+    """
+    options = {f"parquet.bloom.filter.enabled#{spec.model}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    return rows.write.mode("overwrite").options(**options)
+
+
 def write_facts(
     rows: DataFrame, path: str | None = None, spec: SnapshotSpec = DEFAULT_SPEC, *, table: str | None = None
 ) -> None:
     """(Re)create the whole table."""
     _one_of(path, table)
-    writer = _laid_out(rows, spec).write.mode("overwrite").partitionBy(spec.period)
+    writer = _writer(_laid_out(rows, spec), spec).partitionBy(spec.period)
     if table:
         writer.format("parquet").saveAsTable(table)
     else:
@@ -77,7 +86,7 @@ def replace_periods(
         finally:
             spark.conf.set(mode, before)
     else:
-        writer = _laid_out(months, spec).write.mode("overwrite").partitionBy(spec.period)
+        writer = _writer(_laid_out(months, spec), spec).partitionBy(spec.period)
         writer.option("partitionOverwriteMode", "dynamic").parquet(path)
     # The job swaps the partitions that have rows; which ones is told by the period column alone.
     loaded = {r[0] for r in rows.select(F.col(spec.period).cast("date")).distinct().collect()}
@@ -117,5 +126,5 @@ def replace_period(
     elif (rows if probe is None else probe).isEmpty():
         month.drop(spec.period).write.mode("overwrite").parquet(f"{path}/{spec.period}={day.isoformat()}")
     else:
-        writer = _laid_out(month, spec).write.mode("overwrite").partitionBy(spec.period)
+        writer = _writer(_laid_out(month, spec), spec).partitionBy(spec.period)
         writer.option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -326,8 +326,11 @@ FROM (SELECT CAST(SUM(qtd_veiculos) AS BIGINT) AS a FROM month{k}),
     for k, day in enumerate(p.LOAD_PERIODS)
 )
 
-#: Answers from the table of pairs are those from the fact.
+#: Answers from the table of pairs or through the dictionary of codes are those from the fact.
 _KEPT = {
+    "search_rows_by_codes": "search_rows",
+    "family_like_by_codes": "family_like",
+    "search_slice_by_codes": "search_slice",
     "registrations_kept": "registrations_macro",
     "annual_flow_kept": "annual_flow",
     "base_builder_kept": "base_builder_ranking",

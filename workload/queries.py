@@ -30,6 +30,7 @@ from periodica.sources.registry import canonicalize
 from workload import params as p
 from workload.views import (
     brand_b,
+    codes,
     fleet,
     glossary,
     glossary_file,
@@ -277,6 +278,10 @@ def queries() -> dict[str, Query]:
         "search_slice_places": lambda s, d: search.search_slice(
             fleet(s, d), p.TERM, p.REF, states=p.SOME_STATES, cities=p.SOME_CITIES
         ),
+        # the same through the dictionary of codes
+        "search_rows_by_codes": lambda s, d: search.search_rows(fleet(s, d), p.PATTERN, codes=codes(s, d)),
+        "family_like_by_codes": lambda s, d: search.family_like(fleet(s, d), p.PATTERN, codes=codes(s, d)),
+        "search_slice_by_codes": lambda s, d: search.search_slice(fleet(s, d), p.TERM, p.REF, years=p.YEARS, codes=codes(s, d)),
         "search_facets": lambda s, d: search.search_facets(_hits(s, d), p.REF),
         "search_snapshot": lambda s, d: search.search_snapshot(_hits(s, d), p.REF, glossary(s, d)),
         "search_series_by_segment": _series_of_all_segments,

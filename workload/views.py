@@ -15,6 +15,7 @@ from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
 from periodica.plans.monthly_load import load_month, load_months
 from periodica.presets import BRAND_A
 from periodica.session import shared_folder
+from periodica.sources.dictionary import build_codes, read_codes, refresh_codes
 from periodica.sources.facts import read_facts, replace_period, write_facts
 from periodica.sources.glossary import read_glossary
 from periodica.sources.quarantine import RegistryFiles, read_registry_files
@@ -249,6 +250,18 @@ def kept_pairs(spark: SparkSession, sf_dir: str, changes: dict[str, str]) -> Dat
     )
 
 
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the fact's codes; two periods of it were refreshed after it was built without one and with the other's half."""
+
+    def build_and_refresh(frame: DataFrame, path: str) -> None:
+        period, model = F.col(DEFAULT_SPEC.period), F.col(DEFAULT_SPEC.model)
+        late, partial = (F.lit(day).cast("date") for day in (p.REF, p.LOAD_PERIOD))
+        build_codes(frame.filter((period != late) & ((period != partial) | (F.length(model) % 2 == 0))), path)
+        refresh_codes(frame, path, [p.REF, p.LOAD_PERIOD])
+
+    return _written(spark, sf_dir, "codigos", lambda: fleet(spark, sf_dir), build_and_refresh, read_codes)
+
+
 def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(RAW_SQL, fleet=fleet(spark, sf_dir))
     return rows.select([F.col(c).alias(header) for c, header in LAYOUTS[0].items()])
