@@ -380,6 +380,10 @@ FROM (SELECT CAST(SUM(qtd_veiculos) AS BIGINT) AS a FROM loaded),
         "info": _sql(
             """SELECT MIN(competencia) AS primeira_competencia, MAX(competencia) AS ultima_competencia,
  COUNT(*) AS linhas, COUNT(DISTINCT marca_modelo) AS modelos_distintos FROM fleet"""
+        ),
+        "distinct_models_sketched": _sql(
+            f"""SELECT CAST(year(competencia) AS INT) AS ano, COUNT(DISTINCT competencia) AS periodos, COUNT(*) AS linhas, {_units()},
+ COUNT(DISTINCT marca_modelo) AS modelos_distintos, true AS no_limite FROM fleet GROUP BY 1"""
         ),
         "valid_years": _sql("SELECT DISTINCT ano_fabricacao FROM fleet WHERE ano_fabricacao <= 1998"),
         # stock at a period

@@ -20,6 +20,7 @@ from periodica.operators import (
     matrix,
     pending,
     search,
+    sketches,
     stock,
     territory,
 )
@@ -134,6 +135,15 @@ def _on_buckets(operator: Callable[..., DataFrame], grain: str, *args: object) -
     return query
 
 
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct models of each calendar year, exact, and whether the united sketches of its periods tell them as well as stated."""
+    year = F.year("competencia").alias("ano")
+    exact = fleet(spark, sf).groupBy(year).agg(F.countDistinct("marca_modelo").alias("modelos_distintos"))
+    found = sketches.distinct_models(sketches.period_sketches(fleet(spark, sf)), year).join(exact, "ano")
+    near = sketches.within_bound(F.col(sketches.MODELS), F.col("modelos_distintos")).alias("no_limite")
+    return found.select("ano", "periodos", "linhas", "total", "modelos_distintos", near)
+
+
 def _period_bucket(spark: SparkSession, sf: str) -> DataFrame:
     periods = catalog.list_periods(fleet(spark, sf))
     columns = {}
@@ -199,6 +209,7 @@ def queries() -> dict[str, Query]:
         "list_periods": _on_fleet(catalog.list_periods),
         "list_years": _on_fleet(catalog.list_years),
         "info": _on_fleet(catalog.info),
+        "distinct_models_sketched": _sketched,
         "valid_years": _on_fleet(catalog.valid_years, "1998-07-01"),
         # stock at a period
         "top_models": _on_fleet(stock.top_models, p.REF),
