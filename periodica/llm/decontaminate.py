@@ -5,7 +5,7 @@ the length of the longest match is tracked. Where it reaches ``window`` words, t
 item shorter than the window is hit where it occurs whole. One pass over the documents, no shuffle.
 
 Test sets are small beside a corpus. Their size is measured: an automaton takes at most ``AUTOMATON_BYTES`` of item
-text, and a larger test set becomes several automata, each broadcast and streamed on its own.
+text, and a larger test set becomes several automata, built, broadcast and streamed one after the other.
 
 Defined results: null texts have no words and no hits; items without words never occur; repeated items
 with one id count once, those without an id as one item of the empty name; empty tables give no rows or no hits; other columns pass through unread, and one
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import per_row, text_of
+from periodica.llm.common import cut, per_row, text_of
 
 AUTOMATON_BYTES = 16 << 20
 #: Letters A-Z become small; digits, a-z and every byte beyond ASCII are word bytes, all others part words.
@@ -128,25 +128,25 @@ class ItemAutomaton:
         return spans, items
 
 
-def _automata(benchmark: DataFrame, window: int) -> list[ItemAutomaton]:
-    """One automaton for each ``AUTOMATON_BYTES`` of items."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of().alias("text")).distinct()
+def _part_count(items: DataFrame) -> int:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // AUTOMATON_BYTES))
-    part = F.pmod(F.xxhash64("item"), F.lit(parts))
-    return [
-        ItemAutomaton([(r.item, r.text) for r in items.where(part == k).sort("item", "text").toLocalIterator()], window)
-        for k in range(parts)
-    ]
+    return max(1, -(-total // AUTOMATON_BYTES))
+
+
+def _automaton(items: DataFrame, part: int, parts: int, window: int) -> ItemAutomaton:
+    """The automaton of one part of the items; the driver reads these alone, and holds one part's automaton at a time."""
+    own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).sort("item", "text")
+    return ItemAutomaton([(r.item, r.text) for r in own.toLocalIterator()], window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, ``spans`` (first and last word of each hit run) and ``items`` found, sorted."""
     context = docs.sparkSession.sparkContext
     found = docs.drop("spans", "items")
-    parts = _automata(benchmark, window)
-    for k, automaton in enumerate(parts):
-        shared = context.broadcast(automaton)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of().alias("text")).distinct()
+    parts = _part_count(items)
+    for k in range(parts):
+        shared = context.broadcast(_automaton(items, k, parts, window))
 
         def make(shared=shared):
             scan = shared.value.scan
@@ -160,12 +160,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             return run
 
         fields = [("n_words", "bigint"), (f"_spans_{k}", "array<struct<first:bigint,last:bigint>>"), (f"_items_{k}", "array<string>")]
-        last = k == len(parts) - 1
+        last = k == parts - 1
         found = per_row(found, ["text"], fields, make, ("text",) if last and not keep_text else ())
-    spans = F.array_sort(F.flatten(F.array(*(F.col(f"_spans_{k}") for k in range(len(parts))))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"_items_{k}") for k in range(len(parts)))))))
-    one = spans if len(parts) == 1 else F.aggregate(spans, F.array().cast("array<struct<first:bigint,last:bigint>>"), _merge)
-    temporary = [f"_{what}_{k}" for what in ("spans", "items") for k in range(len(parts))]
+        if not last:
+            found = cut(found, "contamination")  # one automaton at a time in a task, too
+    spans = F.array_sort(F.flatten(F.array(*(F.col(f"_spans_{k}") for k in range(parts)))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"_items_{k}") for k in range(parts))))))
+    one = spans if parts == 1 else F.aggregate(spans, F.array().cast("array<struct<first:bigint,last:bigint>>"), _merge)
+    temporary = [f"_{what}_{k}" for what in ("spans", "items") for k in range(parts)]
     return found.withColumns({"spans": one, "items": items}).drop(*temporary)
 
 
