@@ -157,13 +157,16 @@ def with_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot (gapless from 0 in its shard) and grown_shard (null)."""
     spark = docs.sparkSession
     outputs = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    passed = [c for c in docs.columns if c not in outputs]
-    rows = docs.select(
-        *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(passed)),
-        F.col("doc_id").alias("_id"),
-        (F.octet_length(text_of()).cast("bigint") + ROW_BYTES).alias("size"),
-        F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        F.xxhash64(text_of()).alias("_group"),
+    # Columns go by position, so that their names may hold dots; one that is called like an output, in any case, is replaced.
+    passed = {f"_in_{i}": c for i, c in enumerate(docs.columns) if c.lower() not in outputs}
+    named = docs.toDF(*(f"_in_{i}" for i in range(len(docs.columns))))
+    doc, text = (f"_in_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = named.select(
+        *passed,
+        F.col(doc).alias("_id"),
+        (F.octet_length(text_of(text)).cast("bigint") + ROW_BYTES).alias("size"),
+        F.crc32(text_of(text).cast("binary")).alias("text_crc32"),
+        F.xxhash64(text_of(text)).alias("_group"),
     )
     groups = cut(rows.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
     total, count = groups.agg(F.sum("bytes"), F.sum("n")).first()
@@ -204,4 +207,4 @@ def with_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
             "law": F.lit("bytes"),
             "grown_shard": F.lit(None).cast("int"),
         }
-    ).select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(passed)), *outputs)
+    ).select(*(F.col(at).alias(c) for at, c in passed.items()), *outputs)

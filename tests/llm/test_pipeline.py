@@ -44,6 +44,21 @@ def test_stages_take_odd_frames(spark, frame):
         assert name == "sharding" or docs.columns == columns
 
 
+@needs_tables
+def test_columns_of_any_name(spark):
+    """Names with dots, names that differ from those of outputs by case, names like those used inside."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` string, SHARD string, _won_text string, won_key string, `_in_0` string, Spans string, Severity string"
+    rows = [(i, f"word{i} " * (i % 7 + 1) + f"and {i}", "en", "s", 1, *"abcdefg") for i in range(60)]
+    docs = spark.createDataFrame(rows, schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, MEDIUM), "test")
+        if name != "sharding":
+            assert docs.columns == columns
+            assert {tuple(r)[5:] for r in docs.collect()} == {tuple("abcdefg")}
+    assert [c for c in columns if c != "SHARD"] == docs.columns[: len(columns) - 1] and "shard" in docs.columns
+
+
 @needs_tables
 def test_run(spark):
     assert "shard" in corpus_pipeline.run(spark, MEDIUM).columns
