@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.keyed.queries(), entry.oracle.oracle_sql()
 
 # Keys of one model or place that have no row at this scale; at the next they have.
-THIN = {"model_by_uf", "model_by_city", "model_snapshot", "fleet_model_at_period", "search_slice_places", "brand_filter_regex"}
+THIN = {"model_by_uf", "model_by_city", "model_snapshot", "fleet_model_at_period", "search_slice_places"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
