@@ -13,12 +13,12 @@ raises one of the first two and leaves the order of its antecedents as it is (th
 what is popped is final, and the search ends with the goal item ``(0, start)``.
 
 Conversations of any length: rows are ordered over all tasks by (conversation, turn), not gathered by conversation, and
-only marks of a byte or so travel to this first pass. A task repairs the conversations that lie whole in its range; of one that the
-range's ends may cut, it derives for every state before and every state after the lightest items of its stretch. Such
-stretches are joined by the two-antecedent deduction ``(p, stretch, q) + (q, rest) -> (p, both)`` in a second pass, ordered by conversation, which
-reads the chosen letters together with the rows, one after the other, and never holds a conversation. The digest of a repaired conversation is
-one chain of SHA-256 over its text by definition; that chain is the only work that a single long conversation does in one task.
-Rows that repeat turn, role and text are counted before they are shuffled.
+only marks of a byte or so travel to this first pass. A task repairs the conversations that lie whole in its range; of one that
+the range's ends may cut, or that is longer than ``STRETCH_ROWS``, it derives for every state before and every state after the
+lightest items of each stretch. Stretches are joined by the two-antecedent deduction ``(p, stretch, q) + (q, rest) -> (p, both)`` in a second
+pass, ordered by conversation, which reads the chosen letters together with the rows, one after the other, and never holds
+the texts of a conversation. The digest of a repaired conversation is one chain of SHA-256 over its text by definition; that chain is the
+only work that a single long conversation does in one task. Rows that repeat turn, role and text are counted before they are shuffled.
 
 Defined results: rows are ordered by turn (null first), then role, then SHA-256 of ``role:text``; a null role or text is one space; a role fits by its
 first character, an empty one nowhere; a conversation without an id is one conversation; a blank row's text is not carried; a conversation of which no row is left is empty; an empty table gives
@@ -49,6 +49,8 @@ CLOSING = (".", "!", "?")
 INITIALS = "sua"
 #: Conversations of one pattern are derived once; longer ones seldom repeat.
 CACHED_ROWS = 64
+#: Rows of a stretch: what a task holds at a time, however long a conversation is.
+STRETCH_ROWS = 5000
 
 Items = dict[tuple[int, int], tuple[int, str, int]]
 
@@ -205,8 +207,10 @@ class _Segment:
         self.turns = self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.first_initial = self.last_initial = None
         self.marks: list[str] = []
+        self.rows = 0
 
     def add(self, turn, role, blank, closed, n, first) -> None:
+        self.rows += n
         if turn is not None:
             self.turns += turn != self.most
             self.least = turn if self.least is None else self.least
@@ -264,8 +268,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096, most_by
         yield flush()
 
 
-def _segments(marked: DataFrame) -> DataFrame:
-    """One row for each conversation and task that has rows of it (``_SEGMENT``): counts, and costs and audits of the derivations."""
+def _segments(marked: DataFrame, longest: int) -> DataFrame:
+    """Rows of ``_SEGMENT``: counts, costs and audits of each conversation, or of its stretches where a task or ``longest`` parts it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -276,10 +280,12 @@ def _segments(marked: DataFrame) -> DataFrame:
         def found():
             segment, whole = None, False
             for conv, turn, role, said, blank, closed, n, first in _rows(batches, ["conv_id", "turn", "role", "said", "blank", "closed", "n", "first"]):
-                if segment is None or conv != segment.conv:
-                    if segment is not None:
-                        yield segment.row(whole)
-                        whole = True  # it began and will end in this task, unless it is the last
+                if segment is None:
+                    segment = _Segment(conv, turn, role, said)
+                elif conv != segment.conv or segment.rows >= longest:
+                    ended = conv != segment.conv
+                    yield segment.row(whole and ended)
+                    whole = ended  # the next one begins here; it is whole if it ends here, too
                     segment = _Segment(conv, turn, role, said)
                 segment.add(turn, role, blank, closed, n, first)
             if segment is not None:
@@ -348,9 +354,9 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Summary, Iter
             pass
 
 
-def _gathered(conversations: DataFrame, rows: DataFrame) -> DataFrame:
+def _gathered(conversations: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
     """Names (rank 0), segments (rank 1) and rows (rank 2) of each conversation, together and in order."""
-    segments = _segments(_marked(rows))
+    segments = _segments(_marked(rows), longest)
     fields = [f.name for f in segments.schema if f.name not in ("conv_id", "turn", "role", "said")]
     packed = segments.select("conv_id", F.lit(1).alias("rank"), "turn", "role", "said", F.lit(None).cast("string").alias("text"), F.struct(*fields).alias("segment"))
     empty = F.lit(None).cast(packed.schema["segment"].dataType).alias("segment")
@@ -368,7 +374,7 @@ def _prepared(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
-def repaired_turns(conversations: DataFrame) -> DataFrame:
+def repaired_turns(conversations: DataFrame, longest: int = STRETCH_ROWS) -> DataFrame:
     """The repaired conversations: conv_id, position (from 0), edit (K, R or I), turn (null if inserted), role and text of each row."""
     spoken = _spoken(_prepared(conversations))
     schema = "conv_id bigint, position bigint, edit string, turn bigint, role string, text string"
@@ -378,10 +384,10 @@ def repaired_turns(conversations: DataFrame) -> DataFrame:
         found = ((s.conv, at, *row) for s, turns in _replayed(batches) for at, row in enumerate(turns))
         yield from _batches(found, arrow)
 
-    return _gathered(spoken, spoken).mapInArrow(run, schema)
+    return _gathered(spoken, spoken, longest).mapInArrow(run, schema)
 
 
-def repair_report(conversations: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
+def repair_report(conversations: DataFrame, damaged: DataFrame | None = None, longest: int = STRETCH_ROWS) -> DataFrame:
     """One row for each conversation: gaps, faults, cost and audit of its lightest repair, digest of the repaired rows.
 
     ``damaged`` are the rows to repair, where they are not those of ``conversations`` itself.
@@ -402,4 +408,4 @@ def repair_report(conversations: DataFrame, damaged: DataFrame | None = None) ->
 
         yield from _batches(found(), arrow)
 
-    return _gathered(conversations, rows).mapInArrow(run, schema)
+    return _gathered(conversations, rows, longest).mapInArrow(run, schema)

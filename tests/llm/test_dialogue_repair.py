@@ -124,8 +124,9 @@ def test_report_equals_brute_force(spark, seed, partitions):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert collected(R.repair_report(frame)) == slow(rows, rows)
+        assert collected(R.repair_report(frame, longest=1 + seed)) == slow(rows, rows)
         assert collected(R.repair_report(frame, R.damage(frame))) == slow(rows, list(slow_damage(rows)))
-        turns = R.repaired_turns(frame).collect()
+        turns = R.repaired_turns(frame, longest=3).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
