@@ -6,9 +6,11 @@ import os
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from workload import params as p
 from workload import queries as keyed
+from workload import views
 from workload.views import fleet
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -110,3 +112,13 @@ def test_one_scan_of_the_fact(spark, key):
     assert len([s for s in fact_scans(text) if "qtd_veiculos" in s]) == 1
     union = text.find("Union")
     assert union < 0 or "rangepartitioning" not in text[union:]
+
+
+def test_the_choice_of_a_layout_derives_no_line(spark, tmp_path, monkeypatch):
+    """Registry lines are filtered by layout after they are derived, not by deriving them in the filter as well."""
+    written = []
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda writer, path: written.append(writer._df))
+    views._write_layouts(spark.sql(views.LINES_SQL, fleet=fleet(spark, SF_DIR)).select("layout", "linha"), str(tmp_path))
+    assert len(written) == len(views.LAYOUTS)
+    for frame in written:
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1

@@ -298,7 +298,9 @@ def registry_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _write_layouts(lines: DataFrame, path: str) -> None:
-    # One text column, whose name is the files' header; nothing is quoted.
+    # One text column, whose name is the files' header; nothing is quoted. The lines leave an array of one: the choice of a layout would
+    # otherwise be moved below them and derive each line's columns over and over, in code too long to be compiled.
+    lines = lines.select(F.inline(F.array(F.struct("layout", "linha"))))
     for number, layout in enumerate(LAYOUTS):
         rows = lines.filter(F.col("layout") == number).select(F.col("linha").alias(";".join(layout.values())))
         options = {"sep": "\u0001", "quote": "\u0000", "header": True, "encoding": "ISO-8859-1"}
