@@ -108,15 +108,14 @@ def _parsed(lines: DataFrame, header: str, count: int, sep: str) -> DataFrame:
 
     schema = ", ".join([*(f"_c{i} string" for i in range(count)), "_texto string"])
     body = lines.filter((F.col(_RECORD) != F.lit(header)) & (F.trim(_RECORD) != ""))
-    read = body.withColumn("_lido", F.from_csv(_RECORD, schema, options))
-    bad = F.col("_lido._texto").isNotNull()
+    # Out of an array of one, so that filters on fields stay above: moved below, each would parse the record again.
+    read = body.select(_FILE, _BLOCK, _ID, _RECORD, F.inline(F.array(F.from_csv(_RECORD, schema, options))))
+    bad = F.col("_texto").isNotNull()
     # Asked of malformed records only: a field put behind a record that is too short comes to stand among the header's.
-    longer = F.from_csv(F.concat(F.col(_RECORD), F.lit(sep + _END)), schema, options)
-    short = F.lit(_END).isin(*(longer[f"_c{i}"] for i in range(count)))
+    longer = F.array(F.from_csv(F.concat(F.col(_RECORD), F.lit(sep + _END)), schema, options))
+    short = F.exists(longer, lambda fields: F.lit(_END).isin(*(fields[f"_c{i}"] for i in range(count))))
     reason = F.when(bad, F.when(short, "campos de menos").otherwise("campos demais"))
-    return read.select(
-        _FILE, _BLOCK, _ID, _RECORD, bad.alias(_BAD), reason.alias(_REASON), *(F.col(f"_lido._c{i}").alias(f"_c{i}") for i in range(count))
-    )
+    return read.select(_FILE, _BLOCK, _ID, _RECORD, bad.alias(_BAD), reason.alias(_REASON), *(f"_c{i}" for i in range(count)))
 
 
 def read_registry_files(

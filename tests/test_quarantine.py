@@ -102,3 +102,13 @@ def test_a_clean_load_reads_the_text_once(spark, tmp_path, monkeypatch):
     aside = tmp_path / "quarentena"
     report = load_month(spark, str(tmp_path / "r.txt"), str(tmp_path / "f"), "2026-04-01", "2026-03-01", BRAND_A, quarantine=str(aside))
     assert rows(report) == [(1, 1, 1, 0, 4, 4, 0)] and not aside.exists()
+
+
+def test_a_record_is_parsed_once(spark, folder):
+    """A filter on fields stays above the parser: below it, it would parse each record once more."""
+    accepted = read_registry_files(spark, str(folder)).accepted
+    kept = accepted.filter(BRAND_A.filter.matches(accepted.marca_modelo))
+    text = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_csv(") == 2  # one for each header
+    rejected = read_registry_files(spark, str(folder)).rejected()._jdf.queryExecution().optimizedPlan().toString()
+    assert rejected.count("from_csv(") == 4  # and once more if it is malformed
