@@ -122,3 +122,36 @@ def test_the_choice_of_a_layout_derives_no_line(spark, tmp_path, monkeypatch):
     assert len(written) == len(views.LAYOUTS)
     for frame in written:
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_the_fleet_is_that_of_its_sql_and_shuffles_no_code(spark, tmp_path, monkeypatch):
+    """Equal to FLEET_SQL with null and repeated keys; the sums are shuffled by the part's key, not by the code spelled from it."""
+    tables = {
+        "lineitem": """SELECT k AS l_orderkey, p AS l_partkey, s AS l_suppkey, n AS l_linenumber, q AS l_quantity, f AS l_returnflag, CAST(d AS TIMESTAMP_NTZ) AS l_shipdate
+          FROM VALUES (1L,1L,1L,1,2.0D,'R','2000-01-05'), (1L,1L,2L,2,3.0D,'R','2000-01-09'), (1L,1L,1L,7,4.0D,'R','2000-01-05'), (2L,-3L,1L,1,5.0D,NULL,'2000-02-05'),
+          (2L,2L,2L,3,NULL,'N','2000-02-05'), (2L,2L,2L,NULL,6.0D,'R',NULL), (3L,2L,2L,4,7.0D,'A','2000-02-05'), (NULL,2L,2L,4,7.0D,'A','2000-02-05'),
+          (2L,NULL,2L,4,7.0D,'A','2000-02-05'), (2L,24L,NULL,4,7.0D,'A','2000-02-05'), (2L,24L,3L,NULL,7.9D,'A','2000-02-05') AS t(k,p,s,n,q,f,d)""",
+        "orders": "SELECT k AS o_orderkey, CAST(d AS TIMESTAMP_NTZ) AS o_orderdate FROM VALUES (1L,'1999-12-01'), (2L,NULL), (2L,'2000-01-01'), (NULL,'2000-01-01') AS t(k,d)",
+        "part": "SELECT * FROM VALUES (1L), (2L), (2L), (-3L), (24L), (CAST(NULL AS BIGINT)) AS t(p_partkey)",
+        "supplier": "SELECT * FROM VALUES (1L,'a',1), (2L,'b',1), (2L,'a',1), (3L,NULL,2), (4L,'c',NULL) AS t(s_suppkey,s_name,s_nationkey)",
+        "nation": "SELECT * FROM VALUES (1,'X'), (2,NULL), (2,'Y') AS t(n_nationkey,n_name)",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = views.fleet_plan(spark, str(tmp_path))
+    wanted = spark.sql(views.FLEET_SQL, **{t: views.table(spark, str(tmp_path), t) for t in views.FLEET_TABLES})
+    assert found.dtypes == wanted.dtypes
+    rows = sorted(map(repr, found.collect()))
+    assert rows == sorted(map(repr, wanted.collect())) and len(rows) > 8
+    assert re.search(r"Aggregate \[.*p_partkey#\d+L", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_a_period_loaded_twice_is_derived_once(spark, monkeypatch):
+    """Both loads read what was staged."""
+    views.raw_registry(spark, SF_DIR)  # whose own table is read by what is replaced below
+    loaded = []
+    monkeypatch.setattr(views, "replace_period", lambda rows, path, day: loaded.append(rows.inputFiles()))
+    monkeypatch.setattr(views, "read_facts", lambda session, path: session.range(0))
+    monkeypatch.setattr(views, "_frames", {k: f for k, f in views._frames.items() if k[2] not in ("carga", "consolidado")})
+    QUERIES["ingest_replace_period"](spark, SF_DIR)
+    assert len(loaded) == 2 and all("/consolidado-" in file for files in loaded for file in files)
