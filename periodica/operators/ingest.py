@@ -20,10 +20,10 @@ def filter_brand(rows: DataFrame, brand: BrandFilter, spec: SnapshotSpec = DEFAU
     return rows.filter(brand.matches(F.col(spec.model)))
 
 
-def canonical_code(code: Column, aliases: Mapping[str, str]) -> Column:
-    """Alias of the normalised code, otherwise the stripped raw value with its case kept."""
+def canonical_code(code: Column, aliases: Mapping[str, str], normal: Column | None = None) -> Column:
+    """Alias of the normalised code (``normal``, if there is one already), otherwise the stripped raw value with its case kept."""
     raw = strip(code)
-    return lookup(normalize_text(code), aliases, raw) if aliases else raw
+    return lookup(normalize_text(code) if normal is None else normal, aliases, raw) if aliases else raw
 
 
 def typed_rows(
@@ -33,17 +33,19 @@ def typed_rows(
     spec: SnapshotSpec = DEFAULT_SPEC,
     source: str | None = None,
     marks: Sequence[str] = (),
+    normal: Column | None = None,
 ) -> DataFrame:
     """Trim and type canonical text columns; add the period and the file lineage.
 
     ``source`` names the origin when the frame has no lineage column of its own; columns named in ``marks`` are kept as they are.
+    ``normal`` is the normalised code, for a caller that has it.
     """
     lineage = F.col(spec.lineage) if spec.lineage in rows.columns else F.lit(source).cast("string")
     return rows.select(
         date_lit(period).alias(spec.period),
         strip(F.col(spec.state)).alias(spec.state),
         strip(F.col(spec.city)).alias(spec.city),
-        canonical_code(F.col(spec.model), brand.aliases).alias(spec.model),
+        canonical_code(F.col(spec.model), brand.aliases, normal).alias(spec.model),
         parse_year(F.col(spec.year)).alias(spec.year),
         parse_quantity(F.col(spec.measure)).alias(spec.measure),
         lineage.alias(spec.lineage),
@@ -83,10 +85,12 @@ def counted_groups(
     both the rows to load and the counters of the input. Rows that differ in ``marks`` are counted apart; ``source`` is
     the lineage of a frame without such a column.
     """
-    ours = F.coalesce(brand.filter.matches(F.col(spec.model)), F.lit(False))
-    typed = typed_rows(rows.withColumn("_marca", ours).withColumns(
+    # Normalised once, for the filter and for the aliases.
+    named = rows.withColumn("_normal", normalize_text(F.col(spec.model)))
+    ours = F.coalesce(brand.filter.matches_normalized(F.col("_normal")), F.lit(False))
+    typed = typed_rows(named.withColumn("_marca", ours).withColumns(
         {c: F.when(F.col("_marca"), F.col(c)) for c in rows.columns if c in spec.columns}
-    ), brand, period, spec, source, marks).withColumn("da_marca", F.col(spec.model).isNotNull())
+    ), brand, period, spec, source, marks, F.when(F.col("_marca"), F.col("_normal"))).withColumn("da_marca", F.col(spec.model).isNotNull())
     keys = [c for c in spec.columns if c != spec.measure]
     return typed.groupBy("da_marca", *marks, *keys).agg(
         F.sum(spec.measure).alias(spec.measure), F.count(F.lit(1)).alias("linhas")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
@@ -17,9 +18,20 @@ from periodica.plans.kept_pairs import refresh_pairs
 from periodica.presets import Brand
 from periodica.session import shared_folder
 from periodica.sources.facts import read_facts, replace_period, replace_periods
-from periodica.sources.quarantine import REJECTED, read_registry_files, set_aside
+from periodica.sources.quarantine import DETAIL, REJECTED, read_registry_files, set_aside
 from periodica.sources.registry import canonicalize, read_registry
-from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, to_date
+from periodica.spec import DEFAULT_SPEC, SnapshotSpec, asc, date_lit, to_date
+
+_SOURCE = "_fonte"
+
+
+@dataclass(frozen=True)
+class StagedLoad:
+    """Texts that were read, cleaned and consolidated, in the shared folder: tables may be loaded from them, and loaded again, without the texts."""
+
+    groups: DataFrame
+    rejected: int | None
+    periods: tuple[str | date, ...]
 
 
 def load_month(
@@ -46,11 +58,26 @@ def load_month(
     Files of another header and malformed records fail the load, unless there is a folder for the ``quarantine``: then each
     header is read by itself, malformed records go to that folder with file and line, and the report has
     ``linhas_rejeitadas``, which ``linhas_lidas`` includes. More than ``max_rejected`` of them fail the load, before the period
-    is replaced; the text is read again for them only if there are any.
+    is replaced; the lines are counted again for them, without being parsed, only if there are any.
 
     Rows are summed by file, and carry its path, unless ``lineage`` names the delivery that all files are parts of.
     """
-    groups, rejected = _staged(spark, {period: source}, brand, spec, quarantine, max_rejected, lineage)
+    staged = stage_months(spark, {period: source}, brand, spec, quarantine=quarantine, max_rejected=max_rejected, lineage=lineage)
+    return load_staged_month(staged, path, previous, spec, table=table, pairs=pairs)
+
+
+def load_staged_month(
+    staged: StagedLoad,
+    path: str | None,
+    previous: str | date,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    *,
+    table: str | None = None,
+    pairs: str | None = None,
+) -> DataFrame:
+    """``load_month`` of the one period that ``stage_months`` has staged."""
+    (period,), groups, rejected = staged.periods, staged.groups, staged.rejected
+    spark = groups.sparkSession
     replace_period(groups.filter("da_marca"), path, period, spec, table=table)
     fact = read_facts(spark, path, spec, table=table)
     if pairs is not None:
@@ -78,10 +105,24 @@ def load_months(
     attempt leaves all of them, and running it again gives the same table. Each period is compared with the one observed before it once
     all are loaded; NULL where there is none.
     """
-    groups, rejected = _staged(spark, sources, brand, spec, quarantine, max_rejected, lineage)
-    replace_periods(groups.filter("da_marca"), path, sources, spec, table=table)
+    staged = stage_months(spark, sources, brand, spec, quarantine=quarantine, max_rejected=max_rejected, lineage=lineage)
+    return load_staged_months(staged, path, spec, table=table, pairs=pairs)
+
+
+def load_staged_months(
+    staged: StagedLoad,
+    path: str | None,
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    *,
+    table: str | None = None,
+    pairs: str | None = None,
+) -> DataFrame:
+    """``load_months`` of the periods that ``stage_months`` has staged."""
+    groups, rejected = staged.groups, staged.rejected
+    spark = groups.sparkSession
+    replace_periods(groups.filter("da_marca"), path, staged.periods, spec, table=table)
     fact = read_facts(spark, path, spec, table=table)
-    days = sorted(to_date(d) for d in sources)
+    days = sorted(to_date(d) for d in staged.periods)
     if pairs is not None:
         refresh_pairs(fact, pairs, days, spec)
     # One row per period from here on.
@@ -90,7 +131,8 @@ def load_months(
     totals = gather(units).withColumn("total_anterior", before).filter(F.col(spec.period).isin(days))
     counts = counters(groups, spec.period)
     zero = F.lit(0).cast("bigint")
-    named = spark.createDataFrame([(d,) for d in days], f"`{spec.period}` date")
+    # From a literal: a list of Python's would be sent through Python workers.
+    named = spark.range(1).select(F.explode(F.array(*map(date_lit, days))).alias(spec.period))
     found = named.join(counts, spec.period, "left").join(totals, spec.period, "left").select(
         spec.period,
         *(F.coalesce(c, zero).alias(c) for c in ("linhas_lidas", "linhas_marca", "linhas_consolidadas")),
@@ -102,34 +144,39 @@ def load_months(
     return found.orderBy(*asc(spec.period))
 
 
-def _staged(
+def stage_months(
     spark: SparkSession,
     sources: Mapping[str | date, str | Sequence[str]],
     brand: Brand,
-    spec: SnapshotSpec,
-    quarantine: str | None,
-    max_rejected: int,
-    lineage: str | None,
-) -> tuple[DataFrame, int | None]:
-    """``counted_groups`` of all sources, written in one job and read again, and the number of rejected records."""
-    staged = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
+    spec: SnapshotSpec = DEFAULT_SPEC,
+    *,
+    quarantine: str | None = None,
+    max_rejected: int = 0,
+    lineage: str | None = None,
+) -> StagedLoad:
+    """``counted_groups`` of all sources, written in one job, and the number of rejected records, which are set aside.
+
+    A malformed record is a group of its own there, with its text, so that the quarantine is written from what was parsed.
+    """
+    path = f"{shared_folder(spark)}/periodica-{spark.sparkContext.applicationId}/carga-{uuid.uuid4().hex[:12]}"
     parts, files = [], []
-    for period, source in sources.items():
+    for number, (period, source) in enumerate(sources.items()):
         if quarantine is None:
             raw, marks = canonicalize(read_registry(spark, source, spec=spec), spec), []
         else:
             files.append(read_registry_files(spark, source, spec=spec))
-            raw, marks = files[-1].rows, [REJECTED]
+            raw, marks = files[-1].detailed.withColumn(_SOURCE, F.lit(number)), [REJECTED, DETAIL, _SOURCE]
         if lineage is not None:
             raw = raw.drop(spec.lineage)
         parts.append(counted_groups(raw, brand, period, spec, marks, lineage))
-    reduce(DataFrame.unionByName, parts).write.parquet(staged)
-    groups = spark.read.parquet(staged)
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    groups = spark.read.parquet(path)
     if quarantine is None:
-        return groups, None
-    rejected = groups.filter(REJECTED).agg(F.sum("linhas")).first()[0] or 0
-    set_aside(files, rejected, quarantine, max_rejected)
-    return groups, rejected
+        return StagedLoad(groups, None, tuple(sources))
+    bad = groups.filter(REJECTED)
+    rejected = bad.agg(F.sum("linhas")).first()[0] or 0
+    set_aside(files, rejected, quarantine, max_rejected, [bad.filter(F.col(_SOURCE) == n).select(DETAIL) for n in range(len(files))])
+    return StagedLoad(groups, rejected, tuple(sources))
 
 
 def load_report(

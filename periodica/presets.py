@@ -41,7 +41,10 @@ class BrandFilter:
         return f"^{rejected}(?:{'|'.join(accepted)})"
 
     def matches(self, code: Column) -> Column:
-        return normalize_text(code).rlike(self.expression())
+        return self.matches_normalized(normalize_text(code))
+
+    def matches_normalized(self, normal: Column) -> Column:
+        return normal.rlike(self.expression())
 
 
 @dataclass(frozen=True)

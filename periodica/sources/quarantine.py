@@ -12,6 +12,7 @@ text. All else is Spark's: lines are read as text (so that they are numbered and
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -24,8 +25,11 @@ from periodica.sources.registry import canonical_columns, require_columns
 from periodica.spec import DEFAULT_SPEC, SnapshotSpec
 
 REJECTED = "_rejeitada"
+#: Where a malformed record stands, its text and what is wrong with it; NULL of a well-formed one.
+DETAIL = "_detalhe"
 _RECORD, _BAD, _REASON = "_registro", "_malformado", "_motivo"
 _FILE, _BLOCK, _ID = "_arquivo", "_bloco", "_numero"
+_CUT, _CSV = "_partes", "_csv"
 _END = "\u0002"
 
 
@@ -35,12 +39,15 @@ class TooManyRejected(ValueError):
 
 @dataclass(frozen=True)
 class RegistryFiles:
-    """Files of one or more headers: ``rows`` with canonical columns and the mark ``REJECTED``, ``lines`` as they stand."""
+    """Files of one or more headers: ``rows`` with canonical columns, the mark ``REJECTED`` and its ``DETAIL``, ``lines`` as they stand."""
 
-    rows: DataFrame
-    parsed: DataFrame
+    detailed: DataFrame
     lines: DataFrame
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.detailed.drop(DETAIL)
+
     @property
     def accepted(self) -> DataFrame:
         """Canonical text columns and lineage of the well-formed records."""
@@ -52,11 +59,16 @@ class RegistryFiles:
         A record's line is its place in its block of the file plus the lines of the blocks before. Both come from one listing of the
         files, so that the numbers given to lines are the same.
         """
-        bad = self.parsed.filter(F.col(_BAD)).select(_FILE, _BLOCK, _ID, _RECORD, _REASON)
+        return self.placed(self.detailed.filter(F.col(REJECTED)).select(DETAIL))
+
+    def placed(self, bad: DataFrame) -> DataFrame:
+        """``rejected`` of the ``DETAIL`` of the malformed records, which a job that read the rows may have kept: their text is not parsed again."""
+        bad = bad.select(f"{DETAIL}.*")
         blocks = self.lines.groupBy(_FILE, _BLOCK).agg(F.min(_ID).alias("_primeiro"), F.count(F.lit(1)).alias("_linhas"))
         above = Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         begins = F.coalesce(F.sum("_linhas").over(above), F.lit(0)) - F.col("_primeiro")
-        placed = bad.join(blocks.select(_FILE, _BLOCK, begins.alias("_antes")), [_FILE, _BLOCK])
+        # One row per block of a file: malformed records, which may be many, stay where they are.
+        placed = bad.join(F.broadcast(blocks.select(_FILE, _BLOCK, begins.alias("_antes"))), [_FILE, _BLOCK])
         return placed.select(
             F.col(_FILE).alias("arquivo"),
             (F.col("_antes") + F.col(_ID) + 1).alias("linha"),
@@ -107,15 +119,25 @@ def _parsed(lines: DataFrame, header: str, count: int, sep: str) -> DataFrame:
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_texto"}
 
     schema = ", ".join([*(f"_c{i} string" for i in range(count)), "_texto string"])
+    names = [f"_c{i}" for i in range(count)]
     body = lines.filter((F.col(_RECORD) != F.lit(header)) & (F.trim(_RECORD) != ""))
+    # A record without quotes, as most are, is no more than its text between separators; the CSV parser takes several times as long. It is
+    # asked for the others, and for a mark of comments, which is NUL unless another is set.
+    plain = ~F.col(_RECORD).contains('"') & ~F.col(_RECORD).startswith("\0")
+    cut = F.when(plain, F.split(_RECORD, re.escape(sep), -1)).alias(_CUT)
+    parsed = F.when(~plain, F.from_csv(_RECORD, schema, options)).alias(_CSV)
     # Out of an array of one, so that filters on fields stay above: moved below, each would parse the record again.
-    read = body.select(_FILE, _BLOCK, _ID, _RECORD, F.inline(F.array(F.from_csv(_RECORD, schema, options))))
-    bad = F.col("_texto").isNotNull()
-    # Asked of malformed records only: a field put behind a record that is too short comes to stand among the header's.
-    longer = F.array(F.from_csv(F.concat(F.col(_RECORD), F.lit(sep + _END)), schema, options))
-    short = F.exists(longer, lambda fields: F.lit(_END).isin(*(fields[f"_c{i}"] for i in range(count))))
+    read = body.select(_FILE, _BLOCK, _ID, _RECORD, F.inline(F.array(F.struct(cut, parsed))))
+    simple = F.col(_CUT).isNotNull()
+    bad = F.when(simple, F.size(_CUT) != count).otherwise(F.col(f"{_CSV}._texto").isNotNull())
+    values = [F.when(simple, F.nullif(F.get(_CUT, F.lit(i)), F.lit(""))).otherwise(F.col(f"{_CSV}.{n}")).alias(n) for i, n in enumerate(names)]
+    # Asked of malformed records only: a field put behind a record that is too short comes to stand among the header's. They are looked at as
+    # one text, because a function of each field would keep the whole job from being compiled.
+    longer = F.from_csv(F.concat(F.col(_RECORD), F.lit(sep + _END)), schema.removesuffix(", _texto string"), options)
+    added = longer.cast("string").rlike(r"(^\{|, )" + _END)
+    short = F.when(simple, F.size(_CUT) < count).otherwise(added)
     reason = F.when(bad, F.when(short, "campos de menos").otherwise("campos demais"))
-    return read.select(_FILE, _BLOCK, _ID, _RECORD, bad.alias(_BAD), reason.alias(_REASON), *(f"_c{i}" for i in range(count)))
+    return read.select(_FILE, _BLOCK, _ID, _RECORD, bad.alias(_BAD), reason.alias(_REASON), *values)
 
 
 def read_registry_files(
@@ -130,7 +152,7 @@ def read_registry_files(
     files = _paths(spark, [path] if isinstance(path, str) else list(path))
     for file, line in first_lines(spark, files, encoding).items():
         headers.setdefault(line, []).append(file)
-    united, parsed, lines = [], [], []
+    united, lines = [], []
     for header, members in sorted(headers.items()):
         columns = next(csv.reader([header], delimiter=sep), [])
         names = canonical_columns(columns, spec)
@@ -139,19 +161,23 @@ def read_registry_files(
         records = _parsed(own, header, len(columns), sep)
         bad = F.col(_BAD)
         values = [F.when(~bad, F.col(f"_c{i}")).alias(names.get(c, c)) for i, c in enumerate(columns)]
-        united.append(records.select(*values, F.col(_FILE).alias(spec.lineage), bad.alias(REJECTED)))
-        parsed.append(records.select(_FILE, _BLOCK, _ID, _RECORD, _BAD, _REASON))
+        detail = F.when(bad, F.struct(_FILE, _BLOCK, _ID, _RECORD, _REASON)).alias(DETAIL)
+        united.append(records.select(*values, F.col(_FILE).alias(spec.lineage), bad.alias(REJECTED), detail))
         lines.append(own)
 
     def union(frames: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-    return RegistryFiles(union(united), union(parsed), union(lines))
+    return RegistryFiles(union(united), union(lines))
 
 
-def set_aside(files: Sequence[RegistryFiles], found: int, folder: str, limit: int) -> None:
-    """Write the ``found`` malformed records of ``files`` to ``folder`` and fail if they are more than ``limit``."""
+def set_aside(files: Sequence[RegistryFiles], found: int, folder: str, limit: int, kept: Sequence[DataFrame] | None = None) -> None:
+    """Write the ``found`` malformed records of ``files`` to ``folder`` and fail if they are more than ``limit``.
+
+    ``kept`` has the ``DETAIL`` of those of each of ``files``, if a job has written it.
+    """
     if found:
-        reduce(DataFrame.unionByName, (f.rejected() for f in files)).write.mode("overwrite").parquet(folder)
+        placed = (f.rejected() for f in files) if kept is None else (f.placed(bad) for f, bad in zip(files, kept, strict=True))
+        reduce(DataFrame.unionByName, placed).write.mode("overwrite").parquet(folder)
     if found > limit:
         raise TooManyRejected(f"{found} malformed records, {limit} allowed; see {folder}")

@@ -112,3 +112,42 @@ def test_a_record_is_parsed_once(spark, folder):
     assert text.count("from_csv(") == 2  # one for each header
     rejected = read_registry_files(spark, str(folder)).rejected()._jdf.queryExecution().optimizedPlan().toString()
     assert rejected.count("from_csv(") == 4  # and once more if it is malformed
+
+
+def test_plain_records_are_cut_as_the_parser_cuts(spark, tmp_path):
+    """A record without quotes is not handed to the CSV parser, with the same fields, NULLs and reasons."""
+    from pyspark.sql import functions as F
+
+    from periodica.sources import quarantine
+
+    bodies = ["a;b;c;d;e", ";;;;", " a ; b;;d;e ", "a;b;c;d", "a;b;c;d;e;", "a;b;c;d;e;f", "a", "\t", " ;\t;c;d;e", "\0a;b;c;d;e", "a\0;b;c;d;e", "á;ç;\\;;|", 'a;"b;c";d;e;f', 'a;"";c;d;e', '"a;b;c;d', "a#;b;c;d;e"]
+    lines = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(bodies)], "_arquivo string, _bloco bigint, _numero bigint, _registro string")
+    got = quarantine._parsed(lines, ONE, 5, ";").orderBy("_numero").collect()
+    options = {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_texto"}
+    schema = "_c0 string, _c1 string, _c2 string, _c3 string, _c4 string, _texto string"
+    wanted = lines.select("_numero", F.from_csv("_registro", schema, options).alias("r")).select("_numero", "r.*").orderBy("_numero").collect()
+    assert [r._malformado for r in got] == [r._texto is not None for r in wanted]
+    fine = [i for i, r in enumerate(got) if not r._malformado]
+    assert [got[i][-5:] for i in fine] == [wanted[i][1:6] for i in fine] and len(fine) >= 8
+    assert [r._motivo for r in got][3:7] == ["campos de menos", "campos demais", "campos demais", "campos de menos"]
+    assert "split(" in quarantine._parsed(lines, ONE, 5, ";")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_staged_texts_are_parsed_once_for_two_loads(spark, folder, tmp_path, monkeypatch):
+    """The quarantine and both loads come from what was staged: no parsed record is asked for again."""
+    from periodica.plans import load_staged_month, stage_months
+
+    aside, table = str(tmp_path / "quarentena"), str(tmp_path / "fatos")
+    monkeypatch.setattr("periodica.sources.quarantine.RegistryFiles.rejected", None)
+    staged = stage_months(spark, {"2026-04-01": str(folder)}, BRAND_A, quarantine=aside, max_rejected=4)
+    for text in folder.iterdir():
+        text.write_bytes(b"")
+    for _ in range(2):
+        assert rows(load_staged_month(staged, table, "2026-03-01")) == [(10, 5, 5, 0, 19, 19, 4)]
+    kept = sorted((r.arquivo.rsplit("/", 1)[1][:2], r.linha, r.registro, r.motivo) for r in spark.read.parquet(aside).collect())
+    assert kept == [
+        ("do", 3, "8;H-D/B;SP;;X;o1;mais", "campos demais"),
+        ("tr", 3, "curto", "campos de menos"),
+        ("um", 3, "SP;X;H-D/A;2020", "campos de menos"),
+        ("um", 6, "SP;X;H-D/A;2020;6;", "campos demais"),
+    ]
