@@ -52,6 +52,15 @@ def write_facts(
         writer.option("partitionOverwriteMode", "static").parquet(path)
 
 
+def copy_facts(rows: DataFrame, path: str, spec: SnapshotSpec = DEFAULT_SPEC) -> None:
+    """(Re)create the table at ``path`` from rows of another one, whose files are laid out already: they are neither shuffled nor sorted by model again.
+
+    A task writes one file for each period that it reads, in the order of the files it reads.
+    """
+    writer = _writer(rows, spec).partitionBy(spec.period)
+    writer.option("partitionOverwriteMode", "static").parquet(path)
+
+
 def _checked(rows: DataFrame, days: Sequence[date], spec: SnapshotSpec) -> DataFrame:
     """The columns of a fact that ``rows`` have; a row of a period that is not among ``days`` fails the job that writes it."""
     found = F.col(spec.period).cast("date")

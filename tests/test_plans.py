@@ -155,3 +155,17 @@ def test_a_period_loaded_twice_is_derived_once(spark, monkeypatch):
     monkeypatch.setattr(views, "_frames", {k: f for k, f in views._frames.items() if k[2] not in ("carga", "consolidado")})
     QUERIES["ingest_replace_period"](spark, SF_DIR)
     assert len(loaded) == 2 and all("/consolidado-" in file for files in loaded for file in files)
+
+
+@pytest.mark.parametrize("key", ["ingest_many_report", "ingest_reconcile"])
+def test_texts_loaded_twice_are_staged_once(spark, monkeypatch, key):
+    """Both loads take the text from what was staged, and the table that they change is a copy without a shuffle."""
+    views.registry_files(spark, SF_DIR)
+    views.raw_registry(spark, SF_DIR)
+    staged, copied, loads = [], [], []
+    for found, name in ((staged, "stage_months"), (copied, "copy_facts"), (loads, "load_staged_months"), (loads, "load_staged_month")):
+        real = getattr(views, name)
+        monkeypatch.setattr(views, name, lambda *a, real=real, found=found, **k: (found.append(a[0]), real(*a, **k))[1])
+    monkeypatch.setattr(views, "_frames", {k: f for k, f in views._frames.items() if k[2] not in ("meses", "relatorio")})
+    QUERIES[key](spark, SF_DIR)
+    assert len(staged) == len(copied) == 1 and len(loads) == 2 and loads[0] is loads[1]

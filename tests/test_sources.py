@@ -214,3 +214,23 @@ def test_glossary(spark, tmp_path):
     assert rows(read_glossary(spark, str(path))) == [("H-D/X", "")]
     missing = read_glossary(spark, str(tmp_path / "nada.csv"))
     assert missing.columns == ["codigo_modelo", "nome_amigavel"] and missing.count() == 0
+
+
+def test_a_copy_is_neither_shuffled_nor_sorted_again(spark, facts, tmp_path, monkeypatch):
+    """A table whose files are laid out keeps its rows, its periods and the order inside them."""
+    from pyspark.sql import DataFrameWriter
+
+    from periodica.sources import copy_facts
+
+    data = facts(*[(m, f"H-D/{(i * 7) % 50:02d}", 2020, i) for m in (1, 2, 3) for i in range(50)], (2, None, None, None))
+    first, second = str(tmp_path / "um"), str(tmp_path / "dois")
+    write_facts(data, first)
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda writer, *a, **k: (plans.append(writer._df._jdf.queryExecution().executedPlan().toString()), real(writer, *a, **k))[1])
+    for _ in range(2):
+        copy_facts(read_facts(spark, first), second)
+    assert len(plans) == 2 and not any("Exchange" in text or "Sort" in text for text in plans)
+    assert sorted(map(repr, rows(read_facts(spark, second)))) == sorted(map(repr, rows(read_facts(spark, first))))
+    for day in ("2024-01-01", "2024-03-01"):
+        codes = [r.marca_modelo for r in spark.read.parquet(f"{second}/competencia={day}").collect()]
+        assert codes == sorted(codes) and len(codes) == 50

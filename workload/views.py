@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
-from periodica.plans.monthly_load import load_month, load_months
+from periodica.plans.monthly_load import load_staged_month, load_staged_months, stage_months
 from periodica.presets import BRAND_A
 from periodica.session import shared_folder
 from periodica.sources.dictionary import build_codes, read_codes, refresh_codes
-from periodica.sources.facts import read_facts, replace_period, write_facts
+from periodica.sources.facts import copy_facts, read_facts, replace_period, write_facts
 from periodica.sources.glossary import read_glossary
 from periodica.sources.quarantine import RegistryFiles, read_registry_files
 from periodica.sources.registry import read_registry
@@ -258,7 +258,7 @@ def kept_pairs(spark: SparkSession, sf_dir: str, changes: dict[str, str]) -> Dat
         wrong = F.when(period.isin([day for day, state in changes.items() if state == "wrong"]), 3).otherwise(1)
         units = (F.col(DEFAULT_SPEC.measure) * wrong).alias(DEFAULT_SPEC.measure)
         early = frame.filter(~period.isin(missing)).select(*(units if c == DEFAULT_SPEC.measure else c for c in frame.columns))
-        write_facts(early, facts)
+        copy_facts(early, facts)
         build_pairs(read_facts(spark, facts), pairs)
         for day in changes:
             replace_period(frame.filter(period == F.lit(day).cast("date")), facts, day)
@@ -336,13 +336,14 @@ def registry_files(spark: SparkSession, sf_dir: str) -> RegistryFiles:
 
 
 def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of the second of two equal monthly loads from text into a copy of the fact table."""
+    """The report of the second of two equal monthly loads into a copy of the fact table. The text is staged once, and both take it from there."""
 
     def load_twice(frame: DataFrame, path: str) -> None:
-        write_facts(frame, f"{path}/fato")
+        copy_facts(frame, f"{path}/fato")
         source = registry_folder(spark, sf_dir)
+        staged = stage_months(spark, {p.LOAD_PERIOD: source}, BRAND_A, lineage=p.SOURCE_FILE)
         for _ in range(2):
-            report = load_month(spark, source, f"{path}/fato", p.LOAD_PERIOD, p.REF, BRAND_A, lineage=p.SOURCE_FILE)
+            report = load_staged_month(staged, f"{path}/fato", p.REF)
         report.write.mode("overwrite").parquet(f"{path}/relatorio")
 
     return _written(
@@ -351,16 +352,17 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_months(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
-    """The fact ("fato") or the report ("relatorio") after the texts of both headers were loaded twice, each as a month, in one job."""
+    """The fact ("fato") or the report ("relatorio") after the texts of both headers were loaded twice, each as a month, in one job; they are staged once."""
 
     def load_twice(frame: DataFrame, path: str) -> None:
-        write_facts(frame, f"{path}/fato")
+        copy_facts(frame, f"{path}/fato")
         registry_files(spark, sf_dir)
         texts = _path(spark, sf_dir, "registros")
         sources = {day: f"{texts}/layout{number}" for number, day in enumerate(p.LOAD_PERIODS)}
         aside = {"quarantine": f"{path}/quarentena", "max_rejected": 1 << 40}
+        staged = stage_months(spark, sources, BRAND_A, lineage=p.SOURCE_FILE, **aside)
         for _ in range(2):
-            report = load_months(spark, sources, f"{path}/fato", BRAND_A, lineage=p.SOURCE_FILE, **aside)
+            report = load_staged_months(staged, f"{path}/fato")
         report.write.mode("overwrite").parquet(f"{path}/relatorio")
 
     fact = _written(spark, sf_dir, "meses", lambda: fleet(spark, sf_dir), load_twice, lambda session, path: read_facts(session, f"{path}/fato"))
