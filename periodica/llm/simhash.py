@@ -12,6 +12,9 @@ differ in few bits:
 
 Components of the links come from alternating star contractions, a few joins over the links alone.
 
+Joins of classes and links are merged on disk, never broadcast: Spark takes the size of a table from its compressed file and
+does not count what an explode makes of it, so that it would send tables many times its threshold through the driver.
+
 Defined results: a null or blank text has fingerprint zero and is linked like any other; rows repeated
 with the same id count once for the components and appear as often as they came; a row without an id
 joins components but names one only if no member has an id (then ``component_id`` is null); an empty
@@ -114,7 +117,7 @@ def links(classes: DataFrame, limit: int = 4) -> DataFrame:
     ]
     verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= limit
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.block") == F.col("b.block"))
-    pairs = a.join(b, reduce(lambda x, y: x & y, [same, F.col("a.fp") < F.col("b.fp"), *near, verified]))
+    pairs = a.join(b.hint("merge"), reduce(lambda x, y: x & y, [same, F.col("a.fp") < F.col("b.fp"), *near, verified]))
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
@@ -129,9 +132,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u")
+        small = large.join(smallest.hint("merge"), "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -156,13 +159,13 @@ def _rooted(docs: DataFrame, width: int, limit: int) -> DataFrame:
     edges = cut(links(classes, limit), "links")
     degrees = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     rooted = components(edges).select(F.col("node").alias("fp"), "root")
-    linked = cut(classes.join(rooted, "fp").join(degrees, "fp"), "linked")
+    linked = cut(classes.join(rooted.hint("merge"), "fp").join(degrees.hint("merge"), "fp"), "linked")
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = linked.join(first, "root").select("fp", "root", "component_id", "n_links")
-    alone = classes.join(members, "fp", "left_anti").select(
+    members = linked.join(first.hint("merge"), "root").select("fp", "root", "component_id", "n_links")
+    alone = classes.join(members.hint("merge"), "fp", "left_anti").select(
         "fp", F.col("fp").alias("root"), F.col("first").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")
     )
-    return narrow.join(cut(members.union(alone), "members"), "fp", "left")
+    return narrow.join(cut(members.union(alone), "members").hint("merge"), "fp", "left")
 
 
 def keep_one_each(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:

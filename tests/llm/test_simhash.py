@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from periodica.llm import simhash as S
+from periodica.llm.common import cut
 from tests.llm.frames import MEDIUM, SMALL, needs_tables, no_documents, odd_documents
 
 
@@ -71,6 +72,20 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
 
 
+def test_classes_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(frame, name):
+        plans.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return cut(frame, name)
+
+    monkeypatch.setattr(S, "cut", kept)
+    found = S.near_duplicates(odd_documents(spark))
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {"links", "edges", "linked", "members", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 def test_odd_frames(spark):
     odd = odd_documents(spark)
     check(S.near_duplicates(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
