@@ -12,7 +12,7 @@ differ in few bits:
 
 Components of the links come from alternating star contractions, a few joins over the links alone.
 
-Joins of classes and links are merged on disk, never broadcast: Spark takes the size of a table from its compressed file and
+Joins of classes, links and winners are merged on disk, never broadcast: Spark takes the size of a table from its compressed file and
 does not count what an explode makes of it, so that it would send tables many times its threshold through the driver.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; rows repeated
@@ -185,5 +185,5 @@ def keep_winners(docs: DataFrame, found: DataFrame) -> DataFrame:
     names = [f"_in_{i}" for i in range(len(docs.columns))]
     doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     keyed = docs.toDF(*names).withColumn("key", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    kept = keyed.join(winners, doc.eqNullSafe(F.col("won_id")) & (F.col("key") == F.col("won_key")), "left_semi")
+    kept = keyed.join(winners.hint("merge"), doc.eqNullSafe(F.col("won_id")) & (F.col("key") == F.col("won_key")), "left_semi")
     return kept.dropDuplicates([names[docs.columns.index("doc_id")], "key"]).select(*names).toDF(*docs.columns)

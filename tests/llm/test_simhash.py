@@ -80,9 +80,9 @@ def test_classes_are_not_broadcast(spark, monkeypatch):
         return cut(frame, name)
 
     monkeypatch.setattr(S, "cut", kept)
-    found = S.near_duplicates(odd_documents(spark))
-    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
-    assert {"links", "edges", "linked", "members", "result"} <= {name for name, _ in plans}
+    for name, found in (("result", S.near_duplicates(odd_documents(spark))), ("kept", S.keep_one_each(odd_documents(spark)))):
+        plans.append((name, found._jdf.queryExecution().executedPlan().toString()))
+    assert {"links", "edges", "linked", "members", "result", "winners", "kept"} <= {name for name, _ in plans}
     assert [name for name, plan in plans if "Broadcast" in plan] == []
 
 
