@@ -16,7 +16,7 @@ from periodica.functions.frames import gather
 from periodica.operators.ingest import count_input, counted_groups, counters, reconcile
 from periodica.plans.kept_pairs import refresh_pairs
 from periodica.presets import Brand
-from periodica.session import shared_folder
+from periodica.session import release_shuffles, shared_folder
 from periodica.sources.facts import read_facts, replace_period, replace_periods
 from periodica.sources.quarantine import DETAIL, REJECTED, read_registry_files, set_aside
 from periodica.sources.registry import canonicalize, read_registry
@@ -79,6 +79,7 @@ def load_staged_month(
     (period,), groups, rejected = staged.periods, staged.groups, staged.rejected
     spark = groups.sparkSession
     replace_period(groups.filter("da_marca"), path, period, spec, table=table)
+    release_shuffles(spark)
     fact = read_facts(spark, path, spec, table=table)
     if pairs is not None:
         refresh_pairs(fact, pairs, [period], spec)
@@ -121,6 +122,7 @@ def load_staged_months(
     groups, rejected = staged.groups, staged.rejected
     spark = groups.sparkSession
     replace_periods(groups.filter("da_marca"), path, staged.periods, spec, table=table)
+    release_shuffles(spark)
     fact = read_facts(spark, path, spec, table=table)
     days = sorted(to_date(d) for d in staged.periods)
     if pairs is not None:
@@ -170,6 +172,7 @@ def stage_months(
             raw = raw.drop(spec.lineage)
         parts.append(counted_groups(raw, brand, period, spec, marks, lineage))
     reduce(DataFrame.unionByName, parts).write.parquet(path)
+    release_shuffles(spark)
     groups = spark.read.parquet(path)
     if quarantine is None:
         return StagedLoad(groups, None, tuple(sources))

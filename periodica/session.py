@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 
@@ -34,3 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured.rstrip("/")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished jobs, whose results are written.
+
+    Its cleaner goes by the driver's garbage, which a driver with room to spare does not collect for long: the files of all steps
+    of a load would lie on the disks together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+import time
 from datetime import date
 
 import pytest
 
-from periodica.plans import build_pairs, load_months, read_pairs, stale_periods
+from periodica.plans import build_pairs, load_months, read_pairs, stage_months, stale_periods
 from periodica.presets import BRAND_A
+from periodica.session import release_shuffles
 from periodica.sources import TooManyRejected, read_facts, replace_periods, write_facts
 from tests.conftest import rows
+from workload import views
 
 HEADER = "UF;Município;Marca Modelo;Ano Fabricação;Qtd. Veículos"
 
@@ -88,3 +92,33 @@ def test_load_of_many_months(spark, facts, tmp_path):
         load_months(spark, sources, fact, BRAND_A)
     assert table_rows(spark, fact) == before
     assert [c for c in load_months(spark, {"2024-02-01": sources["2024-02-01"]}, fact, BRAND_A).columns if "rejeitadas" in c] == []
+
+
+def test_a_load_leaves_no_shuffle_files(spark, facts, tmp_path):
+    """The files of a step's shuffles go when its rows are written, and do not lie beside those of the next."""
+    write_facts(facts((1, "H-D/A", 2020, 10)), str(tmp_path / "fato"))
+    source = written(tmp_path, "a.txt", "SP;X;H-D/A;2020;5")
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+
+    def settled(most=0):
+        until = time.time() + 15
+        while shuffles.size() > most and time.time() < until:
+            time.sleep(0.2)
+        return shuffles.size()
+
+    release_shuffles(spark)
+    before = settled()
+    staged = stage_months(spark, {"2024-02-01": source}, BRAND_A)
+    assert settled(before) <= before
+    assert staged.groups.count() == 1
+
+
+def test_registry_texts_are_compressed(spark, tmp_path):
+    lines = [(0, "SP;São Paulo;H-D/A;2020;5"), (0, ' "x";;;;'), (1, "7;H-D/B;RJ;2021;Rio;b;sobra")]
+    views._write_layouts(spark.createDataFrame(lines, "layout int, linha string"), str(tmp_path))
+    for number, layout in enumerate(views.LAYOUTS):
+        files = list((tmp_path / f"layout{number}").glob("part-*"))
+        assert files and all(f.name.endswith(".gz") for f in files)
+        texts = [gzip.open(f, "rt", encoding="ISO-8859-1").read().splitlines() for f in files]
+        assert all(t[0] == ";".join(layout.values()) for t in texts)
+        assert sorted(x for t in texts for x in t[1:]) == sorted(x for n, x in lines if n == number)

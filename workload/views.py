@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from periodica.plans.kept_pairs import build_pairs, read_pairs, refresh_pairs
 from periodica.plans.monthly_load import load_staged_month, load_staged_months, stage_months
 from periodica.presets import BRAND_A
-from periodica.session import shared_folder
+from periodica.session import release_shuffles, shared_folder
 from periodica.sources.dictionary import build_codes, read_codes, refresh_codes
 from periodica.sources.facts import copy_facts, read_facts, replace_period, write_facts
 from periodica.sources.glossary import read_glossary
@@ -193,6 +193,7 @@ def _written(
     path = _path(spark, sf_dir, name)
     if key not in _frames:
         write(plan(), path)
+        release_shuffles(spark)
         _frames[key] = read(spark, path)
     elif _frames[key].sparkSession is not spark:
         _frames[key] = read(spark, path)
@@ -320,11 +321,13 @@ def _write_layouts(lines: DataFrame, path: str) -> None:
     # One text column, whose name is the files' header; nothing is quoted. The lines leave an array of one: the choice of a layout would
     # otherwise be moved below them and derive each line's columns over and over, in code too long to be compiled.
     lines = lines.select(F.inline(F.array(F.struct("layout", "linha"))))
+    # Compressed, as text of short columns takes several times the room; a file that cannot be split is kept short.
+    packed = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
     for number, layout in enumerate(LAYOUTS):
         rows = lines.filter(F.col("layout") == number).select(F.col("linha").alias(";".join(layout.values())))
         options = {"sep": "\u0001", "quote": "\u0000", "header": True, "encoding": "ISO-8859-1"}
         kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        rows.write.mode("overwrite").options(**options, **kept).csv(f"{path}/layout{number}")
+        rows.write.mode("overwrite").options(**options, **kept, **packed).csv(f"{path}/layout{number}")
 
 
 def registry_files(spark: SparkSession, sf_dir: str) -> RegistryFiles:
